@@ -30,7 +30,7 @@ PATTERNS = {
     "date": r"(?<![\d/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?!\d|[/.\-]\d)",
     "identity": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
-    "card": r"(?<![\d])\d(?:[ \-]?\d){12,18}(?![\d])",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
