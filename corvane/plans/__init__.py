@@ -1,0 +1,12 @@
+"""Registered queries: the operators applied to the test tables, and the SQL they are compared with."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
