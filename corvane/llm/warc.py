@@ -179,7 +179,7 @@ def read(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20
             yield pd.DataFrame(out).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     stretch: Column = F.floor(F.col("offset") / most)
-    dealt = index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    dealt = index.select("file", "offset", "length").repartition(common.partitions(index.sparkSession), "file", stretch).sortWithinPartitions("file", "offset")
     return dealt.mapInPandas(to_records, RECORD)
 
 
