@@ -1,8 +1,9 @@
 """Byte-level BPE ids of whole texts with the tokenizers library, one encoding for each distinct word.
 
-The pre-tokenizer of a byte-level BPE always starts a new piece at a single space between two non-space
-characters, so the ids of a text are those of its parts cut there, and every distinct part is encoded once
-per worker. Other white space stays inside its part.
+The pre-tokenizer of a byte-level BPE always starts a new piece at a single space between two non-space characters,
+around a single line end between such, and where `,` or `.` follows a letter or digit. So the ids of a text are those
+of its parts cut there, and every distinct part is encoded once per worker while it is remembered. A text with other
+uses of these characters is cut at its plain spaces only.
 """
 
 from __future__ import annotations
@@ -11,8 +12,13 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 END_ID = 2
-_NEXT_TO_SPACE = re.compile(r"\s | \s")
+#: What keeps a text from being cut everywhere: white space side by side, at an end or of other kinds, and stops after anything but a letter or digit.
+_BESIDE = ("  ", "\n\n", " \n", "\n ")
+_OTHER = re.compile(r"[\t\r\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_STOP = re.compile(r"[.,](?<![^\W_][.,])")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[str, Encoder] = {}
 
@@ -20,35 +26,55 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """keep: parts whose ids are remembered, in two generations, so that frequent parts stay."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep, self.known, self.older = keep, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.after_space[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
 
     def parts(self, text: str) -> list[str]:
-        if _NEXT_TO_SPACE.search(text):
+        if any(b in text for b in _BESIDE) or text[0] in " \n" or text[-1] in " \n" or _OTHER.search(text) or _STOP.search(text):
             return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        return text.replace(" ", "\x00 ").replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00").split("\x00")
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new parts. Words with a space before them are encoded many in one text: each begins at a token with a space."""
+        plain = [p for p in new if p[:1] == " " and p[1:].isalpha()]
+        other = [p for p in new if not (p[:1] == " " and p[1:].isalpha())]
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.flatnonzero(self.after_space[ids]) * 4
+            if len(at) != len(group):
+                other += group
+                continue
+            whole, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
+            for p, a, b in zip(group, at.tolist(), ends, strict=True):
+                self.known[p] = whole[a:b]
+        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[p] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        cut = [self.parts(t) if t else [] for t in texts]
-        if len(self.known) > self.keep // 2:
-            self.known, self.older = {}, self.known
-        known = self.known
-        new = {p for parts in cut for p in parts if p not in known}
-        if self.older:
-            known.update({p: self.older[p] for p in new if p in self.older})
-            new = {p for p in new if p not in known}
-        if new:
-            new = list(new)
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        out = []
+        for i in range(0, len(texts), 512):
+            cut = [self.parts(t) if t else [] for t in texts[i : i + 512]]
+            if len(self.known) > self.keep // 2:
+                self.known, self.older = {}, self.known
+            new = set().union(*cut).difference(self.known)
+            if self.older:
+                again = {p for p in new if p in self.older}
+                self.known.update((p, self.older[p]) for p in again)
+                new -= again
+            if new:
+                self._learn(list(new))
+            out += [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        return out
 
 
 def encoder(path: str) -> Encoder:
