@@ -154,15 +154,15 @@ class TokenFile:
         return self._segment(i, whole=False)[position - self.segments[i][2]]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, start in the file, ids), one segment in memory at a time."""
+        """(doc_id, start in the file, ids), one segment decoded at a time."""
         at, open_segment = -1, None
         starts = np.array([s[2] for s in self.segments], dtype=np.int64)
         for doc in self.docs:
             i = int(np.searchsorted(starts, int(doc["start"]), side="right")) - 1
             if i != at:
-                at, open_segment = i, self._segment(i, whole=True)
+                at, open_segment = i, self._segment(i, whole=True).slice(0, self.segments[i][3])
             a = int(doc["start"]) - self.segments[i][2]
-            yield (None if doc["null"] else int(doc["id"])), int(doc["start"]), open_segment.slice(a, a + int(doc["n"]))
+            yield (None if doc["null"] else int(doc["id"])), int(doc["start"]), open_segment[a : a + int(doc["n"])]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

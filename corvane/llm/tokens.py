@@ -15,9 +15,10 @@ from array import array
 import numpy as np
 
 END_ID = 2
+CHUNK = 128
 #: What keeps a text from being cut everywhere: white space side by side, at an end or of other kinds, and stops after anything but a letter or digit.
 _BESIDE = ("  ", "\n\n", " \n", "\n ")
-_OTHER = re.compile(r"[\t\r\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_OTHER = tuple("\t\r\x00\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _STOP = re.compile(r"[.,](?<![^\W_][.,])")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[str, Encoder] = {}
@@ -38,7 +39,7 @@ class Encoder:
         self.after_space[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
 
     def parts(self, text: str) -> list[str]:
-        if any(b in text for b in _BESIDE) or text[0] in " \n" or text[-1] in " \n" or _OTHER.search(text) or _STOP.search(text):
+        if any(b in text for b in _BESIDE + _OTHER) or text[0] in " \n" or text[-1] in " \n" or _STOP.search(text):
             return _CUT.split(text)
         return text.replace(" ", "\x00 ").replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00").split("\x00")
 
@@ -62,8 +63,8 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
         out = []
-        for i in range(0, len(texts), 512):
-            cut = [self.parts(t) if t else [] for t in texts[i : i + 512]]
+        for i in range(0, len(texts), CHUNK):
+            cut = [self.parts(t) if t else [] for t in texts[i : i + CHUNK]]
             if len(self.known) > self.keep // 2:
                 self.known, self.older = {}, self.known
             new = set().union(*cut).difference(self.known)
