@@ -179,9 +179,15 @@ class Index:
 
     def leaks(self, texts: list[str | None], known: Words) -> list[list[tuple[int, float, float, float | None]]]:
         """Per text the verified items: (item_id, score, question overlap, answer overlap or None)."""
-        words = [plain_words(t) for t in texts]
         out = []
-        for w, found in zip(words, self.candidates(words), strict=True):
+        for at in range(0, len(texts), 256):
+            words = [plain_words(t) for t in texts[at : at + 256]]
+            out += self._verified(words, self.candidates(words), known)
+        return out
+
+    def _verified(self, texts: list[list[bytes]], found_in: list[dict[int, float]], known: Words) -> list:
+        out = []
+        for w, found in zip(texts, found_in, strict=True):
             rows = []
             own = word_runs(w, known) if found else None
             for item, score in sorted(found.items()):
