@@ -1,0 +1,80 @@
+"""Column functions: hashes, labels, clocks, interval metrics. All are SQL expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def md5_mod(text: Column, n: int) -> Column:
+    """The 128-bit md5 modulo n (n below 2**31), folded in from chunks of eight hexadecimal digits."""
+    h = F.md5(text.cast("binary"))
+    out = F.lit(0).cast("bigint")
+    for i in range(4):
+        out = (out * F.lit((1 << 32) % n) + F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint")) % n
+    return out
+
+
+def label_key(text: Column) -> Column:
+    """Lower case, no final stops, no articles, single spaces."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"\.+$", ""), r"\b(the|a|an)\b", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def label_id(text: Column) -> Column:
+    """Words of letters and digits joined by `_`, without articles unless there is nothing else."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    kept = F.filter(words, lambda w: ~w.isin("the", "a", "an"))
+    return F.concat_ws("_", F.when(F.size(kept) > 0, kept).otherwise(words))
+
+
+def family_name(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def answer_text(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
+def clock(milliseconds: Column) -> Column:
+    """HH:MM:SS.mmm of whole milliseconds, with full carry."""
+    ms = milliseconds.cast("bigint")
+    part = lambda div, mod: (F.floor(ms / div) % mod).cast("bigint")
+    return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000).cast("bigint"), part(60_000, 60), part(1000, 60), ms % 1000)
+
+
+def seconds_of(text: Column) -> Column:
+    """Seconds of `h:m:s`, `m:s` or `s`; null for anything else."""
+    ok = text.rlike(r"^\d+(:\d+){0,2}(\.\d+)?$")
+    return F.when(ok, F.aggregate(F.split(text, ":"), F.lit(0.0), lambda a, p: a * 60 + p.cast("double")))
+
+
+def rotated(items: Column, by: Column) -> Column:
+    """items[by:] + items[:by]"""
+    k = by.cast("int")
+    return F.concat(F.slice(items, k + 1, F.size(items)), F.slice(items, F.lit(1), k))
+
+
+def z_score(hits: Column, n: Column, p: float) -> Column:
+    """Of a proportion; 0 where there is nothing."""
+    return F.when(n > 0, (hits / n - p) / F.sqrt(F.lit(p * (1 - p)) / n)).otherwise(F.lit(0.0))
+
+
+def interval_metrics(pred_start: Column, pred_end: Column, start: Column, end: Column) -> dict[str, Column]:
+    """Of a predicted and a true interval; a reversed prediction is turned round, the union is the hull."""
+    a, b = F.least(pred_start, pred_end), F.greatest(pred_start, pred_end)
+    both = F.greatest(F.lit(0.0), F.least(b, end) - F.greatest(a, start))
+    hull = F.greatest(b, end) - F.least(a, start)
+    middle = (a + b) / 2
+    return {
+        "tiou": F.when(hull > 0, both / hull).otherwise(F.lit(0.0)),
+        "center_inside": (middle >= start) & (middle <= end),
+        "overlap_recall": F.when(end > start, both / (end - start)).otherwise(F.lit(0.0)),
+        "start_error": F.abs(a - start),
+        "end_error": F.abs(b - end),
+    }
+
+
+def score_of_distance(distance: Column, tolerance: Column) -> Column:
+    """100 / (1 + (d / tolerance)^2); null without a distance or a positive tolerance."""
+    return F.when(distance.isNotNull() & (tolerance > 0), 100 / (1 + (distance / tolerance) * (distance / tolerance)))

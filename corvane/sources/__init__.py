@@ -1,0 +1,44 @@
+"""Inputs: Parquet tables, JSON lines with a broken end, and the derived views that the registered queries share."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, row (the text of a JSON object), broken. A line that does not parse is kept and marked, for the caller to judge."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("row")).filter(F.trim("row") != "")
+    return lines.withColumn("broken", F.try_parse_json("row").isNull())
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled frame intervals made of events: 20 frames a second of the day, 400 frames per unit of value."""
+    micros = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000))
+    start = F.floor(micros * 20 / 1_000_000).cast("bigint")
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("fam"), (F.col("user_id") % 6).cast("string")).alias("family"), F.col("user_id").alias("file"), F.dayofmonth("ts").cast("bigint").alias("episode"),
+        F.col("event_type").alias("subtask"), start.alias("start_frame"), (start + F.floor(F.col("value") * 400).cast("bigint")).alias("end_frame"),
+    )
+
+
+SEGMENTS = """seg AS (
+  SELECT event_id, 'fam' || (user_id % 6) AS family, user_id AS file, CAST(day(ts) AS BIGINT) AS episode, event_type AS subtask,
+    CAST(floor((epoch_us(ts) % 86400000000) * 20 / 1000000) AS BIGINT) AS start_frame,
+    CAST(floor((epoch_us(ts) % 86400000000) * 20 / 1000000) AS BIGINT) + CAST(floor(value * 400) AS BIGINT) AS end_frame
+  FROM events)"""
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An append log made of events: one id per user and day, failures among the attempts."""
+    return table(spark, sf_dir, "events").select(
+        F.format_string("%d/%d", "user_id", F.dayofmonth("ts")).alias("id"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"),
+        "user_id", F.col("event_type").alias("choice"), "value",
+    )
+
+
+LOG = "log AS (SELECT user_id || '/' || day(ts) AS id, event_id AS seq, event_type <> 'error' AS ok, user_id, event_type AS choice, value FROM events)"
