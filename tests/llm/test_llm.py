@@ -1,0 +1,168 @@
+"""Small tests of the language-model data operators: odd inputs and brute force."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from corvane.llm import decontam, fingerprints, html_text, langid, neardup, ngram_lm, packing, pii, token_store, tokens, warc
+
+SCHEMA = "doc_id long, text string, lang string, piece string, b int"
+TEXTS = ["", None, "one", "the cat sat on the mat and ate", "the cat sat on the mat and ate", "x " * 3000, "Ein Satz. Noch einer!\n\nUnd  mehr ... 1,2", "9 9 9"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 2 else "de", "p", i) for i, t in enumerate(TEXTS)] + [(None, "no id here", None, None, None), (3, TEXTS[3], "en", "p", 3)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_tokens_equal_the_whole_text_encoding():
+    e = tokens.Encoder(tokens.default_path())
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list(" \n\ta.,'s1é x_½"), rng.integers(0, 14))) for _ in range(3000)]
+    for t, b in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(b, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_codes_round_trip_and_random_access():
+    ids = np.random.default_rng(2).integers(0, 1 << 20, 5000).astype(np.uint32)
+    block = token_store.encode(ids)
+    s = token_store.Segment(lambda a, n: block[a : a + n])
+    assert (s.slice(0, len(s)) == ids).all() and (s.slice(777, 1999) == ids[777:1999]).all()
+    assert [s[i] for i in (0, 511, 512, 513, 4999)] == ids[[0, 511, 512, 513, 4999]].tolist()
+
+
+def test_token_store(spark, docs, none):
+    files = token_store.write(docs, folder := token_store.common.new_folder(spark, "t"), tokens.default_path())
+    got = sorted(token_store.read(files, folder).collect(), key=lambda r: r["start"])
+    assert len(got) == 10 and got[0]["start"] == 0 and got[0]["doc_id"] is None
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+    assert token_store.read(token_store.write(none, folder, tokens.default_path()), folder).count() == 0
+
+
+def test_packing(docs, none):
+    got = packing.pack_documents(docs, tokens.default_path(), 64).collect()
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for v in places.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(places) <= math.ceil(sum(r["length"] for r in got) / 64) + 2
+    assert packing.pack_documents(none, tokens.default_path()).count() == 0
+
+
+def test_configurations_hold_all_pieces():
+    counts = dict(Counter(np.random.default_rng(3).integers(1, 129, 4000).tolist()))
+    held = Counter()
+    for config, n in packing.configurations(counts, 128):
+        assert sum(length * m for length, m in config) <= 128
+        for length, m in config:
+            held[length] += m * n
+    assert held == counts
+
+
+def test_pii(spark, docs, none):
+    text = "mail a.b@c.example.com, +1 (499) 555-6503, 4785380592391139, 152.143.123.131, 2024-02-29, 300.1.1.1, 1234567890123456, Version 2.0."
+    out = pii.pseudonymise(spark.createDataFrame([(text, "x"), (text, "y"), (None, ""), ("", None)], "text string, n_replaced string")).collect()
+    new = out[0]["text"]
+    assert out[0]["n_replaced"] == 5 and new == out[1]["text"]
+    assert not any(v in new for v in ("a.b@c", "555-6503", "4785380592391139", "152.143.123.131", "2024-02-29"))
+    assert all(v in new for v in ("300.1.1.1", "1234567890123456", "Version 2.0."))
+    assert out[2]["text"] is None and out[3]["text"] == ""
+    assert pii.pseudonymise(none).count() == 0
+    d = spark.range(1000).selectExpr("lpad(cast(id as string), 3, '0') m")
+    assert d.selectExpr(f"{pii.permuted_digits('m', 'k', 't')} p").distinct().count() == 1000
+
+
+def test_scores_against_brute_force(docs, none):
+    rows = docs.collect()
+    words = [(r["text"] or "").encode().lower().split() + [None] for r in rows]
+    learn = [r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 10 != 0 for r in rows]
+    one, two = Counter(), Counter()
+    for w, k in zip(words, learn, strict=True):
+        if k:
+            one.update(w)
+            two.update(zip(["start", *w], w, strict=False))
+    n, v = sum(one.values()), len(one)
+
+    def expected(w):
+        total, before = 0.0, "start"
+        for t in w:
+            history = sum(learn) if before == "start" else one[before]
+            total += math.log10((two[before, t] + 2.0 * (one[t] + 0.1) / (n + 0.1 * (v + 1))) / (history + 2.0))
+            before = t
+        return round(total, 6), sum(math.log10((one[t] + 0.1) / (n + 0.1 * (v + 1))) for t in w)
+
+    want = sorted((expected(w)[0], round(expected(w)[1], 6), len(w)) for w in words)
+    got = sorted((round(r["score"], 6), round(r["base_score"], 6), r["n_tokens"]) for r in ngram_lm.lm_scores(docs).collect())
+    assert got == want
+    assert ngram_lm.lm_scores(docs, order=3).count() == 10 and ngram_lm.lm_scores(none).count() == 0
+
+
+def test_warc(spark, none):
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "x"), (3, None, None), (4, "http://d", ""), (None, "u v", "x"), (5, "", "é")], "page_id long, url string, html string")
+    index = warc.write(pages, folder := warc.common.new_folder(spark, "w"))
+    got = {r["page_id"]: r for r in warc.read(index, folder).collect()}
+    assert (got[1]["record_type"], got[1]["refers_to"], got[None]["refers_to"]) == ("revisit", 2, 2)
+    assert got[2]["record_type"] == "response" and bytes(got[2]["payload"]) == b"x" and got[1]["payload_bytes"] == 1
+    assert got[3]["refers_to"] == 4 and got[5]["payload_bytes"] == 2
+    assert list(warc.ranges(iter([("f", 0, 5), ("f", 7, 3), ("f", 900, 1), ("g", 0, 1)]), 10, 100)) == [("f", 0, 10, [(0, 5), (7, 3)]), ("f", 900, 1, [(0, 1)]), ("g", 0, 1, [(0, 1)])]
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (None, ""), ("", ""), ("a &amp; b", "a & b"), ("<p>a<p>b", "a\n\nb"), ("<ul><li>a<li>b</ul>", "- a\n- b"), ("x<br>y", "x\ny"),
+        ("<table><tr><td>aa<td>b<tr><td>c<td>d</table>", "aa  b\nc   d"), ("<div>a<div>b</div></div>", "a\nb"), ("<script>p('</p>')</script>k<span style='display: none'>n</span>", "k"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b></div>", "b"), ("<pre>a\n  b</pre>", "a\n  b"), ("a < b <", "a < b <"),
+    ],
+)
+def test_html(source, text):
+    assert html_text.render(source) == text
+
+
+def test_fingerprints(docs, none):
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_versions(docs.filter("doc_id is not null")).dropDuplicates(["doc_id"]).collect()}
+    assert got[3]["fingerprint"] == got[4]["fingerprint"] and got[0]["n_chars"] == 0 and got[0]["near_next"] == 1.0
+    assert fingerprints.fingerprint_versions(none).count() == 0
+    rng = np.random.default_rng(5)
+    a = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 5, 400)]
+    b = [np.unique(np.concatenate([x[: len(x) // 2], rng.integers(0, 1 << 63, 7).astype(np.uint64)])) for x in a]
+    want = [len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y))) for x, y in zip(a, b, strict=True)]
+    assert np.allclose(fingerprints.likeness(a, b), want)
+
+
+def test_language(docs, none):
+    out = langid.predict(docs, langid.fit(docs)).collect()
+    assert {r["lang_pred"] for r in out if not (r["text"] or "").strip() or r["text"] == "9 9 9"} == {"und"}
+    assert len(out) == 10 and langid.predict(none, None).count() == 0
+
+
+def test_near_duplicates(spark, docs, none):
+    words = [f"w{i}" for i in range(120)]
+    near = [*words[:100], "other", *words[101:]]
+    rows = [(10, " ".join(words)), (11, " ".join(near)), (12, " ".join(words[:60])), (13, "Short text"), (14, "short TEXT"), (15, None), (16, ""), (None, " ".join(words))]
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {10: (10, True), 11: (10, False), 12: (12, True), 13: (13, True), 14: (13, False), 15: (15, True), 16: (16, True), None: (None, True)}
+    assert neardup.near_duplicates(none).count() == 0
+
+
+def test_decontamination(spark, docs):
+    bench = spark.createDataFrame([(1, "What did the small cat see on the old mat that day? It saw a mouse run."), (2, None), (3, "...")], "item_id long, text string")
+    leak = "Long before. " * 40 + "what did the small cat see on the old mat that day it saw a mouse run, they said"
+    texts = spark.createDataFrame([(1, leak), (2, "the cat sat"), (3, None), (4, "")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(texts, bench).collect()] == [(1, 1)]
+    assert sorted(r["doc_id"] for r in decontam.without_leaks(texts, bench).collect()) == [2, 3, 4]
+    assert decontam.find_leaks(texts, bench.limit(0)).count() == 0
