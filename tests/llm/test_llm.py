@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from corvane.llm import decontam, fingerprints, html_text, langid, neardup, ngram_lm, packing, pii, token_store, tokens, warc
+from corvane.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, piece string, b int"
 TEXTS = ["", None, "one", "the cat sat on the mat and ate", "the cat sat on the mat and ate", "x " * 3000, "Ein Satz. Noch einer!\n\nUnd  mehr ... 1,2", "9 9 9"]
@@ -159,6 +160,38 @@ def test_near_duplicates(spark, docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicate_group_against_all_pairs(spark):
+    rng, texts = np.random.default_rng(11), []
+    base = [f"w{i}" for i in range(150)]
+    for k in range(240):  # copies with 0 to 12 changed words and cut ends; many are near some copies but not the rest
+        words = list(base)
+        for at in rng.integers(0, len(words), k % 13):
+            words[at] = f"x{rng.integers(0, 400)}"
+        texts.append(" ".join(words[: len(words) - int(rng.integers(0, 30))]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert len(set(root)) > 20
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == {i: (root[i], len(sets[i])) for i in range(len(texts))}
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(int(a), int(b)) for a, b in rng.integers(200, 300, (60, 2))]
+    root = {x: x for pair in links for x in pair}
+    for _ in links:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {(r["node"], r["root"]) for r in got} == {(x, r) for x, r in root.items() if x != r} and len(got) == len({r["node"] for r in got})
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, "What did the small cat see on the old mat that day? It saw a mouse run."), (2, None), (3, "...")], "item_id long, text string")
     leak = "Long before. " * 40 + "what did the small cat see on the old mat that day it saw a mouse run, they said"
