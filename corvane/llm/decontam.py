@@ -12,6 +12,7 @@ items, can reach the threshold: block-max WAND's own tests, made first for all p
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,12 +32,21 @@ PASSAGE = 128
 SEGMENT = PASSAGE // 2
 THRESHOLD = 0.5
 OVERLAP = 0.75
-#: ASCII punctuation counts as space, in items and texts alike.
+#: What is no letter or digit counts as space, in items and texts alike; here for ASCII.
 _PLAIN = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
 def plain_words(text: str | None) -> list[bytes]:
-    return text.encode().lower().translate(_PLAIN).split() if text else []
+    """Maximal runs of letters and digits of any script, composed and case-folded."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.lower().encode().translate(_PLAIN).split()
+    text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    for c in set(text):
+        if c > "\x7f" and not c.isalnum():
+            text = text.replace(c, " ")
+    return text.encode().translate(_PLAIN).split()
 
 
 def word_runs(words: list[bytes], known: Words, size: int = 5) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Small tests of the language-model data operators: odd inputs and brute force."""
 
 import math
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -199,3 +200,12 @@ def test_decontamination(spark, docs):
     assert [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(texts, bench).collect()] == [(1, 1)]
     assert sorted(r["doc_id"] for r in decontam.without_leaks(texts, bench).collect()) == [2, 3, 4]
     assert decontam.find_leaks(texts, bench.limit(0)).count() == 0
+
+
+def test_decontamination_folds_letters_of_all_scripts(spark):
+    items = ["Qué pasó con el niño pequeño en la estación de Ávila aquel día? Subió al último tren.", "Wo lag der große Schlüssel für die Straße über den Fluß? Unter dem Öfchen.", "where did the six grey ducks swim after the rain? They swam east."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    before = "otra cosa " * 70
+    texts = [before + items[0].upper(), before + items[1].upper(), before + unicodedata.normalize("NFD", items[0]), before + items[2].replace(" ", "\u2014").replace("?", "\u2026"), before]
+    got = decontam.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["question_overlap"], r["answer_overlap"]) for r in got) == [(0, 0, 1, 1), (1, 1, 1, 1), (2, 0, 1, 1), (3, 2, 1, 1)]
