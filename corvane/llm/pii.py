@@ -29,9 +29,18 @@ PATTERNS = {
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "date": r"(?<![\d/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?!\d|[/.\-]\d)",
     "identity": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
+    "card": r"(?<!\d)(?:\d{13,19}(?!\d)|\d{4}(?: \d{4}){3}(?!\d)(?: \d{4}(?![\w@%+]|[.\-/]\w))*+|\d{4}(?:-\d{4}){3}(?!\d)(?:-\d{4}(?![\w@%+]|[./]\w))*+|\d{4}[ \-]\d{6}[ \-]\d{5}(?!\d))",
 }
+#: Telephone numbers of one shape. Those of a country code and free groups have 7 to 15 digits; once they have 7, no group is taken that begins another value.
+_SHAPES = r"(?<![\w+])\+(?:1[ .\-]?\(?\d{3}\)?|\d{1,3}[ .\-]?\(\d{3}\))[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])"
+#: 7 to 15 digits behind, written out: Java looks behind only where the length has an obvious end.
+_DIGITS = r"(?<=\+" + r"[ .()\-]{0,2}\d" * 7 + r"(?:[ .()\-]{0,2}\d)?" * 8 + "%s)"
+#: In a row of groups of four, cards begin where four or a multiple of it are left.
+_ROW = r"\d{4}(?:-\d{4}){3}(?!\d)(?:(?:-\d{4}(?![\w@%+]|[./]\w)){4})*+(?!-\d{4}(?![\w@%+]|[./]\w))"
+_CARDS = rf"(?<!\d)(?:\d{{13,19}}(?!\d)|{_ROW}|{_ROW.replace('-', ' ').replace('[./]', '[./-]')}|\d{{4}}[ \-]\d{{6}}[ \-]\d{{5}}(?!\d))"
+_OTHER = "|".join(f"(?:{p})" for p in [*(PATTERNS | {"card": _CARDS}).values(), _SHAPES])
+_GROUPS = rf"(?<![\w+])\+\d{{1,3}}[ .\-]?\(?\d{{2,4}}\)?(?:[ .\-]?(?!{_DIGITS % "[ .-]"}(?:{_OTHER}))\d{{2,4}}){{1,4}}(?!\d){_DIGITS % ""}"
+PATTERNS["phone"] = f"{_SHAPES}|{_GROUPS}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -102,15 +111,19 @@ def pseudonym(m: str, key: str = KEY) -> str:
     country = f"regexp_extract({m}, {_sql(r'^\+\d{1,3}(?=[ .(\-])')}, 0)"
     local = f"substring({m}, length(h) + 1)"
     phone = _let(country, "h", f"concat(h, {_into(local, permuted_digits(f'regexp_replace({local}, {_sql("[^0-9]")}, {_sql("")})', key, 'number'))})")
-    phone = f"if(length({digits}) between 7 and 15, {phone}, {m})"
     identity = _into(m, permuted_digits(digits, key, "number"))
     body = f"concat(substring(e, 1, 1), {permuted_digits('substring(e, 2, length(e) - 2)', key, 'card')})"
     new = _let(body, "y", f"concat(y, cast((10 - {_luhn('y')} % 10) % 10 as string))")
     valid = f"({_luhn('substring(e, 1, length(e) - 1)')} + cast(substring(e, -1, 1) as int)) % 10 = 0"
     card = _let(digits, "e", f"if({valid}, {_into(m, new)}, {m})")
+    # In a row of more than four groups of four, the first four that validate are a card; the search goes on after them.
+    four, one = "substring(r.o, -19)", "named_struct('o', concat(r.o, g), 'n', r.n + 1)"
+    shut = f"if(r.n < 4, r, {_let(_let(f"regexp_replace({four}, '[^0-9]', '')", 'e', f"if({valid}, {_into(four, new)}, '')"), 't', "if(t = '', r, named_struct('o', concat(substring(r.o, 1, length(r.o) - 19), t), 'n', 0))")})"
+    row = f"aggregate(regexp_extract_all({m}, '[ -]?[0-9]{{4}}', 0), named_struct('o', '', 'n', 0), (s, g) -> {_let(one.replace('r.', 's.'), 'r', shut)}, s -> s.o)"
+    card = f"if(length({m}) > 19 and {m} rlike '[ -]', {row}, {card})"
     return f"""case when instr({m}, '@') > 0 then {email} when {_is("secret", m)} then {secret} when {_is("access_key", m)} then {access}
         when {_is("ip", m)} then {ip} when {_is("date", m)} then {date} when {_is("identity", m)} then {identity}
-        when {_is("phone", m)} then {phone} when {_is("card", m)} then {card} when {_is("hex", m)} then {hexes} else {m} end"""
+        when {m} like '+%' or {_is("phone", m)} then {phone} when {_is("card", m)} then {card} when {_is("hex", m)} then {hexes} else {m} end"""
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count: str | None = "n_replaced") -> DataFrame:
