@@ -3,7 +3,7 @@
 Numbers and dates are validated and then permuted within their format by a keyed Feistel network, so that equal values
 get equal pseudonyms everywhere and different ones stay different: digits of telephone and identity numbers; card
 numbers but for the first and the check digit, which is computed anew; IPv4 addresses; dates within the 400 years from
-1800. Addresses of e-mail and secrets have no such format: they become keyed digests of their kind.
+1800, with the month first where that alone makes them a date. Addresses of e-mail and secrets have no such format: they become keyed digests of their kind.
 
 The halves of a network are numbers modulo a and b with a * b the size of the format, so it is a permutation of exactly
 that format: (63, 2319) for the 146,097 days of 400 years.
@@ -20,10 +20,13 @@ KEY = "corvane example key"
 ROUNDS = 8
 
 _LOCAL = r"\p{L}\p{N}._%+\-"
+#: The name of a secret; its value of at least 8 characters reaches to a quote or white space, without stops and brackets at its end.
+_NAMED = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key))[\"']? {0,3}[=:] {0,3}"
+_VALUE = r"[^\s\p{Z}\x85\"']"
 #: Kinds in order of precedence, as Java patterns without capturing groups.
 PATTERNS = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+@[\p{{L}}\p{{N}}\-]{{1,63}}+(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}+){{1,8}}",
-    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)) {0,3}[=:] {0,3}[\"']?[A-Za-z0-9+/_\-]{8,256}+[\"']?",
+    "secret": rf"{_NAMED}(?:\"[^\"\r\n]{{8,}}+\"|'[^'\r\n]{{8,}}+'|[\"']?{_VALUE}{{7,}}(?![.,;:)\]}}>]){_VALUE}[\"']?)",
     "access_key": r"\bAKIA[A-Z0-9]{16}\b",
     "hex": r"(?<![0-9A-Za-z])(?=[a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
@@ -94,10 +97,12 @@ def pseudonym(m: str, key: str = KEY) -> str:
     """SQL: what stands for a match of ANY. A number or date that does not validate stays as it is."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     email = f"concat('u', substring(sha2(concat_ws('|', {_sql(key)}, 'email', lower({m})), 256), 1, 16), '@mail.invalid')"
-    value = f"regexp_extract({m}, {_sql(r'[=:] *(.*)$')}, 1)"
-    bare = f"regexp_replace({value}, {_sql(chr(91) + chr(34) + chr(39) + chr(93))}, '')"
+    name = f"regexp_extract({m}, {_sql(_NAMED + chr(91) + chr(34) + chr(39) + chr(93) + '?')}, 0)"
+    quoted = f"if(endswith({m}, '\"') or endswith({m}, '\\''), 1, 0)"
+    value = f"substring({m}, length(n) + 1, length({m}) - length(n) - {quoted})"
     digest = f"concat(sha2(concat_ws('|', {_sql(key)}, 'secret', v), 512), sha2(concat_ws('|', {_sql(key)}, 'more', v), 512))"
-    secret = _let(bare, "v", f"replace({m}, v, substring({digest}, 1, length(v)))")
+    fresh = f"substring(repeat({digest}, int(length(v) div 256 + 1)), 1, length(v))"
+    secret = _let(name, "n", _let(value, "v", f"concat(n, {fresh}, substring({m}, length(n) + length(v) + 1))"))
     access = f"concat('AKIA', upper(substring(sha2(concat_ws('|', {_sql(key)}, 'access', {m}), 256), 1, 16)))"
     hexes = f"substring(sha2(concat_ws('|', {_sql(key)}, 'hex', {m}), 256), 1, length({m}))"
     octets = f"transform(split({m}, '[.]'), x -> cast(x as bigint))"
@@ -107,7 +112,16 @@ def pseudonym(m: str, key: str = KEY) -> str:
     moved = feistel("g div 2319", "g % 2319", "63", "2319", key, "date")
     iso = f"date_format(date_add(date'1800-01-01', cast(f.l * 2319 + f.r as int)), 'yyyy-MM-dd')"
     written = _let(iso, "q", f"if(substring({m}, 5, 1) = '-', q, concat_ws(substring({m}, 3, 1), substring(q, 9, 2), substring(q, 6, 2), substring(q, 1, 4)))")
-    date = _let(f"datediff({day}, date'1800-01-01')", "g", f"if(g is null or g < 0 or g >= 146097, {m}, {_let(moved, 'f', written)})")
+    # Written with the month first only days after the 12th tell: they have numbers g of their own, and month k those from 12 * k fewer than its days before on.
+    tells = f"try_cast(concat_ws('-', substring({m}, 7, 4), substring({m}, 1, 2), substring({m}, 4, 2)) as date)"
+    number = _let(tells, "t", "datediff(t, date'1800-01-01') - 12 * ((year(t) - 1800) * 12 + month(t))")
+    late = feistel("g div 9833", "g % 9833", "9", "9833", key, "late date")
+    first = "datediff(add_months(date'1800-01-01', k), date'1800-01-01') - 12 * k"
+    k = f"array_max(filter(sequence(int(p * 4800 div 88497) - 1, int(p * 4800 div 88497) + 1), k -> {first} <= p))"
+    us = f"date_format(date_add(add_months(date'1800-01-01', k), int(p - ({first}) + 12)), {_sql('MM-dd-yyyy')})"
+    us = _let(f"{late}", "f", _let("f.l * 9833 + f.r", "p", _let(k, "k", f"replace({us}, '-', substring({m}, 3, 1))")))
+    us = _let(number, "g", f"if(g is null or g < 0 or g >= 88497, {m}, {us})")
+    date = _let(f"datediff({day}, date'1800-01-01')", "g", f"if(g is null, {us}, if(g < 0 or g >= 146097, {m}, {_let(moved, 'f', written)}))")
     country = f"regexp_extract({m}, {_sql(r'^\+\d{1,3}(?=[ .(\-])')}, 0)"
     local = f"substring({m}, length(h) + 1)"
     phone = _let(country, "h", f"concat(h, {_into(local, permuted_digits(f'regexp_replace({local}, {_sql("[^0-9]")}, {_sql("")})', key, 'number'))})")
@@ -121,7 +135,7 @@ def pseudonym(m: str, key: str = KEY) -> str:
     shut = f"if(r.n < 4, r, {_let(_let(f"regexp_replace({four}, '[^0-9]', '')", 'e', f"if({valid}, {_into(four, new)}, '')"), 't', "if(t = '', r, named_struct('o', concat(substring(r.o, 1, length(r.o) - 19), t), 'n', 0))")})"
     row = f"aggregate(regexp_extract_all({m}, '[ -]?[0-9]{{4}}', 0), named_struct('o', '', 'n', 0), (s, g) -> {_let(one.replace('r.', 's.'), 'r', shut)}, s -> s.o)"
     card = f"if(length({m}) > 19 and {m} rlike '[ -]', {row}, {card})"
-    return f"""case when instr({m}, '@') > 0 then {email} when {_is("secret", m)} then {secret} when {_is("access_key", m)} then {access}
+    return f"""case when {_is("secret", m)} then {secret} when instr({m}, '@') > 0 then {email} when {_is("access_key", m)} then {access}
         when {_is("ip", m)} then {ip} when {_is("date", m)} then {date} when {_is("identity", m)} then {identity}
         when {m} like '+%' or {_is("phone", m)} then {phone} when {_is("card", m)} then {card} when {_is("hex", m)} then {hexes} else {m} end"""
 

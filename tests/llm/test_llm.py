@@ -226,3 +226,25 @@ def test_pii_of_adjacent_values(spark):
     long = ["+49 30 123-45-6789", "+49 30 12345 123-45-6789-", "+1 826 555 4081 190.137.223.204 +44 20 7946 0958 190.137.223.204"]
     for t, r in zip(long, pii.pseudonymise(spark.createDataFrame([(t,) for t in long], "text string")).collect(), strict=True):
         assert not any(v in r["text"] for v in ("45-6789", "555", "7946", "190.137", "223.204")), (t, r)
+
+
+def test_pii_whole_secrets(spark):
+    values = ["P@ssw0rd!", "eyJhbGciOi.eyJzdWIiOiIx.c2lnbmF0dXJl", "Ab1-" * 150, "a@b.example.com", "password", "k" * 257]
+    texts = [f"x {name}{v}{end} y" for v in values for name, end in [("password: ", ""), ("token=", ","), ("api_key = '", "'"), ('"Secret": "', '"')]]
+    texts += ['pwd: "correct horse battery" y', "pwd: short y", "pwd=unclosed'quotes y"]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    for v, *four in zip(values, got[0:24:4], got[1:24:4], got[2:24:4], got[3:24:4], strict=True):
+        new = four[0][len("x password: ") : -2]
+        assert four == [f"x password: {new} y", f"x token={new}, y", f"x api_key = '{new}' y", f'x "Secret": "{new}" y'] and len(new) == len(v)
+        assert not any(v[i : i + 6] in new for i in range(len(v) - 5))
+    assert "horse" not in got[24] and "battery" not in got[24] and got[25] == texts[25] and "unclosed" not in got[26]
+
+
+def test_pii_dates_with_the_month_first(spark):
+    days = "date_add(date'1800-01-01', cast(id as int))"
+    dates = spark.range(146097).selectExpr(f"{days} d").filter("day(d) > 12").selectExpr("date_format(d, 'MM/dd/yyyy') m")
+    new = dates.selectExpr("m", f"{pii.pseudonym('m')} p").cache()
+    assert dates.count() == 88497 == new.select("p").distinct().join(dates.withColumnRenamed("m", "p"), "p").count()
+    assert new.filter("m = p").count() < 20
+    got = pii.pseudonymise(spark.createDataFrame([("x 12/25/2023 y 12.25.2023 z 13/32/2023",)], "text string")).first()
+    assert got["n_replaced"] == 2 and got["text"].endswith("z 13/32/2023") and "12/25/2023" not in got["text"] and "12.25.2023" not in got["text"]
