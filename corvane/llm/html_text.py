@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +55,6 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HINT = re.compile(r"hidden|display|visibility|span|start|value|open|type", re.I)
-#: Elements nested deeper are added to the deepest one.
-DEEPEST = 150
 
 
 class Node:
@@ -76,26 +76,39 @@ def _attributes(source: str) -> dict[str, str]:
 def tree(source: str) -> Node:
     root = Node("html", {})
     stack = [root]
+    # Where in the stack the open elements of a name are, and those of the sets that end a search: nothing walks the stack.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    scopes, blocks = [0], [0]
+
+    def push(node: Node) -> None:
+        for found in (places[node.tag], *[scopes] * (node.tag in SCOPE), *[blocks] * (node.tag in BLOCKS)):
+            found.append(len(stack))
+        stack.append(node)
+
+    def cut(low: int) -> None:
+        """End all elements from a place of the stack on."""
+        while len(stack) > low:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
+            if tag in BLOCKS:
+                blocks.pop()
 
     def close(names: frozenset, stop: frozenset) -> None:
         """End the outermost open element of these names below the nearest stop."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in stop:
-                return
-            if stack[i].tag in names:
-                low = i
-                while low > 1 and stack[low - 1].tag in names:
-                    low -= 1
-                del stack[low:]
-                if not any(n.tag in names for n in stack[1:]):
-                    return
-                return close(names, stop)
+        if not any(map(places.get, names)):
+            return
+        least = max((places[t][-1] for t in stop if places.get(t)), default=0)
+        found = [places[t][i] for t in names if places.get(t) and (i := bisect_right(places[t], least)) < len(places[t])]
+        if found:
+            cut(min(found))
 
     def opened(tag: str, attributes: dict[str, str]) -> None:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
+        if tag not in VOID:
+            push(node)
 
     at, end = 0, len(source)
     while at < end:
@@ -112,29 +125,26 @@ def tree(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p", {}))
             elif tag == "br":
                 stack[-1].children.append(Node("br", {}))
             elif tag not in ("html", "body"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in SCOPE and tag not in SCOPE | ROWS or tag not in BLOCKS | SCOPE and stack[i].tag in BLOCKS:
-                        break
+                low = places[tag][-1] if places.get(tag) else 0
+                if low and (tag in SCOPE | ROWS or scopes[-1] <= low) and (tag in BLOCKS | SCOPE or blocks[-1] <= low):
+                    cut(low)
             continue
         if tag in ("html", "body"):
             stack[0].attributes.update(_attributes(m[3]))
-            del stack[1:]
+            cut(1)
             continue
         if stack[-1].tag == "head" and tag not in UNSEEN | {"meta", "link", "base"}:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES_P:
             close(frozenset({"p"}), SCOPE)
         if tag in ENDS:
             close(*ENDS[tag])
-        if tag in ("td", "th") and stack[-1].tag != "tr" and any(n.tag == "table" for n in stack):
+        if tag in ("td", "th") and stack[-1].tag != "tr" and places.get("table"):
             opened("tr", {})
         opened(tag, _attributes(m[3]))
         if tag in RAW:
@@ -145,7 +155,7 @@ def tree(source: str) -> Node:
             stack[-1].children.append(text)
             at = stop.end() if stop else end
             if stack[-1].tag == tag:
-                stack.pop()
+                cut(len(stack) - 1)
     return root
 
 
@@ -154,7 +164,10 @@ class Page:
 
     def __init__(self):
         self.out: list[str] = []
-        self.owed, self.space, self.indent, self.first = 0, False, "", None
+        self.owed, self.space = 0, False
+        #: Parts of the indentation, joined when there is text; and how many of them stand before a list item's marker.
+        self.indent: list[str] = []
+        self.first: tuple[int, str] | None = None
 
     def lines(self, n: int) -> None:
         self.owed, self.space = max(self.owed, n), False
@@ -171,11 +184,11 @@ class Page:
         if self.owed or not self.out:
             if self.out:
                 self.out.append("\n" * self.owed)
-            self.out.append(self.indent if self.first is None else self.first)
+            self.out.append("".join(self.indent) if self.first is None else "".join(self.indent[: self.first[0]]) + self.first[1])
             self.owed, self.first = 0, None
         elif head or self.space:
             self.out.append(" ")
-        self.out.append(body.replace("\n", "\n" + self.indent) if keep else body)
+        self.out.append(body.replace("\n", "\n" + "".join(self.indent)) if keep and "\n" in body else body)
         self.space = not keep and flat[-1] == " "
 
     def value(self) -> str:
@@ -201,8 +214,20 @@ def _number(text: str | None, other: int) -> int:
     return int(m[1]) if m else other
 
 
-def _cells(node: Node, page: Page, seen: bool) -> list[list[str]]:
-    """Rows of a table; what stands in it outside of rows is laid out before it."""
+def _run(step: Generator) -> None:
+    """Run a step and the steps that it yields, each to its end before it goes on: as deep as pages are, without recursion."""
+    steps, got = [step], None
+    while steps:
+        try:
+            steps.append(steps[-1].send(got))
+            got = None
+        except StopIteration as end:
+            steps.pop()
+            got = end.value
+
+
+def _cells(node: Node, page: Page, seen: bool) -> Generator:
+    """Rows of a table; what stands in it outside of rows is laid out before it. A step of _run."""
     rows = []
     for child in node.children:
         if isinstance(child, str):
@@ -213,7 +238,7 @@ def _cells(node: Node, page: Page, seen: bool) -> list[list[str]]:
         if not box or child.tag in ("col", "colgroup"):
             continue
         if child.tag in ("thead", "tbody", "tfoot"):
-            rows += _cells(child, page, visible)
+            rows += yield _cells(child, page, visible)
         elif child.tag == "tr":
             row = []
             for cell in child.children:
@@ -224,19 +249,19 @@ def _cells(node: Node, page: Page, seen: bool) -> list[list[str]]:
                 cell_box, cell_seen = _shown(cell, visible)
                 if cell_box:
                     inner = Page()
-                    _lay(cell, inner, cell_seen, False, 0)
+                    yield _lay(cell, inner, cell_seen, False, 0)
                     row.append(re.sub(r"\s*\n\s*", " ", inner.value()).strip())
                     row += [""] * (min(max(_number(cell.attributes.get("colspan"), 1), 1), 100) - 1)
             rows.append(row)
         else:
             page.lines(1)
-            _lay(child, page, visible, False, 0)
+            yield _lay(child, page, visible, False, 0)
             page.lines(1)
     return rows
 
 
-def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int) -> None:
-    """Lay out what is in an element."""
+def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int) -> Generator:
+    """Lay out what is in an element. A step of _run."""
     pre = pre or node.tag in ("pre", "xmp", "textarea")
     count = _number(node.attributes.get("start"), 1) if node.tag == "ol" else 0
     closed = node.tag == "details" and "open" not in node.attributes
@@ -258,7 +283,7 @@ def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int) -> None:
         if gap:
             page.lines(gap)
         if tag == "table":
-            rows = [r for r in _cells(child, page, visible) if any(r)]
+            rows = [r for r in (yield _cells(child, page, visible)) if any(r)]
             widths = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
             for r in rows:
                 page.lines(1 if page.owed < 2 else 2)
@@ -268,18 +293,20 @@ def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int) -> None:
                 count = _number(child.attributes.get("value"), count)
             mark = f"{count}. " if node.tag == "ol" else "- "
             count += 1
-            outer = page.indent
-            page.first, page.indent = outer + mark, outer + " " * len(mark)
-            _lay(child, page, visible, pre, depth + 1)
-            page.first, page.indent = None, outer
+            page.first = len(page.indent), mark
+            page.indent.append(" " * len(mark))
+            yield _lay(child, page, visible, pre, depth + 1)
+            page.first = None
+            page.indent.pop()
         else:
-            outer = page.indent
-            if tag in ("blockquote", "dd"):
-                page.indent += "  "
+            inner = tag in ("blockquote", "dd")
+            if inner:
+                page.indent.append("  ")
             if tag in ("td", "th"):
                 page.space = True
-            _lay(child, page, visible, pre, depth + (tag in ("ul", "ol")))
-            page.indent = outer
+            yield _lay(child, page, visible, pre, depth + (tag in ("ul", "ol")))
+            if inner:
+                page.indent.pop()
         if gap:
             page.lines(gap)
 
@@ -291,7 +318,7 @@ def render(source: str | None) -> str:
     page, root = Page(), tree(source)
     box, seen = _shown(root, True)
     if box:
-        _lay(root, page, seen, False, 0)
+        _run(_lay(root, page, seen, False, 0))
     return page.value()
 
 

@@ -248,3 +248,20 @@ def test_pii_dates_with_the_month_first(spark):
     assert new.filter("m = p").count() < 20
     got = pii.pseudonymise(spark.createDataFrame([("x 12/25/2023 y 12.25.2023 z 13/32/2023",)], "text string")).first()
     assert got["n_replaced"] == 2 and got["text"].endswith("z 13/32/2023") and "12/25/2023" not in got["text"] and "12.25.2023" not in got["text"]
+
+
+@pytest.mark.parametrize("deep", [10, 1000, 100_000])
+@pytest.mark.parametrize("tag", ["div", "b", "font", "blockquote", "span"])
+def test_html_of_any_depth(tag, deep):
+    inside = "<script>code()</script><style>s</style><p>a<div hidden>b" + "<div>" * deep + "c" + "</div>" * deep + "d</div><div style='display:none'>e</div>f"
+    table = "<table><tr><td>aa<td>b<tr><td>c<td>d</table>"
+    got = html_text.render(f"<{tag}>" * deep + inside + table + "<ul><li>g<li>h</ul>" + f"</{tag}>" * deep + "i")
+    assert [line.strip() for line in got.splitlines() if line.strip()] == ["a", "f", "aa  b", "c   d", "- g", "- h", "i"]
+
+
+def test_html_of_deep_lists_and_tables():
+    deep = 400
+    assert html_text.render("<ul><li>x" * deep).splitlines() == ["  " * i + "- x" for i in range(deep)]
+    assert html_text.render("<table><tr><td>x<td>" * deep + "y") == "  ".join(["x"] * deep + ["y"])
+    assert html_text.render("<div>x" * 50_000) == "\n".join("x" * 50_000)
+    assert html_text.render("<colgroup><b>" * 3000 + "<td>z") == "z"
