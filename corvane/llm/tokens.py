@@ -32,13 +32,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keep, self.known, self.older = keep, {}, {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer for t in added):
+            raise ValueError("added tokens that take more or less than their own text are not supported")
+        self.added = sorted((t.content for t in added), key=len, reverse=True)
+        self.at_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         vocabulary = self.tokenizer.get_vocab()
         self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
         self.after_space[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
 
     def parts(self, text: str) -> list[str]:
+        """The text in parts that are encoded each by itself; added tokens, such as the end of a text, are parts of their own."""
+        if any(t in text for t in self.added):
+            pieces = self.at_added.split(text)
+            return [p for i, piece in enumerate(pieces) if piece for p in ([piece] if i % 2 else self._cut(piece))]
+        return self._cut(text)
+
+    def _cut(self, text: str) -> list[str]:
         if any(b in text for b in _BESIDE + _OTHER) or text[0] in " \n" or text[-1] in " \n" or _STOP.search(text):
             return _CUT.split(text)
         return text.replace(" ", "\x00 ").replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00").split("\x00")

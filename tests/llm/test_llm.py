@@ -265,3 +265,15 @@ def test_html_of_deep_lists_and_tables():
     assert html_text.render("<table><tr><td>x<td>" * deep + "y") == "  ".join(["x"] * deep + ["y"])
     assert html_text.render("<div>x" * 50_000) == "\n".join("x" * 50_000)
     assert html_text.render("<colgroup><b>" * 3000 + "<td>z") == "z"
+
+
+def test_tokens_equal_those_of_an_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    e, plain = tokens.Encoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    rng = np.random.default_rng(7)
+    pieces = [t.content for t in plain.get_added_tokens_decoder().values()] + ["<|", "|>", "<|endoftext|", " ", "\n", "a", " word", "Two words.", ", é", "1,5"]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 12))) for _ in range(3000)]
+    assert sum("<|endoftext|>" in t for t in texts) > 500
+    for t, b in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(b, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
