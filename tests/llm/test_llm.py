@@ -1,6 +1,7 @@
 """Small tests of the language-model data operators: odd inputs and brute force."""
 
 import math
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -277,3 +278,11 @@ def test_tokens_equal_those_of_an_untouched_tokenizer():
     assert sum("<|endoftext|>" in t for t in texts) > 500
     for t, b in zip(texts, e.encode(texts), strict=True):
         assert np.frombuffer(b, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_decontamination_query_finds_all_whole_items(spark):
+    folder = "/root/testdata/sf0.01"
+    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").casefold())) + " "
+    docs, items = ([(r[0], plain(r[1])) for r in spark.read.parquet(f"{folder}/{n}.parquet").select(i, "text").collect()] for n, i in [("documents", "doc_id"), ("benchmark", "item_id")])
+    whole = {(d, i) for d, text in docs for i, item in items if item.strip() and item in text}
+    assert whole and whole <= {(r["doc_id"], r["item_id"]) for r in decontam.op1_decontam(spark, folder).collect()}
