@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +16,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    With neither set there is no folder of which that is known, except where all tasks run in the driver's own process.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="corvane-shared-")
         if not own.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/corvane-checkpoints")
+            own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = own.get()
     return folder.rstrip("/")
 
 
@@ -37,6 +42,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/corvane-{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of new_folder, with what failed attempts have left in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A name for a working column that none of the columns has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, f"_corvane_{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,20 +1,26 @@
 """Language-model scores by a weighted backoff automaton (operator 4).
 
 The model is an n-gram model with Dirichlet-smoothed backoff: p(w | h) = (c(hw) + mu p(w | h')) / (c(h) + mu), h' being h
-without its first word. As an automaton, contexts are states; an n-gram that was seen is an arc with its smoothed
-weight; a state's failure arc costs log10(mu / (c(h) + mu)) and leads to the state of h'. One traversal from left to
-right carries the state and adds up the weights.
+without its first word. Contexts are states: every training word, and every longer n-gram that was seen at least
+`LEAST` times (a context seen less often backs off at once). A seen n-gram is an arc from the state of its context with
+its smoothed weight; a state's failure arc costs log10(mu / (c(h) + mu)) and leads to the state of h'. Texts are walked
+from left to right: the state is carried, failure arcs are followed until an arc of the next word is found, and the
+weights add up.
 
 The model grows with the corpus and is nowhere in one place. Texts are gathered into blocks of a bounded number of
-tokens; a block asks for the counts of its own distinct n-grams, dealt by their hash; each bucket adds up the training
-counts of all blocks and answers; a block then has the part of the automaton that its texts can reach and traverses it.
-Requests and answers are sorted hashes and counts in packed columns, one row per block and bucket.
+tokens, each kept as a file in the shared folder. Order by order a block asks for its own distinct n-grams whose context
+is a state; the keys are (number of the state, number of the word), so they are exact, and are permuted and dealt by
+range. A bucket adds up the training counts of all blocks, numbers its states, and answers. A block then has the part
+of the automaton that its texts can reach, and walks it. Requests and answers are sorted keys and counts in packed
+columns, one row per block and bucket; the number of buckets follows from the keys counted, so that a bucket is bounded.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,16 +29,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import Words, mix, words
+from .shingles import Words, words
 
 BLOCK_TOKENS = 1_000_000
-BUCKET_KEYS = 4_000_000
-_END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+BUCKET_KEYS = 2_000_000
+#: How often an n-gram of two or more words must be seen to be a state of its own.
+LEAST = 2
+#: Tokens that are walked in one lane; longer texts are cut, the words before a cut leading to its state.
+LANE = 1024
+_END = np.uint64(0x5851F42D4C957F2D)
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _packed(a: np.ndarray) -> bytes:
     """Integers by byte planes, compressed: planes of zeros cost nothing."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
 
 
 def _unpacked(b: bytes, kind: type) -> np.ndarray:
@@ -40,56 +52,48 @@ def _unpacked(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _sorted_keys(keys: np.ndarray) -> bytes:
-    return _packed(np.diff(keys, prepend=np.uint64(0)))
+def _sorted_packed(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys.astype(np.uint64), prepend=np.uint64(0)))
 
 
-def _keys(b: bytes) -> np.ndarray:
+def _sorted_unpacked(b: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(b, np.uint64), dtype=np.uint64)
 
 
-class Block:
-    """Texts of one block as numbers of its own vocabulary, sorted by the words' hashes."""
-
-    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, train: np.ndarray):
-        self.vocabulary, self.tokens, self.lengths, self.train = vocabulary, tokens, lengths, train
-
-    def ngrams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per length k: sorted hashes of the distinct k-grams, their training counts, for each position the number of
-        the k-gram that ends there (-1 before the k-th, the start counting as one word), and of its context."""
-        n, v = len(self.tokens), len(self.vocabulary)
-        learn = np.repeat(self.train, self.lengths)
-        counts = np.bincount(self.tokens, learn, v).astype(np.int64)
-        yield self.vocabulary, counts, self.tokens, np.full(n, -1)
-        first = np.zeros(n, bool)
-        first[np.cumsum(self.lengths) - self.lengths] = True
-        start = np.cumsum(first) - 1
-        position = np.arange(n) - (np.cumsum(self.lengths) - self.lengths)[start]
-        of, hashes = self.tokens.astype(np.int64), self.vocabulary
-        for k in range(2, order + 1):
-            # The context of the first token is the start; of length k - 1 it exists from position k - 2 on.
-            before = np.concatenate([[-1], of[:-1]])
-            context = np.where(first, len(hashes), before) if k == 2 else before
-            at = np.flatnonzero(position >= k - 2)
-            code = context[at] * v + self.tokens[at]
-            distinct, inverse = np.unique(code, return_inverse=True)
-            left, right = np.divmod(distinct, v)
-            base = np.append(hashes, _START) if k == 2 else hashes
-            key = mix(base[left] * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[right]) & np.uint64(0xFFFFFFFFFFFF0000)
-            order_ = np.argsort(key, kind="stable")
-            number = np.empty(len(key), np.int64)
-            number[order_] = np.arange(len(key))
-            mine = np.full(n, -1)
-            mine[at] = number[inverse]
-            yield key[order_], np.bincount(mine[at], learn[at], len(key)).astype(np.int64), mine, np.where(np.isin(np.arange(n), at), context, -1)
-            of, hashes = mine, key[order_]
-
-
-BLOCKS = "block long, n_train_docs long, n_train long, n_keys long, ids binary, train binary, lengths binary, vocabulary binary, tokens binary"
-
-
-def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
-    """Rows of BLOCKS: whole texts in blocks of about BLOCK_TOKENS tokens."""
+def scramble(codes: np.ndarray, width: int) -> np.ndarray:
+    """A permutation of the numbers of `width` bits, so that ranges of the result are even."""
+    mask, x = np.uint64((1 << width) - 1), codes.astype(np.uint64)
+    for odd in _ODD:
+        x = (x * np.uint64(odd)) & mask
+        x ^= x >> np.uint64(max(1, width // 2))
+    return x
+
+
+def _store(folder: str, **arrays: bytes) -> str:
+    system, root = common.byte_files(folder)
+    system.create_dir(root, recursive=True)
+    name, out = f"{root}/{uuid.uuid4().hex}", io.BytesIO()
+    np.savez(out, **{k: np.frombuffer(v, np.uint8) for k, v in arrays.items()})
+    with system.open_output_stream(name, compression=None) as sink:
+        sink.write(out.getbuffer())
+    return name
+
+
+def _stored(folder: str, name: str) -> dict[str, bytes]:
+    system, _ = common.byte_files(folder)
+    with system.open_input_file(name) as source:
+        got = np.load(io.BytesIO(source.read()))
+        return {k: got[k].tobytes() for k in got.files}
+
+
+BLOCKS = "block long, files string, n_train_docs long, n_train long, n_tokens long, n_words long, n_pairs long"
+
+
+def blocks(docs: DataFrame, folder: str, id_col: str, text_col: str, fold: int) -> DataFrame:
+    """Write whole texts in files of about BLOCK_TOKENS tokens; a row of BLOCKS for each.
+
+    The vocabulary of a block is sorted by the words' hashes; its tokens are numbers by descending frequency.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -99,24 +103,26 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
 
         def row() -> pd.DataFrame:
             nonlocal ids, train, lengths, hashes, size, no
-            vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+            vocabulary, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
             n, t = np.array(lengths, np.uint32), np.array(train, bool)
-            frame = pd.DataFrame({
-                "block": [(part << 32) + no], "n_train_docs": [int(t.sum())], "n_train": [int(n[t].sum())], "n_keys": [len(vocabulary)],
-                "ids": [np.array([[i is not None, i or 0] for i in ids], np.int64).tobytes()], "train": [t.tobytes()], "lengths": [n.tobytes()],
-                "vocabulary": [_sorted_keys(vocabulary)], "tokens": [_packed(tokens.astype(np.uint32))],
-            })
+            rank = np.empty(len(vocabulary), np.uint32)
+            rank[np.argsort(-often, kind="stable")] = np.arange(len(vocabulary))
+            name = _store(
+                folder, vocabulary=_sorted_packed(vocabulary), often=_packed(often.astype(np.uint32)), tokens=_packed(rank[tokens]), lengths=_packed(n), train=t.tobytes(),
+                ids=np.array([[i is not None, i or 0] for i in ids], np.int64).tobytes(),
+            )
+            pairs = len(np.unique(tokens[:-1] * len(vocabulary) + tokens[1:])) + len(n)
+            frame = pd.DataFrame([((part << 32) + no, name, int(t.sum()), int(n[t].sum()), len(tokens), len(vocabulary), pairs)], columns=[c.split()[0] for c in BLOCKS.split(", ")])
             ids, train, lengths, hashes, size, no = [], [], [], [], 0, no + 1
             return frame
 
         for batch in batches:
             for i, t in zip(batch["i"], batch["t"], strict=True):
                 i, w = None if pd.isna(i) else int(i), words(t if isinstance(t, str) else None)
-                h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
                 ids.append(i)
                 train.append(i is None or zlib.crc32(str(i).encode()) % 10 != fold)
                 lengths.append(len(w) + 1)
-                hashes += [h, _END[None]]
+                hashes += [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), _END[None]]
                 size += len(w) + 1
                 if size >= BLOCK_TOKENS:
                     yield row()
@@ -126,97 +132,255 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInPandas(work, BLOCKS)
 
 
-def _load(row: pd.Series) -> Block:
-    tokens = _unpacked(row["tokens"], np.uint32).astype(np.int64)
-    return Block(_keys(row["vocabulary"]), tokens, np.frombuffer(row["lengths"], np.uint32).astype(np.int64), np.frombuffer(row["train"], bool))
+class Level:
+    """The n-grams of one order in a block, in the order of their keys: how often each is seen in the block's training
+    texts, the number of the one that ends at each position (-1: none), and at one position of each its place."""
 
+    def __init__(self, keys: np.ndarray, seen: np.ndarray, mine: np.ndarray):
+        self.keys, self.seen, self.mine = keys, seen, mine
+        self.place = np.zeros(len(keys), np.int64)
+        self.place[mine[mine >= 0]] = np.flatnonzero(mine >= 0)
+        #: From the answers: training counts in the whole corpus, and numbers of those that are states (-1: no state).
+        self.total = self.state = None
 
-def _by_bucket(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of 2**bits buckets begins in sorted keys, and the end."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
-
-def counts(held: DataFrame, order: int, bits: int) -> DataFrame:
-    """block, n, bucket, totals (training counts of the block's n-grams of the bucket, in order), types (seen in training; on one row per bucket)."""
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, row in batch.iterrows():
-                for n, (keys, seen, *_) in enumerate(_load(row).ngrams(order), 1):
-                    at = _by_bucket(keys, bits)
-                    some = [b for b in range(1 << bits) if at[b] < at[b + 1]]
-                    yield pd.DataFrame({
-                        "block": row["block"], "n": n, "bucket": some,
-                        "keys": [_sorted_keys(keys[at[b] : at[b + 1]]) for b in some],
-                        "seen": [_packed(seen[at[b] : at[b + 1]].astype(np.uint32)) for b in some],
-                    })
+class Block:
+    """A block's texts, and its n-grams order by order as answers come."""
+
+    def __init__(self, stored: dict[str, bytes]):
+        often = _unpacked(stored["often"], np.uint32)
+        of_rank = np.argsort(-often.astype(np.int64), kind="stable")
+        self.tokens = of_rank[_unpacked(stored["tokens"], np.uint32)]
+        self.lengths = _unpacked(stored["lengths"], np.uint32).astype(np.int64)
+        self.train = np.frombuffer(stored["train"], bool)
+        self.ids = np.frombuffer(stored["ids"], np.int64).reshape(-1, 2)
+        self.learn = np.repeat(self.train, self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.first = np.zeros(len(self.tokens), bool)
+        self.first[self.starts] = True
+        vocabulary = _sorted_unpacked(stored["vocabulary"])
+        self.levels = [Level(vocabulary, np.bincount(self.tokens, self.learn, len(vocabulary)).astype(np.int64), self.tokens)]
+
+    def answered(self, total: np.ndarray, state: np.ndarray) -> None:
+        self.levels[-1].total, self.levels[-1].state = total, state
+
+    def extend(self, base: int, width: int) -> Level:
+        """The next order: n-grams of training words whose context is a state. The start of a text is the last word but one, `base` - 1."""
+        word, last = self.levels[0], self.levels[-1]
+        state, n_last = last.state, len(last.keys)
+        before = np.concatenate([[-1], last.mine[:-1]])
+        context = np.where(self.first, n_last if len(self.levels) == 1 else -1, before)
+        states = np.concatenate([state, [base - 1, -1]])  # of the start, and of none
+        at = np.flatnonzero((states[context] >= 0) & (word.total[self.tokens] > 0))
+        v = len(word.keys)
+        distinct, inverse = np.unique(context[at] * v + self.tokens[at], return_inverse=True)
+        left, right = np.divmod(distinct, v)
+        key = scramble(states[left].astype(np.uint64) * np.uint64(base) + word.state[right].astype(np.uint64), width)
+        order = np.argsort(key, kind="stable")
+        number = np.empty(len(key), np.int64)
+        number[order] = np.arange(len(key))
+        mine = np.full(len(self.tokens), -1)
+        mine[at] = number[inverse]
+        self.levels.append(Level(key[order], np.bincount(mine[at], self.learn[at], len(key)).astype(np.int64), mine))
+        return self.levels[-1]
+
+
+def _requests(block: int, files: str, level: Level, width: int, bits: int) -> pd.DataFrame:
+    """One row for each bucket, a range of the keys, that has any; at least one row."""
+    bucket = (level.keys >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(level.keys), np.int64)
+    at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.array([0, 0])
+    some = bucket[at[:-1]] if len(bucket) else np.array([block % (1 << bits)])
+    cut = list(zip(at[:-1], at[1:], strict=True))
+    return pd.DataFrame({
+        "block": block, "files": files, "bucket": some, "keys": [_sorted_packed(level.keys[a:b]) for a, b in cut], "seen": [_packed(level.seen[a:b].astype(np.uint32)) for a, b in cut],
+    })
+
+
+REQUESTS = "block long, files string, bucket long, keys binary, seen binary"
+ANSWERS = "block long, files string, bucket long, totals binary, states binary, types long, n_states long"
+
+
+def _answers(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of one bucket: training counts of all keys of each block, and the numbers, within the bucket, of those that are states."""
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [_keys(k) for k in group["keys"]]
-        _, where = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(where, np.concatenate([_unpacked(s, np.uint32) for s in group["seen"]])).astype(np.int64)
+        parts = [_sorted_unpacked(k) for k in group["keys"]]
+        distinct, where = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(where, np.concatenate([_unpacked(s, np.uint32) for s in group["seen"]]), len(distinct)).astype(np.int64)
+        is_state = total >= least
+        number = np.cumsum(is_state) - 1
         ends = np.cumsum([len(p) for p in parts])
-        out = [_packed(total[where[e - len(p) : e]].astype(np.uint64)) for p, e in zip(parts, ends, strict=True)]
-        types = np.zeros(len(parts), np.int64)
-        types[0] = np.count_nonzero(total)
-        return pd.DataFrame({"block": group["block"].array, "n": group["n"].array, "bucket": group["bucket"].array, "totals": out, "types": types})
-
-    asked = held.select("block", "train", "lengths", "vocabulary", "tokens").mapInPandas(ask, "block long, n int, bucket int, keys binary, seen binary")
-    return asked.groupBy("n", "bucket").applyInPandas(answer, "block long, n int, bucket int, totals binary, types long")
-
+        mine = [where[e - len(p) : e] for p, e in zip(parts, ends, strict=True)]
+        types, n_states = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        types[0], n_states[0] = np.count_nonzero(total), is_state.sum()
+        return pd.DataFrame({
+            "block": group["block"].array, "files": group["files"].array, "bucket": group["bucket"].array, "totals": [_packed(total[m].astype(np.uint64)) for m in mine],
+            "states": [_sorted_packed(number[m][is_state[m]]) for m in mine], "types": types, "n_states": n_states,
+        })
 
-def traverse(block: Block, totals: list[np.ndarray], n_docs: int, n_tokens: int, n_types: int, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: log10 weight of the base, log10 weight of the automaton's arcs, whether the token is known."""
-    known = logp = base = below = None
-    for k, ((_, _, mine, context), total) in enumerate(zip(block.ngrams(len(totals)), totals, strict=True), 1):
+    return answer
+
+
+def _read_answers(own: pd.DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and numbers of states of a block's n-grams, in the order of their keys. A state's number is that in its bucket times the buckets, plus the bucket."""
+    totals, states = [], []
+    for _, row in own.sort_values("bucket").iterrows():
+        total = _unpacked(row["totals"], np.uint64).astype(np.int64)
+        state = np.full(len(total), -1)
+        state[total >= least] = (_sorted_unpacked(row["states"]).astype(np.int64) << bits) + row["bucket"]
+        totals.append(total)
+        states.append(state)
+    return np.concatenate(totals), np.concatenate(states)
+
+
+def automaton(block: Block, n_docs: int, n_tokens: int, n_types: int, mu: float) -> dict[str, np.ndarray]:
+    """States and arcs that the block's texts can reach.
+
+    State 0 is the root, then the words and the start of a text, then longer n-grams. Per state: depth (words of
+    context), failure state and weight. Per arc: weight and target. arc[k]: the arc of each position from the state of
+    the k words before it, -1 where there is none.
+    """
+    order = len(block.levels)
+    sizes = [len(x.keys) for x in block.levels]
+    offset = np.cumsum([0, 1, sizes[0] + 1, *sizes[1:]])  # states of depth k begin at offset[k]
+    n_states = offset[order]
+    depth, fail, fail_weight = np.zeros(n_states, np.int64), np.zeros(n_states, np.int64), np.zeros(n_states)
+    weights, targets, arcs, first_arc = [], [], [], 0
+    weight = target = None
+    for k, level in enumerate(block.levels, 1):
         if k == 1:
-            count = total[mine]
-            known = count > 0
-            p = (count + 0.1) / (n_tokens + 0.1 * (n_types + 1))
-            base = logp = np.log10(p)
+            weight = np.log10((level.total + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
+            target = np.where((level.total > 0) & (order > 1), 1 + np.arange(sizes[0]), 0)
         else:
-            at = np.flatnonzero(mine >= 0)
-            of_context = np.append(below, n_docs) if k == 2 else below
-            history = of_context[context[at]].astype(float)
-            seen = total[mine[at]]
-            arc = np.log10((seen + mu * 10.0 ** logp[at]) / (history + mu))
-            fail = np.log10(mu / (history + mu)) + logp[at]
-            logp = logp.copy()
-            logp[at] = np.where(seen > 0, arc, fail)
-        below = total
-    return base, logp, known
+            lower = block.levels[k - 2].mine[level.place]
+            before = block.levels[k - 2]
+            counts = np.append(before.total, n_docs) if k == 2 else before.total
+            context = np.where(block.first[level.place], len(before.keys), before.mine[level.place - 1]) if k == 2 else before.mine[level.place - 1]
+            weight = np.log10((level.total + mu * 10.0 ** weight[lower]) / (counts[context] + mu))
+            target = target[lower]
+            if k < order:
+                target = np.where(level.state >= 0, offset[k] + np.arange(sizes[k - 1]), target)
+        if k < order:
+            of = slice(offset[k], offset[k] + sizes[k - 1])
+            depth[of] = k
+            fail_weight[of] = np.log10(mu / (level.total + mu))
+            if k > 1:
+                fail[of] = offset[k - 1] + lower
+        arcs.append(np.where((level.mine >= 0) & ((k == 1) | (level.total[level.mine] > 0) if sizes[k - 1] else False), first_arc + level.mine, -1))
+        first_arc += sizes[k - 1]
+        weights.append(weight)
+        targets.append(target)
+    start = sizes[0] + 1
+    if order > 1:
+        depth[start], fail_weight[start] = 1, np.log10(mu / (n_docs + mu))
+    return {"depth": depth, "fail": fail, "fail_weight": fail_weight, "weight": np.concatenate(weights), "target": np.concatenate(targets), "arc": np.stack(arcs), "start": np.array(start if order > 1 else 0)}
+
+
+def traverse(block: Block, machine: dict[str, np.ndarray]) -> np.ndarray:
+    """log10 weight of each token: all lanes are walked from left to right at once, each carrying its state."""
+    depth, fail, fail_weight, weight, target, arc = (machine[k] for k in ("depth", "fail", "fail_weight", "weight", "target", "arc"))
+    lead = len(arc) - 1
+    cuts = [np.arange(a, a + n, LANE) for a, n in zip(block.starts, block.lengths, strict=True)]
+    begin = np.concatenate(cuts)
+    until = np.concatenate([np.append(c[1:], a + n) for c, a, n in zip(cuts, block.starts, block.lengths, strict=True)])
+    at = np.where(block.first[begin], begin, begin - lead)
+    state = np.where(block.first[begin], machine["start"], 0)
+    longest = np.argsort(at - until, kind="stable")
+    begin, until, at, state = begin[longest], until[longest], at[longest], state[longest]
+    out, steps = np.zeros(len(block.tokens)), until - at
+    for step in range(int(steps[0])):
+        live = int(np.searchsorted(-steps, -step, side="left"))  # lanes are sorted by their steps, the longest first
+        where, s = at[:live] + step, state[:live]
+        cost, a = np.zeros(live), arc[depth[s], where]
+        while len(missing := np.flatnonzero(a < 0)):
+            cost[missing] += fail_weight[s[missing]]
+            s[missing] = fail[s[missing]]
+            a[missing] = arc[depth[s[missing]], where[missing]]
+        state[:live] = target[a]
+        counted = where >= begin[:live]
+        out[where[counted]] = (cost + weight[a])[counted]
+    return out
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame, order: int = 2, mu: float = 2.0, fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, mu: float = 2.0, fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCORES of every row. Null text: only the end token. Rows without an id are learned from. Repeated rows count each
-    time. An empty table gives no rows; with no training text at all every token is unknown."""
+    time; ties cannot occur. A very long text is a block of its own. An empty table gives no rows; with no training text
+    at all every token is unknown. Other columns are not read."""
     spark = docs.sparkSession
-    held = common.checkpointed(blocks(docs, id_col, text_col, fold))
-    whole = held.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train_docs", "n_train", "n_keys")], F.sum(F.length("lengths") / 4).cast("long").alias("tokens")).first()
-    bits = max(int(np.ceil(np.log2(max(1, whole["n_keys"] * 5 / BUCKET_KEYS)))), int(np.ceil(np.log2(common.partitions(spark)))))
-    answers = common.checkpointed(counts(held, order, bits))
-    n_docs, n_tokens = int(whole["n_train_docs"]), int(whole["n_train"])
-    n_types = int(answers.filter("n = 1").agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0])
-
-    def score(texts: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        row = texts.iloc[0]
-        block = _load(row)
-        own = totals.sort_values(["n", "bucket"])
-        per_order = [np.concatenate([_unpacked(t, np.uint64).astype(np.int64) for t in own.loc[own["n"] == n, "totals"]] or [np.zeros(0, np.int64)]) for n in range(1, order + 1)]
-        base, logp, known = traverse(block, per_order, n_docs, n_tokens, n_types, mu)
-        starts = np.cumsum(block.lengths) - block.lengths
-        ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
+    folder = common.new_folder(spark, "lm")
+    held = common.checkpointed(blocks(docs, folder, id_col, text_col, fold))
+    whole = held.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train_docs", "n_train", "n_tokens", "n_words", "n_pairs")]).first()
+    if not whole["n_tokens"]:
+        return spark.createDataFrame([], SCORES)
+    n_docs, n_train = int(whole["n_train_docs"]), int(whole["n_train"])
+    least = [1] + [LEAST] * (order - 2) + [1 << 62] * (order > 1)  # n-grams of the last order are arcs only
+    bits = [max(int(np.ceil(np.log2(max(1, whole[c] / BUCKET_KEYS)))), int(np.ceil(np.log2(common.partitions(spark))))) for c in ["n_words", "n_pairs", *["n_tokens"] * order][:order]]
+
+    def ask_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, i in zip(batch["files"], batch["block"], strict=True):
+                yield _requests(i, name, Block(_stored(folder, name)).levels[0], 64, bits[0])
+
+    def answered(asked: DataFrame, k: int) -> DataFrame:
+        return asked.groupBy("bucket").applyInPandas(_answers(least[k - 1]), ANSWERS)
+
+    replies = common.checkpointed(answered(held.select("block", "files").repartition(common.partitions(spark)).mapInPandas(ask_words, REQUESTS), 1))
+    sums = replies.agg(F.sum("types").alias("types"), F.max("n_states").alias("most")).first()
+    n_types = int(sums["types"])
+    base = (int(sums["most"]) << bits[0]) + 2  # words have numbers below base - 1, which is the start's
+    # Numbers of longer states: buckets are even, so four times the mean and some is more than any has.
+    bounds = [base, *[(4 * n_train // LEAST >> b) + 4096 << b for b in bits[1:]]]
+    widths = [64, *[(b * base).bit_length() for b in bounds]]
+    if max(widths) > 64:
+        raise ValueError("more words and states than 64-bit keys can tell apart")
+
+    def opened(own: pd.DataFrame, k: int) -> tuple[Block, list[str]]:
+        """The block of a group of answers of order k, with the answers of all orders up to it."""
+        names = own["files"].iloc[0].split("|")
+        block = Block(_stored(folder, names[0]))
+        for j in range(1, k + 1):
+            if j > 1:
+                block.extend(base, widths[j - 1])
+            if j == k:
+                block.answered(*_read_answers(own, bits[k - 1], least[k - 1]))
+            else:
+                got = _stored(folder, names[j])
+                block.answered(_unpacked(got["total"], np.int64), _unpacked(got["state"], np.int64))
+        if (block.levels[-1].state >= bounds[k - 1]).any():
+            raise ValueError("a bucket has more states than was reckoned with")
+        return block, names
+
+    def asker(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        """From answers of order k - 1 to requests of order k."""
+
+        def ask(own: pd.DataFrame) -> pd.DataFrame:
+            block, names = opened(own, k - 1)
+            level = block.levels[-1]
+            names.append(_store(folder, total=_packed(level.total), state=_packed(level.state)))
+            return _requests(int(own["block"].iloc[0]), "|".join(names), block.extend(base, widths[k - 1]), widths[k - 1], bits[k - 1])
+
+        return ask
+
+    for k in range(2, order + 1):
+        replies = answered(replies.groupBy("block").applyInPandas(asker(k), REQUESTS), k)
+
+    def score(own: pd.DataFrame) -> pd.DataFrame:
+        block, _ = opened(own, order)
+        machine = automaton(block, n_docs, n_train, n_types, mu)
+        logp = traverse(block, machine)
+        known, root = block.levels[0].total[block.tokens] > 0, machine["weight"][block.tokens]
         return pd.DataFrame({
-            "doc_id": pd.arrays.IntegerArray(ids[:, 1].copy(), ids[:, 0] == 0), "held_out": ~block.train, "n_tokens": block.lengths,
-            "n_known": np.add.reduceat(known.astype(np.int64), starts), "train_tokens": n_tokens,
-            "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logp, starts),
+            "doc_id": pd.arrays.IntegerArray(block.ids[:, 1].copy(), block.ids[:, 0] == 0), "held_out": ~block.train, "n_tokens": block.lengths,
+            "n_known": np.add.reduceat(known.astype(np.int64), block.starts), "train_tokens": n_train,
+            "base_score": np.add.reduceat(root, block.starts), "score": np.add.reduceat(logp, block.starts),
         })
 
-    return held.drop("n_train_docs", "n_train", "n_keys").groupBy("block").cogroup(answers.drop("types").groupBy("block")).applyInPandas(score, SCORES)
+    out = common.checkpointed(replies.groupBy("block").applyInPandas(score, SCORES))
+    common.remove(spark, folder)
+    return out
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
