@@ -3,8 +3,8 @@
 Pieces of at most `capacity` ids are counted by length. A configuration is a multiset of lengths that fits a sequence.
 The linear program (fewest configurations that cover the histogram) is solved by multiplicative weights: a length
 that is covered less than the others gains weight; a knapsack dynamic program over the weighted lengths finds the
-configurations of greatest weight, which are taken in small steps. The solution is rounded down, near-full
-configurations are then rounded up where pieces are left, and what remains is filled by best fit on the histogram.
+configurations of greatest weight, which are taken in small steps. The solution is rounded down, the program is solved
+again for the pieces that are left, and what then remains is filled by best fit on the histogram.
 The histogram has at most `capacity` entries whatever the corpus, so this part runs on the driver; pieces are then
 dealt to their places by their rank within their length, in Spark.
 """
@@ -48,7 +48,7 @@ def _trace(lengths: np.ndarray, pick: np.ndarray, c: int) -> list[int]:
     return out
 
 
-def solve(counts: dict[int, int], capacity: int, rounds: int = 150, step: float = 0.04, gap: float = 0.002) -> list[tuple[Configuration, float]]:
+def solve(counts: dict[int, int], capacity: int, rounds: int = 150, step: float = 0.04, gap: float = 0.001) -> list[tuple[Configuration, float]]:
     """Fractional configurations; stops when within `gap` of the dual bound that the weights give.
 
     The first weights are the lengths themselves, under which every full sequence is worth the same.
@@ -85,47 +85,79 @@ def solve(counts: dict[int, int], capacity: int, rounds: int = 150, step: float
     return out
 
 
-def configurations(counts: dict[int, int], capacity: int, passes: int = 5) -> list[tuple[Configuration, int]]:
-    """Whole configurations that hold exactly the counted pieces.
+def _fullest(left: dict[int, int], longest: int, capacity: int) -> Configuration:
+    """The longest piece with the fullest completion by pieces that are left, found by subset sums as bit sets; of equally full ones that of the longest pieces."""
+    room, bits, steps = capacity - longest, 1, []
+    for n in sorted((n for n in left if n <= room), reverse=True):
+        most, part = min(left[n] - (n == longest), room // n), 1
+        while most > 0:
+            m = min(part, most)
+            steps.append((n, m, bits))
+            bits |= (bits << n * m) & ((2 << room) - 1)
+            most, part = most - m, 2 * part
+        if bits >> room & 1:
+            break
+    of, at = defaultdict(int, {longest: 1}), bits.bit_length() - 1
+    for n, m, before in reversed(steps):
+        if not before >> at & 1:
+            of[n] += m
+            at -= n * m
+    return tuple(sorted(of.items(), reverse=True))
 
-    Fractions are carried on to the next configuration in order, so that neighbours, which share their longest length,
-    make up for each other; a configuration is taken no more often than its pieces are left. The program is then solved
-    again for the pieces that are left; what remains after the passes is filled by best fit.
-    """
+
+def fullest_fill(counts: dict[int, int], capacity: int) -> list[tuple[Configuration, int]]:
+    """The longest piece that is left, completed as full as can be, as often as its pieces allow; and so on."""
     left, out = dict(counts), []
+    while left:
+        config = _fullest(left, max(left), capacity)
+        times = min(left[n] // m for n, m in config)
+        out.append((config, times))
+        for n, m in config:
+            left[n] -= m * times
+            if not left[n]:
+                del left[n]
+    return out
 
-    def take(config: Configuration, most: int) -> int:
-        n = min([most, *(left.get(length, 0) // m for length, m in config)])
-        if n > 0:
-            out.append((config, n))
-            for length, m in config:
-                left[length] -= m * n
-        return n
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Configuration, int]]:
+    """Pieces by falling length, each into the sequence with the least room that holds it: all of one length and room at once."""
+    open_ = defaultdict(lambda: defaultdict(int))  # room: configuration: how many
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        while left:
+            room = next((r for r in range(n, capacity) if open_.get(r)), None)
+            if room is None:  # new sequences take as many as fit before the next one is begun
+                each = min(left, capacity // n)
+                open_[capacity - n * each][((n, each),)] += left // each
+                left %= each
+                continue
+            config = next(iter(open_[room]))
+            times = min(left, open_[room][config])
+            open_[room][config] -= times
+            if not open_[room][config]:
+                del open_[room][config]
+            open_[room - n][config[:-1] + ((n, config[-1][1] + 1),) if config[-1][0] == n else (*config, (n, 1))] += times
+            left -= times
+    return [(config, times) for of in open_.values() for config, times in of.items() if times]
+
+
+def configurations(counts: dict[int, int], capacity: int, passes: int = 2) -> list[tuple[Configuration, int]]:
+    """Whole configurations that hold exactly the counted pieces.
+
+    The program's solution is rounded down, the most frequent configurations first, and the program is solved again for
+    the pieces that are left. Those that then remain, fewer than one of each configuration, are filled by fullest
+    completion and by best fit; the one with fewer sequences is taken.
+    """
+    left, out = {n: k for n, k in counts.items() if k > 0}, []
     for _ in range(passes):
-        rest, carried = {n: k for n, k in left.items() if k > 0}, 0.0
-        if sum(rest.values()) < capacity // 8:
-            break
-        for config, x in sorted(solve(rest, capacity)):
-            carried += x
-            carried = min(carried - take(config, int(carried + 1e-9)), 1.0)
-    while sizes := [n for n in left if left[n] > 0]:
-        # The longest piece that is left, and the fullest completion of it by a subset sum over the rest.
-        longest = max(sizes)
-        room, reach = capacity - longest, {0: ()}
-        for n in sorted((n for n in sizes if n <= room), reverse=True):
-            most = min(left[n] - (n == longest), room // n, 3)
-            for at, items in list(reach.items()):
-                for m in range(1, most + 1):
-                    if at + m * n <= room and at + m * n not in reach:
-                        reach[at + m * n] = (*items, (n, m))
-            if room in reach:
-                break
-        of = defaultdict(int, {longest: 1})
-        for n, m in reach[max(reach)]:
-            of[n] += m
-        take(tuple(sorted(of.items(), reverse=True)), left[longest])
-    return out
+        for config, x in sorted(solve(left, capacity), key=lambda c: (-c[1], c[0])) if left else ():
+            times = min([int(x), *(left.get(n, 0) // m for n, m in config)])
+            if times > 0:
+                out.append((config, times))
+                for n, m in config:
+                    left[n] -= m * times
+        left = {n: k for n, k in left.items() if k > 0}
+    return out + min(fullest_fill(left, capacity), best_fit(left, capacity), key=lambda fill: sum(times for _, times in fill))
 
 
 def plan(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
@@ -164,39 +196,41 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Add sequence_id and offset to rows with a length between 1 and capacity; every row gets a place.
+    """Add sequence_id and offset to rows (doc_id, piece, length and others) with a length between 1 and capacity.
 
-    Ranks within a length come from counts by (length, salt): a length may hold any share of the rows. Equal rows get
-    different places. An empty table gives an empty result.
+    Ranks within a length come from counts by (length, salt): a length may hold any share of the rows. Every row gets a
+    place, equal rows different ones; which of several rows of one length gets which place is not fixed. Columns named
+    sequence_id or offset are replaced, all others stay. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    salts = common.partitions(spark)
-    held = common.checkpointed(pieces.withColumn("_salt", (F.rand(17) * salts).cast("int")))
-    by_salt = held.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    counts = {int(r["length"]): int(r["n"]) for r in by_salt.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
+    salts, kept = common.partitions(spark), pieces.drop("sequence_id", "offset")
+    salt, each, before, within, rank = (common.fresh(kept.columns, c) for c in ("salt", "each", "before", "within", "rank"))
+    held = common.checkpointed(kept.withColumn(salt, (F.rand(17) * salts).cast("int")))
+    by_salt = held.groupBy("length", salt).agg(F.count("*").alias(each))
+    counts = {int(r["length"]): int(r["n"]) for r in by_salt.groupBy("length").agg(F.sum(each).alias("n")).collect()}  # at most `capacity` rows
     seats = plan(counts, capacity)
-    before = by_salt.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
+    earlier = by_salt.withColumn(before, F.sum(each).over(W.partitionBy("length").orderBy(salt)) - F.col(each)).drop(each)
     ranked = (
-        held.withColumn("_in", F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
-        .join(before, ["length", "_salt"])
-        .withColumn("_rank", F.col("_before") + F.col("_in"))
-        .drop("_before", "_in", "_salt")
+        held.withColumn(within, F.row_number().over(W.partitionBy("length", salt).orderBy("doc_id", "piece")) - 1)
+        .join(earlier, ["length", salt])
+        .withColumn(rank, F.col(before) + F.col(within))
+        .drop(before, within, salt)
     )
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["_rank"].to_numpy()
+            length, ranks = batch["length"].to_numpy(), batch[rank].to_numpy()
             sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for n in np.unique(length):
                 at, rows = np.flatnonzero(length == n), seats[int(n)]
-                row = rows[np.searchsorted(rows[:, 0], rank[at], side="right") - 1]
-                nth = rank[at] - row[:, 0]
+                row = rows[np.searchsorted(rows[:, 0], ranks[at], side="right") - 1]
+                nth = ranks[at] - row[:, 0]
                 sequence[at], offset[at] = row[:, 1] + nth // row[:, 2], row[:, 3] + nth % row[:, 2] * n
-            yield batch.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
+            yield batch.drop(columns=rank).assign(sequence_id=sequence, offset=offset)
 
-    kinds = dict(pieces.dtypes)
-    columns = [c for c in ranked.columns if c != "_rank"]
-    return ranked.mapInPandas(place, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", sequence_id long, offset long").select(*pieces.columns, "sequence_id", "offset")
+    kinds = dict(kept.dtypes)
+    columns = [c for c in ranked.columns if c != rank]
+    return ranked.mapInPandas(place, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", sequence_id long, offset long").select(*[F.col(f"`{c}`") for c in kept.columns], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:
