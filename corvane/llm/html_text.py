@@ -49,12 +49,18 @@ ENDS = {
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 SCOPE = frozenset("table td th caption html template".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'])*+)>|<[!?/][^>]*>?|([^<]+|<)", re.S
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*)([^>]*)>")
+_NO_TEXT = re.compile(r"<[!?/]")
+_NAME = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HINT = re.compile(r"hidden|display|visibility|span|start|value|open|type", re.I)
+_HINT = re.compile(r"hidden|display|visibility|span|start|value|open|type|class|id", re.I)
+#: Rules of style sheets that hide what one class, one id or one kind of element has.
+_RULE = re.compile(r"([^{}]{1,2000})\{([^{}]*)\}")
+_PLAIN_SELECTOR = re.compile(r"[.#]?[a-z_][\w-]*\Z")
+#: Cells longer than this do not widen their column for the others.
+ALIGN = 64
 
 
 class Node:
@@ -110,19 +116,36 @@ def tree(source: str) -> Node:
         if tag not in VOID:
             push(node)
 
-    at, end = 0, len(source)
+    at, end, last, loose = 0, len(source), source.rfind(">"), False
+
+    def text(words: str) -> None:
+        if words:
+            stack[-1].children.append(html.unescape(words) if "&" in words else words)
+
     while at < end:
-        m = _TOKEN.match(source, at)
-        if not m:
-            stack[-1].children.append(source[at])
-            at += 1
+        cut_at = source.find("<", at)
+        if cut_at < 0 or cut_at > last:  # no tag ends any more
+            unseen = _NO_TEXT.search(source, at)
+            text(source[at : unseen.start() if unseen else end])
+            break
+        text(source[at:cut_at])
+        at = cut_at
+        if source.startswith("<!--", at):
+            close_at = source.find("-->", at + 4)
+            at = close_at + 3 if close_at >= 0 else end
             continue
-        at = m.end()
-        if m[4] is not None:
-            stack[-1].children.append(html.unescape(m[4]) if "&" in m[4] else m[4])
-            continue
-        if m[2] is None:
+        if not _NAME.match(source, at):
+            if source[at + 1 : at + 2] in ("!", "?", "/"):
+                at = source.find(">", at) + 1
+            else:
+                text("<")
+                at += 1
             continue
+        m = (_LOOSE_TAG if loose else _TAG).match(source, at)
+        if m is None:  # quotes that never close: from here on a tag ends at the next >, so the rest is read once more at most
+            loose = True
+            m = _LOOSE_TAG.match(source, at)
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
             if tag == "p" and not places.get("p"):
@@ -149,10 +172,8 @@ def tree(source: str) -> Node:
         opened(tag, _attributes(m[3]))
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
-            text = source[at : stop.start() if stop else end]
-            if tag == "textarea":
-                text = html.unescape(text)
-            stack[-1].children.append(text)
+            raw = source[at : stop.start() if stop else end]
+            stack[-1].children.append(html.unescape(raw) if tag == "textarea" else raw)
             at = stop.end() if stop else end
             if stack[-1].tag == tag:
                 cut(len(stack) - 1)
@@ -195,17 +216,35 @@ class Page:
         return "".join(self.out)
 
 
-def _shown(node: Node, seen: bool) -> tuple[bool, bool]:
+def hiding(root: Node) -> frozenset[str]:
+    """Selectors (.class, #id, element) that style sheets of the page hide by `display: none`; others are not read."""
+    found, nodes = set(), [root]
+    while nodes:
+        node = nodes.pop()
+        if node.tag == "style":
+            sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", "".join(c for c in node.children if isinstance(c, str)), flags=re.S).lower()
+            if "@media" not in sheet:
+                for selectors, body in _RULE.findall(sheet) if "none" in sheet else ():
+                    if re.search(r"(?:^|;)display:none", re.sub(r"\s+", "", body)):
+                        found.update(t for t in map(str.strip, selectors.split(",")) if _PLAIN_SELECTOR.match(t))
+        nodes += [c for c in node.children if not isinstance(c, str)]
+    return frozenset(found - {"html", "body"})
+
+
+def _shown(node: Node, seen: bool, hidden: frozenset[str]) -> tuple[bool, bool]:
     """(whether the element makes a box, whether text in it is visible)."""
     a = node.attributes
     if node.tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in a:
         return False, False
-    if style := a.get("style"):
-        style = re.sub(r"\s+|/\*.*?\*/", "", style.lower())
-        if re.search(r"(?:^|;)display:none", style):
+    style = re.sub(r"\s+|/\*.*?\*/", "", a["style"].lower()) if "style" in a else ""
+    if re.search(r"(?:^|;)display:none", style):
+        return False, False
+    if hidden and "display:" not in style:
+        names = [node.tag, "#" + a.get("id", "").lower(), *("." + c for c in a.get("class", "").lower().split())]
+        if not hidden.isdisjoint(names):
             return False, False
-        if m := re.search(r"(?:^|;)visibility:(hidden|collapse|visible)", style):
-            seen = m[1] == "visible"
+    if m := re.search(r"(?:^|;)visibility:(hidden|collapse|visible)", style):
+        seen = m[1] == "visible"
     return True, seen
 
 
@@ -226,41 +265,86 @@ def _run(step: Generator) -> None:
             got = end.value
 
 
-def _cells(node: Node, page: Page, seen: bool) -> Generator:
-    """Rows of a table; what stands in it outside of rows is laid out before it. A step of _run."""
-    rows = []
+class Grid:
+    """Rows of a table as (column, lines of a cell); cells that span rows keep their columns."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.taken, self.until = 0, defaultdict(int)  # columns taken by cells from above, as bits; and by the last row that they reach
+
+    def begin(self) -> None:
+        self.taken &= ~self.until.pop(len(self.rows) - 1, 0)
+        self.rows.append([])
+        self.column = 0
+
+    def add(self, value: str, columns: int = 1, rows: int = 1) -> None:
+        if self.taken:
+            free = ~self.taken >> self.column
+            self.column += (free & -free).bit_length() - 1
+        if value:
+            self.rows[-1].append((self.column, value.split("\n")))
+        if rows != 1:
+            bits = ((1 << columns) - 1) << self.column
+            self.taken |= bits
+            self.until[len(self.rows) + rows - 2 if rows else -1] |= bits
+        self.column += columns
+
+    def end_group(self) -> None:
+        self.taken, self.until = 0, defaultdict(int)
+
+    def lines(self) -> Iterator[str]:
+        """Cells side by side, each line of a row on a line, columns apart by two spaces; columns without text take no room."""
+        width: defaultdict[int, int] = defaultdict(int)
+        for column, value in (cell for row in self.rows for cell in row):
+            width[column] = max(width[column], *(len(v) for v in value if len(v) <= ALIGN), 0)
+        left, at = {}, 0
+        for column in sorted(width):
+            left[column] = at
+            at += width[column] + 2
+        for row in self.rows:
+            for i in range(max((len(value) for _, value in row), default=0)):
+                out, size = [], 0
+                for column, value in row:
+                    if i < len(value) and value[i]:
+                        gap = max(left[column] - size, 2 if size else 0)
+                        out += [" " * gap, value[i]]
+                        size += gap + len(value[i])
+                yield "".join(out)
+
+
+def _cells(node: Node, page: Page, seen: bool, hidden: frozenset[str], grid: Grid) -> Generator:
+    """Put the rows of a table into the grid; what stands in it outside of rows is laid out before it. A step of _run."""
     for child in node.children:
         if isinstance(child, str):
             if child.strip() and seen:
                 page.text(child)
             continue
-        box, visible = _shown(child, seen)
+        box, visible = _shown(child, seen, hidden)
         if not box or child.tag in ("col", "colgroup"):
             continue
         if child.tag in ("thead", "tbody", "tfoot"):
-            rows += yield _cells(child, page, visible)
+            yield _cells(child, page, visible, hidden, grid)
+            grid.end_group()
         elif child.tag == "tr":
-            row = []
+            grid.begin()
             for cell in child.children:
                 if isinstance(cell, str):
                     if cell.strip() and visible:
-                        row.append(_SPACE.sub(" ", cell).strip(" "))
+                        grid.add(_SPACE.sub(" ", cell).strip(" "))
                     continue
-                cell_box, cell_seen = _shown(cell, visible)
+                cell_box, cell_seen = _shown(cell, visible, hidden)
                 if cell_box:
                     inner = Page()
-                    yield _lay(cell, inner, cell_seen, False, 0)
-                    row.append(re.sub(r"\s*\n\s*", " ", inner.value()).strip())
-                    row += [""] * (min(max(_number(cell.attributes.get("colspan"), 1), 1), 100) - 1)
-            rows.append(row)
+                    yield _lay(cell, inner, cell_seen, False, 0, hidden)
+                    value = re.sub(r"\s*\n", "\n", inner.value()).strip("\n").rstrip()
+                    grid.add(value, min(max(_number(cell.attributes.get("colspan"), 1), 1), 1000), min(max(_number(cell.attributes.get("rowspan"), 1), 0), 65534))
         else:
             page.lines(1)
-            yield _lay(child, page, visible, False, 0)
+            yield _lay(child, page, visible, False, 0, hidden)
             page.lines(1)
-    return rows
 
 
-def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int) -> Generator:
+def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int, hidden: frozenset[str]) -> Generator:
     """Lay out what is in an element. A step of _run."""
     pre = pre or node.tag in ("pre", "xmp", "textarea")
     count = _number(node.attributes.get("start"), 1) if node.tag == "ol" else 0
@@ -276,18 +360,19 @@ def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int) -> Generator
         if tag == "br":
             page.owed, page.space = (page.owed + 1 if page.owed < 2 else 2), False
             continue
-        box, visible = _shown(child, seen)
+        box, visible = _shown(child, seen, hidden)
         if not box:
             continue
         gap = 2 if tag in APART and not (tag in ("ul", "ol") and depth) else 1 if tag in BLOCKS else 0
         if gap:
             page.lines(gap)
         if tag == "table":
-            rows = [r for r in (yield _cells(child, page, visible)) if any(r)]
-            widths = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
-            for r in rows:
-                page.lines(1 if page.owed < 2 else 2)
-                page.text("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip(), keep=True)
+            grid = Grid()
+            yield _cells(child, page, visible, hidden, grid)
+            for line in grid.lines():
+                if line:
+                    page.lines(1 if page.owed < 2 else 2)
+                    page.text(line, keep=True)
         elif tag == "li":
             if node.tag == "ol":
                 count = _number(child.attributes.get("value"), count)
@@ -295,7 +380,7 @@ def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int) -> Generator
             count += 1
             page.first = len(page.indent), mark
             page.indent.append(" " * len(mark))
-            yield _lay(child, page, visible, pre, depth + 1)
+            yield _lay(child, page, visible, pre, depth + 1, hidden)
             page.first = None
             page.indent.pop()
         else:
@@ -304,7 +389,7 @@ def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int) -> Generator
                 page.indent.append("  ")
             if tag in ("td", "th"):
                 page.space = True
-            yield _lay(child, page, visible, pre, depth + (tag in ("ul", "ol")))
+            yield _lay(child, page, visible, pre, depth + (tag in ("ul", "ol")), hidden)
             if inner:
                 page.indent.pop()
         if gap:
@@ -316,14 +401,16 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     page, root = Page(), tree(source)
-    box, seen = _shown(root, True)
+    hidden = hiding(root) if "<style" in source.lower() else frozenset()
+    box, seen = _shown(root, True, hidden)
     if box:
-        _run(_lay(root, page, seen, False, 0))
+        _run(_lay(root, page, seen, False, 0, hidden))
     return page.value()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id, text, n_chars per row. Null or empty html gives an empty text; equal rows give equal rows."""
+    """page_id, text, n_chars per row, in no fixed order. Null or empty html gives an empty text; equal rows give equal
+    rows, a null id stays null; pages of any length and depth are rendered whole; other columns are not read."""
 
     def to_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
