@@ -27,7 +27,9 @@ from . import common
 from .shingles import Words, mix
 
 K1, B = 1.2, 0.75
-BLOCK = 2
+#: Postings of a block; and how many ranges of items at most the first test tells apart.
+BLOCK = 64
+RANGES = 512
 PASSAGE = 128
 SEGMENT = PASSAGE // 2
 THRESHOLD = 0.5
@@ -104,12 +106,18 @@ class Index:
         self.impacts = [[x / own[d] for d, x in post] for post in raw]
         self.block_max = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in self.impacts]
         self.list_max = np.array([max(b) for b in self.block_max] or [0.0])
-        # (block, bound) of each word one after the other.
-        wide = [(d[i] // BLOCK, max(v for e, v in zip(d, x, strict=True) if e // BLOCK == d[i] // BLOCK)) for d, x in zip(self.docs, self.impacts, strict=True) for i in range(len(d)) if i == 0 or d[i] // BLOCK != d[i - 1] // BLOCK]
+        # (range of items, bound) of each word one after the other.
+        step, wide, each = max(2, -(-n // RANGES)), [], []
+        for d, x in zip(self.docs, self.impacts, strict=True):
+            most: dict[int, float] = {}
+            for e, v in zip(d, x, strict=True):
+                most[e // step] = max(v, most.get(e // step, 0.0))
+            wide += most.items()
+            each.append(len(most))
         self.range_of, self.range_max = np.array([b for b, _ in wide], np.int64), np.array([v for _, v in wide])
-        self.ranges_each = np.array([len({e // BLOCK for e in d}) for d in self.docs], np.int64)
+        self.ranges_each = np.array(each, np.int64)
         self.ranges_from = np.cumsum(self.ranges_each) - self.ranges_each
-        self.ranges = -(-n // BLOCK)
+        self.ranges = -(-n // step)
 
     def search(self, terms, threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All (segment, score) of at least the threshold: block-max WAND."""
@@ -203,7 +211,7 @@ class Index:
             for item, score in sorted(found.items()):
                 item_id, q, a = self.items[item]
                 hit_q, hit_a = _contained(q, w, own, known), _contained(a, w, own, known)
-                if hit_q + hit_a >= OVERLAP * (len(q) + len(a)):
+                if hit_q >= OVERLAP * len(q) and hit_a >= OVERLAP * len(a):
                     rows.append((item_id, score, hit_q / len(q), hit_a / len(a) if len(a) else None))
             out.append(rows)
         return out
