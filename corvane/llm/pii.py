@@ -28,7 +28,7 @@ PATTERNS = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+@[\p{{L}}\p{{N}}\-]{{1,63}}+(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}+){{1,8}}",
     "secret": rf"{_NAMED}(?:\"[^\"\r\n]{{8,}}+\"|'[^'\r\n]{{8,}}+'|[\"']?{_VALUE}{{7,}}(?![.,;:)\]}}>]){_VALUE}[\"']?)",
     "access_key": r"\bAKIA[A-Z0-9]{16}\b",
-    "hex": r"(?<![0-9A-Za-z])(?=[a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "hex": r"(?<![0-9A-Za-z])(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "date": r"(?<![\d/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?!\d|[/.\-]\d)",
     "identity": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -104,7 +104,7 @@ def pseudonym(m: str, key: str = KEY) -> str:
     fresh = f"substring(repeat({digest}, int(length(v) div 256 + 1)), 1, length(v))"
     secret = _let(name, "n", _let(value, "v", f"concat(n, {fresh}, substring({m}, length(n) + length(v) + 1))"))
     access = f"concat('AKIA', upper(substring(sha2(concat_ws('|', {_sql(key)}, 'access', {m}), 256), 1, 16)))"
-    hexes = f"substring(sha2(concat_ws('|', {_sql(key)}, 'hex', {m}), 256), 1, length({m}))"
+    hexes = f"substring(repeat(sha2(concat_ws('|', {_sql(key)}, 'hex', {m}), 256), int(length({m}) div 64 + 1)), 1, length({m}))"
     octets = f"transform(split({m}, '[.]'), x -> cast(x as bigint))"
     network = feistel("o[0] * 256 + o[1]", "o[2] * 256 + o[3]", "65536", "65536", key, "ip")
     ip = _let(octets, "o", f"if(exists(o, x -> x > 255), {m}, {_let(network, 'f', "concat_ws('.', f.l div 256, f.l % 256, f.r div 256, f.r % 256)")})")
@@ -125,7 +125,11 @@ def pseudonym(m: str, key: str = KEY) -> str:
     country = f"regexp_extract({m}, {_sql(r'^\+\d{1,3}(?=[ .(\-])')}, 0)"
     local = f"substring({m}, length(h) + 1)"
     phone = _let(country, "h", f"concat(h, {_into(local, permuted_digits(f'regexp_replace({local}, {_sql("[^0-9]")}, {_sql("")})', key, 'number'))})")
-    identity = _into(m, permuted_digits(digits, key, "number"))
+    # No part of an identity number is all zeros and the first is not 666: 998 * 99 * 9999 numbers, permuted among themselves.
+    parts = f"transform(split({m}, '-'), x -> cast(x as int))"
+    one = feistel("(o[0] - if(o[0] > 666, 2, 1)) * 99 + o[1] - 1", "o[2] - 1", "998 * 99", "9999", key, "identity")
+    put = "concat_ws('-', lpad(cast(f.l div 99 + if(f.l div 99 >= 665, 2, 1) as string), 3, '0'), lpad(cast(f.l % 99 + 1 as string), 2, '0'), lpad(cast(f.r + 1 as string), 4, '0'))"
+    identity = _let(parts, "o", f"if(o[0] = 0 or o[0] = 666 or o[1] = 0 or o[2] = 0, {m}, {_let(one, 'f', put)})")
     body = f"concat(substring(e, 1, 1), {permuted_digits('substring(e, 2, length(e) - 2)', key, 'card')})"
     new = _let(body, "y", f"concat(y, cast((10 - {_luhn('y')} % 10) % 10 as string))")
     valid = f"({_luhn('substring(e, 1, length(e) - 1)')} + cast(substring(e, -1, 1) as int)) % 10 = 0"
@@ -143,18 +147,18 @@ def pseudonym(m: str, key: str = KEY) -> str:
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count: str | None = "n_replaced") -> DataFrame:
     """docs with the text replaced and, if named, a column that counts the changed spans.
 
-    Null texts stay null and empty ones empty (0); repeated rows are changed alike; other columns stay, but one of the
-    count's name is replaced.
+    Null texts stay null and empty ones empty (0); repeated rows are changed alike; texts of any length are changed
+    whole; all other columns stay, but one of the count's name is replaced.
     """
-    ours = {"found": "_pii_found", "new": "_pii_new"}
+    found, new = common.fresh(docs.columns, "found"), common.fresh(docs.columns, "new")
     col = F.col(f"`{text_col}`")
-    out = docs.withColumn(ours["found"], F.regexp_extract_all(col, F.lit(ANY), F.lit(0))).withColumn(ours["new"], F.expr(f"transform({ours['found']}, m -> {pseudonym('m', key)})"))
+    out = docs.withColumn(found, F.regexp_extract_all(col, F.lit(ANY), F.lit(0))).withColumn(new, F.expr(f"transform({found}, m -> {pseudonym('m', key)})"))
     pieces = F.split(col, ANY, -1)
-    joined = F.concat_ws("", F.flatten(F.zip_with(pieces, ours["new"], lambda p, x: F.array(p, F.coalesce(x, F.lit(""))))))
-    changed = F.size(F.filter(F.zip_with(ours["found"], ours["new"], lambda a, b: a != b), lambda x: x))
+    joined = F.concat_ws("", F.flatten(F.zip_with(pieces, new, lambda p, x: F.array(p, F.coalesce(x, F.lit(""))))))
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
     if count:
         out = out.withColumn(count, F.coalesce(F.when(col.isNotNull(), changed), F.lit(0)))
-    return out.withColumn(text_col, F.when(F.size(ours["found"]) > 0, joined).otherwise(col)).drop(*ours.values())
+    return out.withColumn(text_col, F.when(F.size(found) > 0, joined).otherwise(col)).drop(found, new)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
