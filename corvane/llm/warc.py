@@ -1,9 +1,9 @@
 """WARC archives with an index of records (operator 5).
 
 Each page becomes one gzip member: a response, or a revisit where an equal payload is already a response. While a
-task writes, it notes offset, length, URL and digest of every record; that index is the operator's table. Reading
-starts from the index: the selected records are sorted by file and offset, neighbouring byte ranges are joined, and
-each joined range is read once.
+task writes, it notes offset, length, URL and digest of every record; that index is written beside the archives, in
+Parquet files that only successful tasks commit. Reading starts from the index: the selected records are sorted by file
+and offset, neighbouring byte ranges are joined, and each joined range is read once.
 """
 
 from __future__ import annotations
@@ -101,9 +101,11 @@ def assign(pages: DataFrame, at_least: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, at_least: int = 0) -> DataFrame:
-    """Write one archive per task and return the index, a row per page. Null html: an empty payload; null url: no target.
+    """Write one archive per task, and the index beside them, which is returned: a row per page, of INDEX.
 
-    A task that is run again writes a new file; the index names one file per record only. Equal rows give a record each.
+    Null html: an empty payload; null url: no target; null id: a record without a page. Equal rows give a record each;
+    payloads of any length are written whole; other columns are not read; an empty table gives an empty index. A task
+    that is run again writes a new file; the index names one file per record only, and the others are removed.
     """
 
     def to_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +129,25 @@ def write(pages: DataFrame, folder: str, at_least: int = 0) -> DataFrame:
         if sink is not None:
             sink.close()
 
-    return common.checkpointed(assign(pages, at_least).mapInPandas(to_files, INDEX))
+    spark = pages.sparkSession
+    assign(pages, at_least).mapInPandas(to_files, INDEX).write.parquet(f"{folder}/index")
+    delete_orphans(spark, folder)
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(f"{folder}/index")
+
+
+def delete_orphans(spark: SparkSession, folder: str) -> int:
+    """Delete archives that the index does not name, left by attempts that failed; how many there were. One name per task."""
+    named = {r["file"].rsplit("/", 1)[-1] for r in open_index(spark, folder).select("file").distinct().collect()}
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in system.listStatus(path) if f.getPath().getName().endswith(".warc.gz") and f.getPath().getName() not in named]
+    for f in found:
+        system.delete(f, False)
+    return len(found)
 
 
 def ranges(rows: Iterator[tuple[str, int, int]], gap: int, most: int) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
@@ -186,7 +206,9 @@ def read(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "warc")
     index = write(common.read(spark, sf_dir, "pages"), folder)
-    return read(index, folder, keep_payload=False).drop("payload", "url")
+    out = common.checkpointed(read(index, folder, keep_payload=False).drop("payload", "url"))
+    common.remove(spark, folder)
+    return out
 
 
 OP5_SQL = """
