@@ -169,7 +169,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     """Write ids of every text (null: empty), each with its end id, in ascending doc_id order (null ids first).
 
     Returns one row per file: file_no (ascending with the ids), file, n_docs, n_tokens, n_bytes. Repeated ids are kept
-    as separate documents. An empty table gives no file. A task that is run again writes a new file; the old one is
+    as separate documents, in the order of their texts' hashes. Texts of any length are kept whole; other columns are not read. An empty table gives no file. A task that is run again writes a new file; the old one is
     in no row. Partitions are ranges of the id, so each file is written by one task with one segment in memory.
     """
 
@@ -191,7 +191,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
             size = writer.close()
             yield pd.DataFrame({"file_no": [no], "file": [name], "n_docs": [len(writer.docs)], "n_tokens": [writer.total], "n_bytes": [size]})
 
-    ordered = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).repartitionByRange("i").sortWithinPartitions("i")
+    ordered = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).repartitionByRange("i").sortWithinPartitions("i", F.xxhash64("t"), "t")
     return common.checkpointed(ordered.mapInPandas(to_files, "file_no long, file string, n_docs long, n_tokens long, n_bytes long"))
 
 
@@ -215,4 +215,6 @@ def read(files: DataFrame, folder: str) -> DataFrame:
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "tokens")
     files = write(common.read(spark, sf_dir, "documents"), folder, tokens.default_path())
-    return read(files, folder)
+    out = common.checkpointed(read(files, folder))
+    common.remove(spark, folder)
+    return out
