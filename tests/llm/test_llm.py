@@ -1,10 +1,12 @@
 """Small tests of the language-model data operators: odd inputs and brute force."""
 
+import hashlib
 import math
 import re
+import time
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -66,14 +68,64 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, tokens.default_path()).count() == 0
 
 
-def test_configurations_hold_all_pieces():
-    counts = dict(Counter(np.random.default_rng(3).integers(1, 129, 4000).tolist()))
-    held = Counter()
-    for config, n in packing.configurations(counts, 128):
-        assert sum(length * m for length, m in config) <= 128
-        for length, m in config:
-            held[length] += m * n
-    assert held == counts
+def plain_best_fit(counts, capacity):
+    """Sequences of best-fit decreasing, piece by piece."""
+    rooms = []
+    for n in sorted((n for n, k in counts.items() for _ in range(k)), reverse=True):
+        fits = [(r, i) for i, r in enumerate(rooms) if r >= n]
+        if fits:
+            rooms[min(fits)[1]] -= n
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("pieces", [0, 1, 7, 100, 4000])
+def test_configurations_hold_all_pieces(pieces):
+    for seed in range(3):
+        counts = dict(Counter(np.random.default_rng(seed).integers(1, 129, pieces).tolist()))
+        held, sequences = Counter(), 0
+        for config, n in packing.configurations(counts, 128):
+            sequences += n
+            assert sum(length * m for length, m in config) <= 128
+            for length, m in config:
+                held[length] += m * n
+        assert held == counts and sequences <= plain_best_fit(counts, 128)
+        again = Counter({n: 0 for n in counts})
+        for config, n in packing.best_fit(counts, 128):
+            again.update({length: m * n for length, m in config})
+        assert again == counts and sum(n for _, n in packing.best_fit(counts, 128)) == plain_best_fit(counts, 128)
+
+
+def test_packing_query_against_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    plain = Tokenizer.from_file(tokens.default_path())
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = packing.op2_packing(spark, folder).collect()
+    counts = Counter()
+    for i, text in texts.items():
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, tokens.END_ID], "<u4")
+        mine = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert [r["piece"] for r in mine] == list(range(len(mine))) and sum(r["length"] for r in mine) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in mine)
+        assert len(mine) == -(-len(ids) // 1024) and all(r["length"] == 1024 for r in mine[1:])
+        counts.update(r["length"] for r in mine)
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for v in places.values():
+        v.sort()
+        assert v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(v, v[1:], strict=False)) and sum(v[-1]) <= 1024
+    assert len(places) <= plain_best_fit(counts, 1024)
+
+
+def test_packing_keeps_other_columns(spark):
+    rows = spark.createDataFrame([(1, 0, 5, "a", 1, 9), (1, 0, 5, "a", 1, 9), (2, 0, 3, None, 2, 9)], "doc_id long, piece int, length long, _corvane_salt string, rank int, offset long")
+    got = packing.pack(rows, 8).collect()
+    assert got[0].asDict().keys() == {"doc_id", "piece", "length", "_corvane_salt", "rank", "sequence_id", "offset"}
+    assert sorted((r["_corvane_salt"] or "", r["rank"]) for r in got) == [("", 2), ("a", 1), ("a", 1)] and len({(r["sequence_id"], r["offset"]) for r in got}) == 3
 
 
 def test_pii(spark, docs, none):
@@ -89,39 +141,74 @@ def test_pii(spark, docs, none):
     assert d.selectExpr(f"{pii.permuted_digits('m', 'k', 't')} p").distinct().count() == 1000
 
 
-def test_scores_against_brute_force(docs, none):
-    rows = docs.collect()
-    words = [(r["text"] or "").encode().lower().split() + [None] for r in rows]
+def backoff_scores(rows, order, mu=2.0):
+    """(score, base score, tokens) of each text, straight from the definition of the model."""
+    words = [[*(r["text"] or "").encode().lower().split(), None] for r in rows]
     learn = [r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 10 != 0 for r in rows]
-    one, two = Counter(), Counter()
+    seen = Counter()
     for w, k in zip(words, learn, strict=True):
-        if k:
-            one.update(w)
-            two.update(zip(["start", *w], w, strict=False))
-    n, v = sum(one.values()), len(one)
-
-    def expected(w):
-        total, before = 0.0, "start"
-        for t in w:
-            history = sum(learn) if before == "start" else one[before]
-            total += math.log10((two[before, t] + 2.0 * (one[t] + 0.1) / (n + 0.1 * (v + 1))) / (history + 2.0))
-            before = t
-        return round(total, 6), sum(math.log10((one[t] + 0.1) / (n + 0.1 * (v + 1))) for t in w)
-
-    want = sorted((expected(w)[0], round(expected(w)[1], 6), len(w)) for w in words)
-    got = sorted((round(r["score"], 6), round(r["base_score"], 6), r["n_tokens"]) for r in ngram_lm.lm_scores(docs).collect())
-    assert got == want
-    assert ngram_lm.lm_scores(docs, order=3).count() == 10 and ngram_lm.lm_scores(none).count() == 0
-
-
-def test_warc(spark, none):
-    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "x"), (3, None, None), (4, "http://d", ""), (None, "u v", "x"), (5, "", "é")], "page_id long, url string, html string")
-    index = warc.write(pages, folder := warc.common.new_folder(spark, "w"))
-    got = {r["page_id"]: r for r in warc.read(index, folder).collect()}
+        with_start = ["start", *w]
+        seen.update(tuple(with_start[i : i + n]) for n in range(1, order + 1) for i in range(len(with_start) - n + 1) if k)
+    n, v = sum(len(w) for w, k in zip(words, learn, strict=True) if k), len({t for w, k in zip(words, learn, strict=True) if k for t in w})
+
+    def p(word, history):
+        if not history:
+            return (seen[word,] + 0.1) / (n + 0.1 * (v + 1))
+        lower = p(word, history[1:])
+        if seen[history] < (1 if len(history) == 1 else ngram_lm.LEAST):
+            return lower
+        return (seen[*history, word] + mu * lower) / (seen[history] + mu)
+
+    out = []
+    for w in words:
+        h = ["start", *w]
+        total = sum(math.log10(p(h[i], tuple(h[max(0, i - order + 1) : i]))) for i in range(1, len(h)))
+        out.append((round(total, 6), round(sum(math.log10(p(t, ())) for t in w), 6), len(w)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_against_brute_force(spark, docs, none, order):
+    rng = np.random.default_rng(order)
+    random = spark.createDataFrame([(100 + i, " ".join(rng.choice(list("abcdef"), int(rng.integers(0, 60)))), None, None, i) for i in range(60)] + [(500, "a b " * 1500, None, None, 0)], SCHEMA)
+    for frame in (docs, docs.unionByName(random)):
+        got = sorted((round(r["score"], 6), round(r["base_score"], 6), r["n_tokens"]) for r in ngram_lm.lm_scores(frame, order=order).collect())
+        assert got == backoff_scores(frame.collect(), order)
+    assert ngram_lm.lm_scores(none, order=order).count() == 0
+
+
+def test_scores_do_not_depend_on_blocks_and_buckets(docs, monkeypatch):
+    whole = sorted(tuple(r) for r in ngram_lm.lm_scores(docs).select("n_tokens", "score", "n_known").collect())
+    monkeypatch.setattr(ngram_lm, "BUCKET_KEYS", 3)
+    got = sorted(tuple(r) for r in ngram_lm.lm_scores(docs.repartition(5)).select("n_tokens", "score", "n_known").collect())
+    assert [(a, round(b, 9), c) for a, b, c in got] == [(a, round(b, 9), c) for a, b, c in whole]
+
+
+def test_scores_without_training_texts(spark):
+    out = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    got = ngram_lm.lm_scores(spark.createDataFrame([(i, "a b c") for i in out], "doc_id long, text string")).collect()
+    assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["held_out"] and math.isfinite(r["score"]) for r in got) and len(got) == 3
+
+
+def test_warc(spark):
+    schema = "page_id long, url string, html string, sha1 string, file string"
+    rows = [(1, "http://a", "x"), (2, "http://b", "x"), (3, None, None), (4, "http://d", ""), (None, "u v", "x"), (5, "", "é"), (6, "l", "long " * 400_000), (7, "r", "same"), (7, "r", "same")]
+    pages = spark.createDataFrame([(*r, "own", None) for r in rows], schema)
+    written = warc.write(pages, folder := warc.common.new_folder(spark, "w"))
+    index = warc.open_index(spark, folder)
+    assert index.count() == len(rows) == written.count() and warc.delete_orphans(spark, folder) == 0
+    all_of = warc.read(index, folder).collect()
+    got = {r["page_id"]: r for r in all_of}
     assert (got[1]["record_type"], got[1]["refers_to"], got[None]["refers_to"]) == ("revisit", 2, 2)
     assert got[2]["record_type"] == "response" and bytes(got[2]["payload"]) == b"x" and got[1]["payload_bytes"] == 1
-    assert got[3]["refers_to"] == 4 and got[5]["payload_bytes"] == 2
+    assert got[3]["refers_to"] == 4 and got[5]["payload_bytes"] == 2 and got[6]["payload_bytes"] == 2_000_000
+    assert [r["record_type"] for r in all_of if r["page_id"] == 7] == ["response", "response"]
+    some = warc.read(index.filter("page_id in (2, 5)"), folder).collect()
+    assert sorted(r["page_id"] for r in some) == [2, 5]
     assert list(warc.ranges(iter([("f", 0, 5), ("f", 7, 3), ("f", 900, 1), ("g", 0, 1)]), 10, 100)) == [("f", 0, 10, [(0, 5), (7, 3)]), ("f", 900, 1, [(0, 1)]), ("g", 0, 1, [(0, 1)])]
+    two = {r["page_id"]: r["record_type"] for r in warc.read(warc.write(pages.filter("page_id < 5"), folder + "2", at_least=1), folder + "2").collect()}
+    assert two == {1: "revisit", 2: "response", 3: "response", 4: "response"}
+    assert warc.read(warc.write(pages.limit(0), folder + "3"), folder + "3").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -129,28 +216,79 @@ def test_warc(spark, none):
     [
         (None, ""), ("", ""), ("a &amp; b", "a & b"), ("<p>a<p>b", "a\n\nb"), ("<ul><li>a<li>b</ul>", "- a\n- b"), ("x<br>y", "x\ny"),
         ("<table><tr><td>aa<td>b<tr><td>c<td>d</table>", "aa  b\nc   d"), ("<div>a<div>b</div></div>", "a\nb"), ("<script>p('</p>')</script>k<span style='display: none'>n</span>", "k"),
-        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b></div>", "b"), ("<pre>a\n  b</pre>", "a\n  b"), ("a < b <", "a < b <"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b></div>", "b"), ("<pre>a\n  b</pre>", "a\n  b"), ("a < b <", "a < b <"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td>a<p>second<td>b<tr><td colspan=2>c<td>d</table>", "a       b\nsecond\nc          d"),
+        ("<style>.x{display:none} #q , p.y{display : none}</style><p class=x>a<p id=q>b<p class='y'>c", "c"), ("<style>.x{display:none}</style><p class=x style='display:block'>a", "a"), ("a<!-- b", "a"), ("a<p title='>'>b", "a\n\nb"), ("a<p title='>b", "a\n\nb"),
     ],
 )
 def test_html(source, text):
     assert html_text.render(source) == text
 
 
-def test_fingerprints(docs, none):
-    got = {r["doc_id"]: r for r in fingerprints.fingerprint_versions(docs.filter("doc_id is not null")).dropDuplicates(["doc_id"]).collect()}
-    assert got[3]["fingerprint"] == got[4]["fingerprint"] and got[0]["n_chars"] == 0 and got[0]["near_next"] == 1.0
-    assert fingerprints.fingerprint_versions(none).count() == 0
+def test_fingerprint_units_are_paragraphs():
+    assert fingerprints.units("One. Two.\nPi is 3.14\n\n \nend") == ["One. Two.", "Pi is 3.14", "end"]
+    long = "A sentence of some words. " * 10 + "3.14 is pi."
+    assert fingerprints.units(long) == ["A sentence of some words."] * 10 + ["3.14 is pi."]
+
+
+def test_fingerprints(spark, docs, none):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(20, "long text. " * 20_000), (21, "é" * 7)]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fingerprint string")
+    got = fingerprints.fingerprint_versions(frame).collect()
+    # Rows by id, without an id last; of one id by the hash of the text: here rows of one id are equal.
+    order = sorted(((float("inf") if i is None else i), t or "") for i, t in rows)
+    want = []
+    for k, (i, t) in enumerate(order):
+        n = len(t) // 4
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - n] + order[(k + 1) % len(order)][1][:n]).encode()).hexdigest()))
+    assert sorted((float("inf") if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[3]["fingerprint"] == by_id[4]["fingerprint"] and by_id[3]["near_next"] == 1.0 and by_id[0]["near_next"] == 1.0
+    assert all(0 <= r["near_edited"] <= 1 for r in got) and fingerprints.fingerprint_versions(none).count() == 0
+    alone = fingerprints.fingerprint_versions(frame.filter("doc_id = 21")).first()
+    assert alone["near_next"] == 1.0 and alone["n_chars"] == 7
+
+
+def test_fingerprints_give_back_the_differing_digests():
     rng = np.random.default_rng(5)
-    a = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 5, 400)]
-    b = [np.unique(np.concatenate([x[: len(x) // 2], rng.integers(0, 1 << 63, 7).astype(np.uint64)])) for x in a]
+    a = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 5, 400, 3000, 40)]
+    b = [np.unique(np.concatenate([x[: len(x) - len(x) // 50], rng.integers(0, 1 << 63, 7).astype(np.uint64)])) for x in a[:4]] + [a[3]]
+    left, right = (list(map(str, fingerprints.fingerprints(x))) for x in (a, b))
+    for x, y, f, g in zip(a[2:4], b[2:4], left[2:4], right[2:4], strict=True):
+        mine, theirs = fingerprints.difference(f, g)
+        assert (mine == np.setdiff1d(x, y)).all() and (theirs == np.setdiff1d(y, x)).all()
+    assert fingerprints.difference(left[4], right[4]) is None  # 3,040 digests do not fit in the cells of forty
+    back = [fingerprints.Fingerprint.read(f) for f in left]
     want = [len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y))) for x, y in zip(a, b, strict=True)]
-    assert np.allclose(fingerprints.likeness(a, b), want)
+    other = [fingerprints.Fingerprint.read(f) for f in right]
+    for retries in (0, 6):
+        assert np.allclose(fingerprints.likeness(back, other, list(zip(a, b, strict=True)), retries), want)
 
 
-def test_language(docs, none):
-    out = langid.predict(docs, langid.fit(docs)).collect()
+def test_language(spark, docs, none):
+    model = langid.fit(docs)
+    out = langid.predict(docs, model).collect()
     assert {r["lang_pred"] for r in out if not (r["text"] or "").strip() or r["text"] == "9 9 9"} == {"und"}
-    assert len(out) == 10 and langid.predict(none, None).count() == 0
+    assert len(out) == 10 and langid.predict(none, None).count() == 0 and langid.fit(none) is None
+    clash = langid.predict(spark.createDataFrame([("some words here", "x", 5)], "text string, lang_pred string, score int"), model).first()
+    assert clash["lang_pred"] in ("en", "de") and 0 <= clash["score"] <= 1
+    assert all(r["lang_pred"] == "und" for r in langid.predict(docs, None).collect())
+
+
+def test_language_of_long_texts_is_that_of_their_windows(docs):
+    model = langid.fit(docs)
+    text = "the cat sat on the mat and ate. " * 3000
+    p = model.probabilities(langid.windows(text.encode(), model.window)[:-1]).mean(0)
+    got = langid.score([text] * 300 + [None, ""], model)
+    assert len(set(got[:300])) == 1 and got[0][0] == model.languages[int(p.argmax())] and abs(got[0][1] - p.max()) < 0.01 and got[300:] == [("und", 0.0)] * 2
+
+
+def test_language_query_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = langid.op9_langid(spark, folder).collect()
+    assert {r["doc_id"] for r in got} == set(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    asked = [r for r in got if r["held_out"] and truth[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert len(asked) > 200 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in asked) > 0.97 * len(asked)
 
 
 def test_near_duplicates(spark, docs, none):
@@ -203,6 +341,36 @@ def test_decontamination(spark, docs):
     assert decontam.find_leaks(texts, bench.limit(0)).count() == 0
 
 
+def test_decontamination_wants_question_and_answer(spark):
+    item = "What did the small cat see on the old mat that day in the green house by the lake? It saw a tiny brown mouse run."
+    q, a = decontam.question_and_answer(item)
+    assert a == "It saw a tiny brown mouse run."
+    filler = "nothing of it here " * 60
+    texts = [filler + q, filler + a, filler + q + filler + a, filler + item.upper(), q + " " + a[:20], item * 2000, item, item]
+    bench = spark.createDataFrame([(7, item), (7, item), (8, "Only one sentence without any answer at all here")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)] + [(6, item, 0.0)], "doc_id long, text string, score double")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect())
+    assert got == {(2, 7): 2, (3, 7): 2, (5, 7): 2, (6, 7): 4, (7, 7): 2}
+    assert sorted(r["doc_id"] for r in decontam.without_leaks(docs, bench).collect()) == [0, 1, 4]
+
+
+def test_block_max_search_against_exhaustive_scoring():
+    rng = np.random.default_rng(4)
+    names = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(names, int(rng.integers(3, 90)), p=None))) for i in range(3000)]
+    index = decontam.Index(items)
+    for _ in range(60):
+        base = items[int(rng.integers(0, 3000))][1].split()
+        passage = [*base[: int(rng.integers(1, len(base) + 1))], *rng.choice(names, 20)]
+        terms = np.unique([index.words[w] for w in passage if w in index.words]).tolist()
+        exact = defaultdict(float)
+        for t in terms:
+            for d, x in zip(index.docs[t], index.impacts[t], strict=True):
+                exact[d] += x
+        for threshold in (0.2, 0.5):
+            assert {d for d, _ in index.search(terms, threshold)} == {d for d, x in exact.items() if x >= threshold - 1e-12}
+
+
 def test_decontamination_folds_letters_of_all_scripts(spark):
     items = ["Qué pasó con el niño pequeño en la estación de Ávila aquel día? Subió al último tren.", "Wo lag der große Schlüssel für die Straße über den Fluß? Unter dem Öfchen.", "where did the six grey ducks swim after the rain? They swam east."]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -241,6 +409,19 @@ def test_pii_whole_secrets(spark):
     assert "horse" not in got[24] and "battery" not in got[24] and got[25] == texts[25] and "unclosed" not in got[26]
 
 
+def test_pii_identity_numbers_hexadecimals_and_user_columns(spark):
+    texts = ["000-12-3456", "123-00-3456", "123-45-0000", "666-12-3456", "x " + "0a1b" * 300 + " y", "deadbeef" * 5000 + "1", "665-12-3456", "667-12-3456", "999-99-9999"]
+    frame = spark.createDataFrame([(t, 1, "keep") for t in texts], "text string, _corvane_found int, _corvane_new string")
+    out = pii.pseudonymise(frame)
+    got = out.collect()
+    assert out.columns == ["text", "_corvane_found", "_corvane_new", "n_replaced"] and all(r["_corvane_new"] == "keep" for r in got)
+    assert [r["text"] for r in got[:4]] == texts[:4] and all(r["n_replaced"] == 1 and len(r["text"]) == len(t) for r, t in zip(got[4:], texts[4:], strict=True))
+    assert not any(texts[4][2 + i : 10 + i] in got[4]["text"] for i in range(0, 1100))
+    d = spark.range(0, 20_000).selectExpr("concat_ws('-', lpad(cast(1 + id % 999 as string), 3, '0'), lpad(cast(1 + id div 999 as string), 2, '0'), lpad(cast(1 + id * 7 % 9999 as string), 4, '0')) m").filter("m not like '666%'")
+    new = d.selectExpr("m", f"{pii.pseudonym('m')} p").cache()
+    assert new.select("p").distinct().count() == d.count() and not new.filter("p rlike '^(000|666)|-00-|-0000$' or not p rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'").count()
+
+
 def test_pii_dates_with_the_month_first(spark):
     days = "date_add(date'1800-01-01', cast(id as int))"
     dates = spark.range(146097).selectExpr(f"{days} d").filter("day(d) > 12").selectExpr("date_format(d, 'MM/dd/yyyy') m")
@@ -260,6 +441,20 @@ def test_html_of_any_depth(tag, deep):
     assert [line.strip() for line in got.splitlines() if line.strip()] == ["a", "f", "aa  b", "c   d", "- g", "- h", "i"]
 
 
+def test_html_tables_of_pages(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (None, "<p>x", None), (3, "<p>x", "c"), (3, "<p>x", "c"), (4, "<b>word " * 200_000, "d")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
+    assert sorted((r["page_id"] or 0, r["text"][:4], r["n_chars"]) for r in got) == [(0, "x", 1), (1, "", 0), (2, "", 0), (3, "x", 1), (3, "x", 1), (4, "word", 999_999)]
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+@pytest.mark.parametrize("source", ["<a ", '<a x=">" ', "<!--", "</x", "<a x='", "<tr><td rowspan=65000>", "<td colspan=1000>x", "&amp", "<style>{"])
+def test_html_of_a_megabyte_is_fast(source):
+    began = time.process_time()
+    html_text.render(source * (1_000_000 // len(source)))
+    assert time.process_time() - began < 10
+
+
 def test_html_of_deep_lists_and_tables():
     deep = 400
     assert html_text.render("<ul><li>x" * deep).splitlines() == ["  " * i + "- x" for i in range(deep)]
