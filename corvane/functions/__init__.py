@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def md5_mod(text: Column, n: int) -> Column:
     """The 128-bit md5 modulo n (n below 2**31), folded in from chunks of eight hexadecimal digits."""
     h = F.md5(text.cast("binary"))
@@ -15,12 +20,6 @@ def md5_mod(text: Column, n: int) -> Column:
     return out
 
 
-def label_key(text: Column) -> Column:
-    """Lower case, no final stops, no articles, single spaces."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"\.+$", ""), r"\b(the|a|an)\b", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
-
-
 def label_id(text: Column) -> Column:
     """Words of letters and digits joined by `_`, without articles unless there is nothing else."""
     words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
@@ -32,10 +31,6 @@ def family_name(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def answer_text(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+", " "))
-
-
 def clock(milliseconds: Column) -> Column:
     """HH:MM:SS.mmm of whole milliseconds, with full carry."""
     ms = milliseconds.cast("bigint")
@@ -70,11 +65,88 @@ def interval_metrics(pred_start: Column, pred_end: Column, start: Column, end: C
         "tiou": F.when(hull > 0, both / hull).otherwise(F.lit(0.0)),
         "center_inside": (middle >= start) & (middle <= end),
         "overlap_recall": F.when(end > start, both / (end - start)).otherwise(F.lit(0.0)),
-        "start_error": F.abs(a - start),
-        "end_error": F.abs(b - end),
+        "pointing": both > 0,
+        "start_error": a - start,
+        "end_error": b - end,
+        "abs_start_error": F.abs(a - start),
+        "abs_end_error": F.abs(b - end),
+        "pred_center": middle,
+        "intersection": both,
     }
 
 
-def score_of_distance(distance: Column, tolerance: Column) -> Column:
-    """100 / (1 + (d / tolerance)^2); null without a distance or a positive tolerance."""
-    return F.when(distance.isNotNull() & (tolerance > 0), 100 / (1 + (distance / tolerance) * (distance / tolerance)))
+def clock_of_seconds(seconds: Column) -> Column:
+    """HH:MM:SS.mmm; a fraction that rounds up to a second is carried to the seconds field only, so 59.9996 reads 00:00:60.000."""
+    total = F.greatest(F.lit(0.0), seconds.cast("double"))
+    whole = F.floor(total).cast("bigint")
+    millis = F.bround((total - whole) * 1000, 0).cast("bigint")
+    carry = (millis == 1000).cast("bigint")
+    part = lambda div, mod: F.pmod(F.floor(whole / div).cast("bigint"), F.lit(mod).cast("bigint"))
+    return F.format_string("%02d:%02d:%02d.%03d", F.floor(whole / 3600).cast("bigint"), part(60, 60), part(1, 60) + carry, F.when(carry == 1, 0).otherwise(millis))
+
+
+def clock_of_remainder(seconds: Column) -> Column:
+    """HH:MM:SS.mmm with the seconds as a rounded fraction."""
+    seconds = seconds.cast("double")
+    minute = F.floor(seconds / 60)
+    return F.format_string("%02d:%02d:%06.3f", F.floor(seconds / 3600).cast("bigint"), F.pmod(minute.cast("bigint"), F.lit(60).cast("bigint")), seconds - minute * 60)
+
+
+def frame_time(frame: Column, fps: Column) -> Column:
+    return F.when(fps > 0, F.round(frame / fps, 3)).otherwise(F.lit(0.0))
+
+
+def phase_frame(start: Column, end: Column, phase: Column) -> Column:
+    """The frame at a share of a segment, halves to the even number."""
+    return start + F.bround((end - start) * phase, 0).cast("bigint")
+
+
+def loose_seconds(text: Column) -> Column:
+    """Seconds of a number or of any count of fields apart by colons, an s at the end allowed; null for anything else."""
+    bare = F.trim(F.regexp_replace(F.lower(F.trim(text)), "s+$", ""))
+    ok = bare.rlike(r"^[-+]?\d*\.?\d+(:\d*\.?\d+)*$")
+    return F.when(ok, F.aggregate(F.split(bare, ":"), F.lit(0.0), lambda a, p: a * 60 + p.cast("double")))
+
+
+_NUMBER = r"(\d{1,2}:\d{2}:\d{2}(?:\.\d+)?|\d{1,2}:\d{2}(?:\.\d+)?|\d+(?:\.\d+)?)"
+#: Two times with a dash, comma or `to` between.
+INTERVAL = rf"(?i){_NUMBER}\s*(?:-|,|to)\s*{_NUMBER}"
+
+
+def interval_of_text(text: Column) -> Column:
+    """struct(start, end) in seconds of a JSON object's fields, or of the first two times apart by a dash, comma or `to`; null fields if there are none."""
+    from .answers import as_object, without_fence
+
+    bare = without_fence(F.translate(text, "–—到", "---"))
+    value = as_object(bare)
+    get = lambda v, k: F.try_variant_get(v, f"$.{k}", "string")
+    a, b = F.coalesce(get(value, "start"), get(value, "start_time")), F.coalesce(get(value, "end"), get(value, "end_time"))
+    said = F.coalesce(get(value, "answer"), bare)
+    left = F.when(a.isNotNull() & b.isNotNull(), seconds_of(a)).otherwise(seconds_of(F.nullif(F.regexp_extract(said, INTERVAL, 1), F.lit(""))))
+    right = F.when(a.isNotNull() & b.isNotNull(), seconds_of(b)).otherwise(seconds_of(F.nullif(F.regexp_extract(said, INTERVAL, 2), F.lit(""))))
+    return F.struct(left.alias("start"), right.alias("end"))
+
+
+def evenly(n: Column, frames: Column) -> Column:
+    """n frame numbers in the middles of n even stretches; the middle frame for one."""
+    last = frames - 1
+    step = last / n
+    many = F.transform(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1), lambda i: F.least(last, F.floor(step / 2 + F.bround(step * i, 0)).cast("bigint")))
+    return F.when(n <= 1, F.array(F.floor(last / 2).cast("bigint"))).otherwise(many)
+
+
+def at_rate(rate: Column, fps: Column, frames: Column) -> Column:
+    """Frame numbers at a rate per second, at least one."""
+    count = F.greatest(F.lit(1).cast("bigint"), F.floor(frames / fps * rate).cast("bigint"))
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), lambda i: F.least(frames - 1, F.bround(i * fps / rate, 0).cast("bigint")))
+
+
+def stride_walk(items: Column, k: Column, stride: int = 7919) -> Column:
+    """All items, begun at k and taken at a stride (a prime, so each comes once where their number is no multiple of it)."""
+    n = F.size(items)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(items, F.pmod(k.cast("bigint") + i * stride, n).cast("int")))
+
+
+def shift_within(duration: Column, tiou: float = 0.5) -> Column:
+    """How far an interval of the right length may be shifted and still reach an overlap: a third of its length for one half."""
+    return duration * ((1 - tiou) / (1 + tiou))

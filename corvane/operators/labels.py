@@ -19,20 +19,24 @@ def overlaps(segments: DataFrame) -> DataFrame:
     return before.filter("start_frame < previous_end").select(*EPISODE, "event_id", "start_frame", "previous_end")
 
 
-def gaps(segments: DataFrame) -> DataFrame:
-    """Frames before each segment that nothing has covered so far, from frame 0 on."""
+def gaps(segments: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """Frames that no segment covers: before each, counted from 0 and from what the segments before it reach, and after the last up to the video's frames (videos: file, episode, frames)."""
     reached = F.coalesce(F.max(F.col("end_frame") + 1).over(_by_start().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return segments.withColumn("lo", reached).filter("start_frame > lo").select(*EPISODE, "lo", (F.col("start_frame") - 1).alias("hi"))
+    before = segments.withColumn("lo", reached).filter("start_frame > lo").select(*EPISODE, "lo", (F.col("start_frame") - 1).alias("hi"))
+    if videos is None:
+        return before
+    ends = segments.groupBy(*EPISODE).agg((F.max("end_frame") + 1).alias("reached"))
+    after = videos.select(*EPISODE, "frames").join(ends, EPISODE, "left").withColumn("lo", F.greatest(F.coalesce("reached", F.lit(0)), F.lit(0)))
+    return before.unionByName(after.filter("frames > lo").select(*EPISODE, "lo", (F.col("frames") - 1).alias("hi")))
 
 
-def coverage(segments: DataFrame) -> DataFrame:
-    """Per episode: segments, frames from the first to the last, frames labelled (each once)."""
-    reached = F.coalesce(F.max(F.col("end_frame") + 1).over(_by_start().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    own = F.greatest(F.lit(0), F.col("end_frame") + 1 - F.greatest("start_frame", reached))
-    out = segments.withColumn("own", own).groupBy(*EPISODE).agg(
-        F.count("*").alias("n_segments"), (F.max("end_frame") + 1 - F.min("start_frame")).alias("span_frames"), F.sum("own").alias("labelled_frames")
-    )
-    return out.withColumn("labelled_fraction", F.round(F.col("labelled_frames") / F.col("span_frames"), 6))
+def coverage(segments: DataFrame, videos: DataFrame) -> DataFrame:
+    """Per episode, against the video's frames: the stretch from the first start to the last end in order of the starts, and the segments' lengths, overlaps counted twice."""
+    first = F.min("start_frame")
+    last = F.max(F.struct("start_frame", "end_frame", "event_id"))["end_frame"]
+    out = segments.groupBy(*EPISODE).agg(F.count("*").alias("n_segments"), (last - first + 1).alias("span_frames"), F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("labelled_frames"))
+    share = lambda c: F.when(F.col("frames") > 0, F.round(F.col(c) / F.col("frames"), 3)).otherwise(F.lit(0.0))
+    return out.join(videos.select(*EPISODE, "frames"), EPISODE).withColumn("span_coverage", share("span_frames")).withColumn("labelled_fraction", share("labelled_frames")).drop("frames")
 
 
 def repeats(segments: DataFrame) -> DataFrame:
@@ -43,13 +47,29 @@ def same_starts(segments: DataFrame) -> DataFrame:
     return segments.groupBy(*EPISODE, "start_frame").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event")).filter("n > 1")
 
 
-def holding(segments: DataFrame, take: str, put: str, use: str) -> DataFrame:
-    """Takes of what is held, puts and uses of what is not, from the last take or put before."""
-    state = F.when(F.col("subtask") == take, 1).when(F.col("subtask") == put, 0)
-    held = F.coalesce(F.last(state, ignorenulls=True).over(_by_start().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = F.col("subtask")
-    fault = F.when((s == take) & (held == 1), "take twice").when((s == put) & (held == 0), "put without take").when((s == use) & (held == 0), "use without holding")
-    return segments.withColumn("fault", fault).filter("fault is not null").select(*EPISODE, "event_id", "fault")
+def holding(segments: DataFrame, texts: DataFrame) -> DataFrame:
+    """Takes of what is held, puts and uses of what is not; texts: subtask, text of the vocabulary, which is broadcast.
+
+    Only objects that the vocabulary can take are followed. An object's state is that of the last take or put before.
+    Per use all objects that are missing are named, in the order of their names.
+    """
+    from ..functions.words import DROP, PREPOSITIONS, TAKE, parsed
+
+    words = texts.select("subtask", parsed(F.col("text")).alias("w"))
+    verb, object_ = F.col("w.verb"), F.col("w.object")
+    kind = F.when(verb.isin(*TAKE), "take").when(verb.isin(*DROP), "put").otherwise("use")
+    others = F.filter(F.split("w.modifier", " "), lambda x: (x != "") & ~x.isin(*PREPOSITIONS))
+    needs = F.when(kind == "use", F.concat(F.array(object_), others)).otherwise(F.array(object_))
+    acts = words.select("subtask", kind.alias("kind"), F.explode(F.array_distinct(needs)).alias("object"))
+    takeable = words.filter(verb.isin(*TAKE)).select(object_.alias("object")).distinct()
+    acts = acts.join(takeable, "object", "left_semi")
+    rows = segments.join(F.broadcast(acts), "subtask")
+    by = W.partitionBy(*EPISODE, "object").orderBy("start_frame", "end_frame", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    state = F.when(F.col("kind") == "take", 1).when(F.col("kind") == "put", 0)
+    held = F.coalesce(F.last(state, ignorenulls=True).over(by), F.lit(0))
+    fault = F.when((F.col("kind") == "take") & (held == 1), "take twice").when((F.col("kind") == "put") & (held == 0), "put without take").when((F.col("kind") == "use") & (held == 0), "use without holding")
+    found = rows.withColumn("fault", fault).filter("fault is not null")
+    return found.groupBy(*EPISODE, "event_id", "fault").agg(F.concat_ws(",", F.sort_array(F.collect_set("object"))).alias("objects"))
 
 
 def unique_ids(segments: DataFrame) -> DataFrame:
@@ -68,8 +88,118 @@ def transitions(segments: DataFrame) -> DataFrame:
 
 
 def episode_of(segments: DataFrame, bounds: DataFrame, slack: int) -> DataFrame:
-    """The first of the file's episodes (file, bound, lo, hi) whose bounds, with slack, hold the start; 0 if none does."""
-    near = (F.col("start_frame") >= F.col("lo") - slack) & (F.col("start_frame") <= F.col("hi") + slack)
-    hit = segments.select("file", "event_id", "start_frame").join(bounds, "file", "left").filter(near)
-    first = hit.groupBy("event_id").agg(F.min("bound").alias("bound"))
-    return segments.select("event_id").join(first, "event_id", "left").select("event_id", F.coalesce("bound", F.lit(0)).alias("bound"))
+    """Each segment with `bound`: the first of the file's (file, bound, lo, hi) whose bounds, with slack, hold the start; 0 if none does.
+
+    A file's bounds are one sorted array, so segments meet their file once and are neither multiplied nor grouped.
+    """
+    of_file = bounds.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("bound", "lo", "hi"))).alias("_bounds"))
+    near = lambda b: (F.col("start_frame") >= b["lo"] - slack) & (F.col("start_frame") <= b["hi"] + slack)
+    hit = F.get(F.filter("_bounds", near), F.lit(0))["bound"]
+    return segments.join(of_file, "file", "left").withColumn("bound", F.coalesce(hit, F.lit(0))).drop("_bounds")
+
+
+def unlabelled(segments: DataFrame, bounds: DataFrame, slack: int) -> DataFrame:
+    """Bounds (file, bound, lo, hi) of files with several that hold no whole segment; a file's segments are one array."""
+    spans = segments.groupBy("file").agg(F.collect_list(F.struct("start_frame", "end_frame")).alias("_spans"))
+    several = bounds.withColumn("_n", F.count("*").over(W.partitionBy("file"))).filter("_n > 1")
+    inside = lambda s: (F.col("lo") - slack <= s["start_frame"]) & (s["end_frame"] <= F.col("hi") + slack)
+    return several.join(spans, "file", "left").filter(~F.coalesce(F.exists("_spans", inside), F.lit(False))).select("file", "bound")
+
+
+def undefined(segments: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Segments whose subtask is not in the vocabulary (subtask), or is null."""
+    return segments.join(F.broadcast(vocabulary.select("subtask").distinct()), "subtask", "left_anti")
+
+
+def underived(segments: DataFrame, fps: float) -> DataFrame:
+    """Segments whose start and end seconds are not those of their frames, within two thousandths."""
+    from ..functions import frame_time
+
+    off = lambda c, frame: F.abs(F.col(c) - frame_time(frame, F.lit(fps))) > 0.002
+    return segments.filter(off("start", F.col("start_frame")) | off("end", F.col("end_frame") + 1))
+
+
+def suspicious(segments: DataFrame) -> DataFrame:
+    """file, episode, start_frame, kind, n: segments without length, and starts that several share."""
+    short = segments.filter("end_frame <= start_frame").groupBy(*EPISODE, "start_frame").agg(F.count("*").alias("n")).withColumn("kind", F.lit("zero length"))
+    return short.unionByName(same_starts(segments).drop("first_event").withColumn("kind", F.lit("same start")))
+
+
+def ambiguous(segments: DataFrame) -> DataFrame:
+    """Per file the first episode, in order of appearance, in which a subtask comes twice."""
+    seen = segments.groupBy(*EPISODE, "subtask").agg(F.count("*").alias("n"), F.min(F.struct("start_frame", "end_frame", "event_id")).alias("at"))
+    episodes = seen.groupBy(*EPISODE).agg(F.max("n").alias("n"), F.min("at").alias("at")).filter("n > 1")
+    return episodes.groupBy("file").agg(F.min_by("episode", "at").alias("episode"))
+
+
+def polluted(documents: DataFrame, allowed: list[str]) -> DataFrame:
+    """file and the keys of its segments that are not allowed; documents: file, keys (an array for each segment)."""
+    extra = F.array_except(F.array_distinct(F.flatten(F.collect_list("keys"))), F.array(*map(F.lit, allowed)))
+    return documents.groupBy("file").agg(F.array_join(F.sort_array(extra), ",").alias("extra")).filter("extra <> ''")
+
+
+def broken(segments: DataFrame) -> DataFrame:
+    """Segments that break the record's types: event_id and the first rule broken."""
+    rule = (
+        F.when(F.col("subtask").isNull(), "subtask missing").when(F.col("start_frame").isNull() | (F.col("start_frame") < 0), "start_frame not natural")
+        .when(F.col("end_frame").isNull() | (F.col("end_frame") < F.col("start_frame")), "end_frame before start_frame").when(F.col("end") <= F.col("start"), "end not after start")
+    )
+    return segments.withColumn("rule", rule).filter("rule is not null").select("event_id", "rule")
+
+
+def against_videos(segments: DataFrame, videos: DataFrame) -> DataFrame:
+    """file, episode, kind; videos: file, episode, declared_fps, frames, duration. Frame rates off by more than 0.5, ends more than two frames beyond, spans of under a tenth."""
+    own = segments.groupBy(*EPISODE).agg(F.max("end_frame").alias("last"), F.max("end").alias("hi"), F.min("start").alias("lo"))
+    rows = own.join(videos, EPISODE)
+    unread = (F.coalesce("frames", F.lit(0)) == 0) | (F.coalesce("duration", F.lit(0.0)) == 0)
+    kinds = F.when(unread, F.array(F.lit("unreadable"))).otherwise(
+        F.array_compact(F.array(
+            F.when(F.abs(F.col("declared_fps") - F.col("frames") / F.col("duration")) > 0.5, "frame rate"), F.when(F.col("last") > F.col("frames") + 2, "beyond the end"),
+            F.when((F.col("hi") - F.col("lo")) / F.col("duration") < 0.1, "little covered"),
+        ))
+    )
+    return rows.select(*EPISODE, F.explode(kinds).alias("kind"))
+
+
+#: Kinds of findings that block a release.
+BLOCKING = ("pollution", "overlap", "derivation", "reference", "sequence", "structure")
+
+
+def reviewed(findings: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per document (file): block if it has a blocking finding or no segment (n_segments 0), warn if it has others, else ok."""
+    worst = findings.groupBy("file").agg(F.max(F.col("kind").isin(*BLOCKING)).alias("blocks"))
+    level = F.when((F.col("n_segments") == 0) | F.coalesce("blocks", F.lit(False)), "block").when(F.col("blocks").isNotNull(), "warn").otherwise("ok")
+    return documents.join(worst, "file", "left").select("file", level.alias("level"))
+
+
+def addable(candidates: DataFrame, segments: DataFrame) -> DataFrame:
+    """Candidates (file, episode, id, start_frame, end_frame) with ok: no true overlap with any segment of the episode; a shared boundary is none.
+
+    The segments of an episode are one array, so nothing is multiplied.
+    """
+    own = segments.groupBy(*EPISODE).agg(F.collect_list(F.struct(F.col("start_frame").alias("s"), F.col("end_frame").alias("e"))).alias("_own"))
+    a, b = F.col("start_frame"), F.col("end_frame")
+    clash = lambda x: (a != x["e"]) & (b != x["s"]) & (a <= x["e"]) & (x["s"] <= b)
+    ok = (b >= a) & ~F.coalesce(F.exists("_own", clash), F.lit(False))
+    return candidates.join(own, EPISODE, "left").select("id", ok.alias("ok"))
+
+
+def report(findings: DataFrame, kinds: list[str]) -> DataFrame:
+    """Findings (family, kind) counted per family, a column for each kind."""
+    return findings.groupBy("family").agg(*[F.count_if(F.col("kind") == k).alias(k.replace(" ", "_")) for k in kinds])
+
+
+def examples(findings: DataFrame, most: int = 4) -> DataFrame:
+    """The first findings (family, kind, detail) of each kind that differ in family or in the first 40 characters; one row per such difference is kept before the ranking."""
+    distinct = findings.groupBy("kind", "family", F.substring("detail", 1, 40).alias("head")).agg(F.min("detail").alias("detail"))
+    return distinct.withColumn("n", F.row_number().over(W.partitionBy("kind").orderBy("family", "detail"))).filter(F.col("n") <= most).select("kind", "n", "family", "detail")
+
+
+def successors(segments: DataFrame) -> DataFrame:
+    """event_id and the subtask of the next segment of the episode, null at its end."""
+    return segments.select("event_id", F.lead("subtask").over(_by_start()).alias("next_subtask"))
+
+
+def usage(segments: DataFrame) -> DataFrame:
+    """Per family and subtask: in how many files it occurs."""
+    return segments.groupBy("family", "subtask").agg(F.count_distinct("file").alias("files"))

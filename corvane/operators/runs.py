@@ -38,11 +38,22 @@ def shard(rows: DataFrame, key: str, shards: int, i: int) -> DataFrame:
 
 
 def summary(rows: DataFrame, *by: str) -> DataFrame:
-    """Choice summary with both denominators: accuracy over all, accuracy_answered over the parsed ones."""
+    """Choice summary of rows with answered, failed, parse_ok, parse_recovered, correct: accuracy over all, accuracy_answered over the parsed ones; all measures 0 where there is nothing."""
     n = lambda c: F.count_if(F.expr(c))
-    out = rows.groupBy(*by).agg(F.count("*").alias("total"), n("answered").alias("answered"), n("not answered").alias("errors"), n("answered and correct").alias("right_"))
-    ratio = lambda d: F.when(F.col(d) > 0, F.round(F.col("right_") / F.col(d), 6)).otherwise(F.lit(0.0))
-    return out.withColumn("accuracy", ratio("total")).withColumn("accuracy_answered", ratio("answered")).drop("right_")
+    out = rows.groupBy(*by).agg(
+        F.count("*").alias("total"), n("answered").alias("answered"), n("failed").alias("errors"), n("correct").alias("right_"), n("parse_ok").alias("parsed_"), n("correct and parse_ok").alias("both_"), n("parse_recovered").alias("parse_recovered")
+    )
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(F.lit(0.0))
+    lost = F.when(F.col("total") > 0, F.round(1 - F.col("parsed_") / F.col("total"), 6)).otherwise(F.lit(0.0))
+    return out.withColumn("accuracy", ratio("right_", "total")).withColumn("parse_failure_rate", lost).withColumn("accuracy_answered", ratio("both_", "parsed_")).drop("right_", "parsed_", "both_")
+
+
+def parser_impact(rows: DataFrame) -> DataFrame:
+    """Rows with expected, before and after (choices of two parsers): how many changed, became right, became wrong."""
+    right = lambda c: F.coalesce(F.col(c) == F.col("expected"), F.lit(False))
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed"), F.count_if(~right("before") & right("after")).alias("to_correct"), F.count_if(right("before") & ~right("after")).alias("to_wrong")
+    )
 
 
 def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
@@ -75,7 +86,7 @@ def time_summary(rows: DataFrame, *by: str) -> DataFrame:
     mean = lambda c, name: F.round(F.avg(F.when(F.col("answered"), c)), 6).alias(name)
     return got.groupBy(*by).agg(
         F.count("*").alias("total"), F.count_if("answered").alias("answered"), F.round(F.sum(F.when(F.col("answered"), F.col("tiou")).otherwise(0.0)) / F.count("*"), 6).alias("mean_tiou"), *at,
-        mean(F.col("center_inside").cast("double"), "center_inside"), mean(F.col("overlap_recall"), "overlap_recall"), mean(F.col("start_error"), "start_error"), mean(F.col("end_error"), "end_error"),
+        mean(F.col("center_inside").cast("double"), "center_inside"), mean(F.col("overlap_recall"), "overlap_recall"), mean(F.col("pointing").cast("double"), "pointing"), mean(F.col("abs_start_error"), "abs_start_error"), mean(F.col("abs_end_error"), "abs_end_error"),
     )
 
 

@@ -33,6 +33,16 @@ SEGMENTS = """seg AS (
   FROM events)"""
 
 
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A video for each file and episode of the segments: frames, duration in seconds and a declared frame rate, some of them wrong."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.dayofmonth("ts").cast("bigint").alias("episode")).distinct().selectExpr(
+        "file", "episode", "1728000 + (file % 5) * 1000 as frames", "86400.0D + (file % 3) * 40 as duration", "if(file % 7 = 0, 21.0D, 20.0D) as declared_fps"
+    )
+
+
+VIDEOS = """video AS (SELECT file, episode, 1728000 + (file % 5) * 1000 AS frames, CAST(86400 + (file % 3) * 40 AS DOUBLE) AS duration, CASE WHEN file % 7 = 0 THEN 21.0 ELSE 20.0 END AS declared_fps FROM (SELECT DISTINCT user_id AS file, CAST(day(ts) AS BIGINT) AS episode FROM events))"""
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An append log made of events: one id per user and day, failures among the attempts."""
     return table(spark, sf_dir, "events").select(
@@ -42,3 +52,11 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOG = "log AS (SELECT user_id || '/' || day(ts) AS id, event_id AS seq, event_type <> 'error' AS ok, user_id, event_type AS choice, value FROM events)"
+
+
+def categories(lines: DataFrame, name: str, *order: str) -> DataFrame:
+    """Lines of vocabularies: numbers before a class are stripped, empty lines and those of `#` left out, and of lines that differ in case only the first is kept."""
+    from ..functions.words import class_text
+
+    clean = lines.withColumn("line", class_text(F.col("line"))).filter("line <> '' and not startswith(line, '#')")
+    return clean.groupBy(name, F.lower("line").alias("key")).agg(F.min_by("line", F.struct(*order)).alias("line"))
