@@ -364,8 +364,12 @@ def lm_scores(docs: DataFrame, order: int = 3, mu: float = 2.0, fold: int = 0, i
 
         return ask
 
+    def by_block(replies: DataFrame):
+        """Few bytes but much work: as many tasks as the session has partitions, whatever the size."""
+        return replies.repartition(common.partitions(spark), "block").groupBy("block")
+
     for k in range(2, order + 1):
-        replies = answered(replies.groupBy("block").applyInPandas(asker(k), REQUESTS), k)
+        replies = answered(by_block(replies).applyInPandas(asker(k), REQUESTS), k)
 
     def score(own: pd.DataFrame) -> pd.DataFrame:
         block, _ = opened(own, order)
@@ -378,7 +382,7 @@ def lm_scores(docs: DataFrame, order: int = 3, mu: float = 2.0, fold: int = 0, i
             "base_score": np.add.reduceat(root, block.starts), "score": np.add.reduceat(logp, block.starts),
         })
 
-    out = common.checkpointed(replies.groupBy("block").applyInPandas(score, SCORES))
+    out = common.checkpointed(by_block(replies).applyInPandas(score, SCORES))
     common.remove(spark, folder)
     return out
 
