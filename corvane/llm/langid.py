@@ -23,6 +23,8 @@ UNKNOWN = "und"
 PAD = 256
 WIDTHS = (2, 3, 4)
 WIDEST = max(WIDTHS)
+#: Texts whose windows are in memory at once.
+AT_ONCE = 128
 
 
 @dataclass
@@ -59,7 +61,7 @@ class Model:
 def windows(text: bytes, window: int) -> np.ndarray:
     """All of the text in rows of `window` bytes, the last one padded."""
     n = max(1, -(-len(text) // window))
-    out = np.full(n * window, PAD, dtype=np.int64)
+    out = np.full(n * window, PAD, dtype=np.uint16)
     out[: len(text)] = np.frombuffer(text, np.uint8)
     return out.reshape(n, window)
 
@@ -128,7 +130,7 @@ def sample(docs: DataFrame, window: int, per_language: int, windows_each: int) -
     got = chosen.mapInPandas(cut, "lang string, o long, w binary").toPandas().sort_values(["lang", "o", "w"])
     kept = got[got.groupby("lang")["o"].rank(method="dense") <= per_language]
     index = {k: i for i, k in enumerate(languages)}
-    x = np.frombuffer(b"".join(kept["w"]), "<u2").astype(np.int64).reshape(-1, window)
+    x = np.frombuffer(b"".join(kept["w"]), "<u2").reshape(-1, window)
     return x, kept["lang"].map(index).to_numpy(np.int64), languages
 
 
@@ -139,21 +141,24 @@ def fit(docs: DataFrame, window: int = 256, per_language: int = 400, windows_eac
 
 
 def score(texts: list[str | None], model: Model | None) -> list[tuple[str, float]]:
-    """(language, its probability) of each whole text; `und`, 0 for null, for texts without a letter, and without a model."""
+    """(language, its probability) of each whole text; `und`, 0 for null, for texts without a letter, and without a model.
+
+    Of equally probable languages the first in order of their names. Windows of some texts are held at a time.
+    """
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     where = [i for i, t in enumerate(texts) if model and isinstance(t, str) and any(map(str.isalpha, t))]
-    if not where:
-        return out
-    encoded = [texts[i].encode() for i in where]
-    parts = [windows(b, model.window) for b in encoded]
-    p = model.probabilities(np.concatenate(parts))
-    at = 0
-    for i, b, w in zip(where, encoded, parts, strict=True):
-        size = np.full(len(w), model.window, np.float32)
-        size[-1] = len(b) - model.window * (len(w) - 1)
-        mean = (p[at : at + len(w)] * size[:, None]).sum(0) / size.sum()
-        k = int(mean.argmax())
-        out[i], at = (model.languages[k], float(min(1.0, mean[k]))), at + len(w)
+    for first in range(0, len(where), AT_ONCE):
+        some = where[first : first + AT_ONCE]
+        encoded = [texts[i].encode() for i in some]
+        parts = [windows(b, model.window) for b in encoded]
+        p = model.probabilities(np.concatenate(parts))
+        at = 0
+        for i, b, w in zip(some, encoded, parts, strict=True):
+            size = np.full(len(w), model.window, np.float32)
+            size[-1] = len(b) - model.window * (len(w) - 1)
+            mean = (p[at : at + len(w)] * size[:, None]).sum(0) / size.sum()
+            k = int(mean.argmax())
+            out[i], at = (model.languages[k], float(min(1.0, mean[k]))), at + len(w)
     return out
 
 
@@ -166,7 +171,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang:
     def add(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             got = score(batch.column(text).to_pylist(), model)
             extra = [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, lang, probability])

@@ -16,6 +16,8 @@ import numpy as np
 
 END_ID = 2
 CHUNK = 128
+#: About what an entry of a dictionary and its objects take besides their text.
+ENTRY = 190
 #: What keeps a text from being cut everywhere: white space side by side, at an end or of other kinds, and stops after anything but a letter or digit.
 _BESIDE = ("  ", "\n\n", " \n", "\n ")
 _OTHER = tuple("\t\r\x00\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -25,14 +27,14 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """keep: parts whose ids are remembered, in two generations, so that frequent parts stay."""
+    """keep: bytes of parts whose ids are remembered, in two generations, so that frequent parts stay."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 112 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known, self.older = keep, {}, {}
+        self.keep, self.size, self.known, self.older = keep, 0, {}, {}
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer for t in added):
             raise ValueError("added tokens that take more or less than their own text are not supported")
@@ -68,20 +70,23 @@ class Encoder:
             whole, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
             for p, a, b in zip(group, at.tolist(), ends, strict=True):
                 self.known[p] = whole[a:b]
+                self.size += ENTRY + len(p) + b - a
         for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.known[p] = array("I", e.ids).tobytes()
+            self.size += ENTRY + 4 * len(p) + 4 * len(e.ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
         out = []
         for i in range(0, len(texts), CHUNK):
             cut = [self.parts(t) if t else [] for t in texts[i : i + CHUNK]]
-            if len(self.known) > self.keep // 2:
-                self.known, self.older = {}, self.known
+            if self.size > self.keep // 2:
+                self.known, self.older, self.size = {}, self.known, 0
             new = set().union(*cut).difference(self.known)
             if self.older:
                 again = {p for p in new if p in self.older}
                 self.known.update((p, self.older[p]) for p in again)
+                self.size += sum(ENTRY + len(p) + len(self.older[p]) for p in again)
                 new -= again
             if new:
                 self._learn(list(new))
