@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -60,3 +61,47 @@ def categories(lines: DataFrame, name: str, *order: str) -> DataFrame:
 
     clean = lines.withColumn("line", class_text(F.col("line"))).filter("line <> '' and not startswith(line, '#')")
     return clean.groupBy(name, F.lower("line").alias("key")).agg(F.min_by("line", F.struct(*order)).alias("line"))
+
+
+def items(spark: SparkSession, path: str) -> DataFrame:
+    """file, item (JSON text) of JSON documents that are a list of objects or have one under `items`; what is no object is left out."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    listed = docs.withColumn("l", F.coalesce(F.try_variant_get("v", "$.items", "array<variant>"), F.try_variant_get("v", "$", "array<variant>")))
+    return listed.select("file", F.explode("l").alias("i")).filter(F.startswith(F.schema_of_variant("i"), F.lit("OBJECT"))).select("file", F.to_json("i").alias("item"))
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """file, row of JSON lines, in which the last line of a file may be broken, as a run that was stopped leaves it; another broken line is an error.
+
+    Lines are numbered within their file by where they stand in it, which Spark's row index gives for text only as an order of reading, so a file is read as one text here: result files are those of one run.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("n", "row"))
+    marked = lines.withColumn("broken", F.try_parse_json("row").isNull()).withColumn("last", F.col("n") == F.max("n").over(W.partitionBy("file")))
+    failed = F.raise_error(F.concat(F.lit("broken line "), F.col("n").cast("string"), F.lit(" of "), F.col("file"))).cast("string")
+    return marked.filter("not broken or not last").select("file", "n", F.when(F.col("broken"), failed).otherwise(F.col("row")).alias("row"))
+
+
+def last_by_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of rows of a cache (a row text of JSON) the last of each key; rows that do not parse or have no key do not count."""
+    keyed = rows.withColumn(key, F.get_json_object("row", f"$.{key}")).filter(F.try_parse_json("row").isNotNull() & F.col(key).isNotNull())
+    return keyed.groupBy(key).agg(F.max_by("row", F.struct(*order)).alias("row"))
+
+
+def episode_bounds(spark: SparkSession, path: str, views: list[str]) -> DataFrame:
+    """file, bound (from 0), lo, hi: the stretches of a family's videos, from all Parquet files below the folder, and the columns of the first of the views that they have.
+
+    Columns are named videos/observation.images.<view>/file_index, from_timestamp and to_timestamp.
+    """
+    meta = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(path)
+    prefix = next((p for p in (f"videos/observation.images.{v}/" for v in views) if any(c.startswith(p) for c in meta.columns)), None)
+    if prefix is None:
+        return spark.createDataFrame([], "file string, bound long, lo double, hi double")
+    rows = meta.select(F.format_string("file-%03d", F.col(f"`{prefix}file_index`").cast("int")).alias("file"), *[F.col(f"`{prefix}{c}_timestamp`").cast("double").alias(a) for c, a in (("from", "lo"), ("to", "hi"))])
+    return rows.withColumn("bound", (F.row_number().over(W.partitionBy("file").orderBy("lo", "hi")) - 1).cast("bigint")).select("file", "bound", "lo", "hi")
+
+
+def located(candidates: DataFrame) -> DataFrame:
+    """candidates (family, run, depth, path) of question files: the one at the least depth; several of the same depth are an error."""
+    first = candidates.groupBy("family", "run", "depth").agg(F.min("path").alias("path"), F.count("*").alias("n")).groupBy("family", "run").agg(F.min(F.struct("depth", "n", "path")).alias("r"))
+    clash = F.raise_error(F.concat(F.lit("several files of one depth: "), F.col("r.path"))).cast("string")
+    return first.select("family", "run", F.when(F.col("r.n") > 1, clash).otherwise(F.col("r.path")).alias("path"))
