@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or the session's checkpoint folder.
 
-    With neither set there is no folder of which that is known, except where all tasks run in the driver's own process.
+    With neither set no folder is known to be shared, so that is an error, but in local mode, where driver and tasks are one process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -26,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not own.isDefined():
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/corvane-checkpoints")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = own.get()
     return folder.rstrip("/")

@@ -481,3 +481,84 @@ def test_decontamination_query_finds_all_whole_items(spark):
     docs, items = ([(r[0], plain(r[1])) for r in spark.read.parquet(f"{folder}/{n}.parquet").select(i, "text").collect()] for n, i in [("documents", "doc_id"), ("benchmark", "item_id")])
     whole = {(d, i) for d, text in docs for i, item in items if item.strip() and item in text}
     assert whole and whole <= {(r["doc_id"], r["item_id"]) for r in decontam.op1_decontam(spark, folder).collect()}
+
+
+def test_queries_with_sql_equal_duckdb(spark):
+    import duckdb
+
+    from corvane.llm import queries
+
+    folder, duck = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "pages"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        theirs = duck.execute(sql).df()
+        ours = queries.QUERIES[name](spark, folder).toPandas()[list(theirs.columns)]
+        assert sorted(map(str, ours.astype(str).itertuples(index=False, name=None))) == sorted(map(str, theirs.astype(str).replace("<NA>", "nan").itertuples(index=False, name=None))) or (
+            sorted(tuple(None if x != x else x for x in r) for r in ours.astype(object).where(ours.notna(), None).itertuples(index=False, name=None)).__repr__()
+            == sorted(tuple(None if x != x else x for x in r) for r in theirs.astype(object).where(theirs.notna(), None).itertuples(index=False, name=None)).__repr__()
+        )
+
+
+@pytest.fixture(scope="module")
+def stage_docs(spark):
+    words = [f"w{i}" for i in range(90)]
+    mail = "Please write to ann.lee@mail.example.com or call +1 (826) 555-4081 about it all today."
+    leak = "What did the small cat see on the old mat that day in the green house by the lake? It saw a tiny brown mouse run."
+    rows = [(1, " ".join(words), "en"), (2, " ".join([*words[:89], "end"]), "en"), (3, None, "en"), (4, "", "de"), (5, "12 34", None), (6, mail, "en"), (7, leak + " " + mail, "de"), (6, mail, "en"), (None, "no id here at all, but words", "en"), (8, "longer text " * 5000, "de")]
+    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), "x") for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string"), leak
+
+
+def test_pipeline_stages_on_odd_rows(spark, stage_docs, tmp_path):
+    import corpus_pipeline as p
+
+    docs, leak = stage_docs
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    ids = lambda frame: sorted((r["doc_id"] or 0) for r in frame.collect())
+    kept = p.language(spark, docs, str(tmp_path))
+    assert ids(kept) == [0, 1, 2, 6, 6, 7, 8] and kept.columns == docs.columns
+    near = p.near_duplicates(spark, kept, str(tmp_path))
+    assert ids(near) == [0, 1, 6, 7, 8] and near.columns == docs.columns
+    clean = p.decontaminate(spark, near, str(tmp_path))
+    assert ids(clean) == [0, 1, 6, 8]
+    masked = {r["doc_id"]: r for r in p.pseudonyms(spark, clean, str(tmp_path)).collect()}
+    assert "ann.lee" not in masked[6]["text"] and "555-4081" not in masked[6]["text"] and masked[6]["n_chars"] == len(masked[6]["text"]) and masked[1]["text"] == docs.filter("doc_id = 1").first()["text"]
+    packed = p.pack(spark, clean, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == {None, 1, 6, 8} and all(r["offset"] + r["length"] <= 1024 for r in packed)
+    none = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_what_its_operators_keep(spark):
+    import corpus_pipeline as p
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    lettered = docs.filter("text rlike '\\\\p{L}'")
+    kept = {r["doc_id"] for r in neardup.near_duplicates(lettered).filter("kept").collect()}
+    leaks = {r["doc_id"] for r in decontam.find_leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
+    got = p.run(spark, folder).collect()
+    assert {r["doc_id"] for r in got} == kept - leaks
+    changed = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs).collect()}
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_path())
+    for i in sorted(kept - leaks)[:40]:
+        own = np.array([*plain.encode(changed[i], add_special_tokens=False).ids, tokens.END_ID], "<u4")
+        for r in (r for r in got if r["doc_id"] == i):
+            assert r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+def test_token_store_query_against_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    plain, start = Tokenizer.from_file(tokens.default_path()), 0
+    got = {r["doc_id"]: r for r in token_store.op8_token_store(spark, folder).collect()}
+    rows = sorted(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
+    for i, text in rows:
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, tokens.END_ID], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(got) == len(rows)
