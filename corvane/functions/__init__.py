@@ -117,14 +117,19 @@ def interval_of_text(text: Column) -> Column:
     """struct(start, end) in seconds of a JSON object's fields, or of the first two times apart by a dash, comma or `to`; null fields if there are none."""
     from .answers import as_object, without_fence
 
-    bare = without_fence(F.translate(text, "–—到", "---"))
-    value = as_object(bare)
     get = lambda v, k: F.try_variant_get(v, f"$.{k}", "string")
-    a, b = F.coalesce(get(value, "start"), get(value, "start_time")), F.coalesce(get(value, "end"), get(value, "end_time"))
-    said = F.coalesce(get(value, "answer"), bare)
-    left = F.when(a.isNotNull() & b.isNotNull(), seconds_of(a)).otherwise(seconds_of(F.nullif(F.regexp_extract(said, INTERVAL, 1), F.lit(""))))
-    right = F.when(a.isNotNull() & b.isNotNull(), seconds_of(b)).otherwise(seconds_of(F.nullif(F.regexp_extract(said, INTERVAL, 2), F.lit(""))))
-    return F.struct(left.alias("start"), right.alias("end"))
+    seconds = lambda a, b: F.struct(seconds_of(a).alias("start"), seconds_of(b).alias("end"))
+    said = lambda t: seconds(F.nullif(F.regexp_extract(t, INTERVAL, 1), F.lit("")), F.nullif(F.regexp_extract(t, INTERVAL, 2), F.lit("")))
+
+    def of_object(value: Column, bare: Column) -> Column:
+        fields = F.struct(F.coalesce(get(value, "start"), get(value, "start_time")).alias("a"), F.coalesce(get(value, "end"), get(value, "end_time")).alias("b"), F.coalesce(get(value, "answer"), bare).alias("t"))
+        return bound(fields, lambda f: F.when(f["a"].isNotNull() & f["b"].isNotNull(), seconds(f["a"], f["b"])).otherwise(said(f["t"])))
+
+    def of_text(bare: Column) -> Column:
+        # Only what begins as an object is parsed as one.
+        return F.when(bare.startswith("{"), bound(as_object(bare), lambda v: of_object(v, bare))).otherwise(said(bare))
+
+    return bound(F.translate(text, "–—到", "---"), lambda t: bound(without_fence(t), of_text))
 
 
 def evenly(n: Column, frames: Column) -> Column:

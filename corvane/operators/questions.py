@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import md5_mod, phase_frame, rotated, stride_walk
+from ..functions import bound, md5_mod, phase_frame, rotated, stride_walk
 from ..functions.words import key, n_words, parsed, swapped
 
 # Phases of a segment at which pictures are taken, and the one that always is.
@@ -59,20 +59,27 @@ def borrowable(vocabulary: DataFrame) -> DataFrame:
     return of_family.join(F.broadcast(whole)).select("family", F.array_sort(F.array_distinct(F.transform(free, lambda x: x["text"]))).alias("texts"))
 
 
+def _md5_mod(text: Column, n: Column) -> Column:
+    """The md5 of a text modulo a positive column."""
+    step = lambda d: lambda a, i: (a * (F.lit(1 << 32) % n) + F.conv(F.substring(d, 8 * i + 1, F.lit(8)), 16, 10).cast("bigint")) % n
+    return bound(F.md5(text.cast("binary")), lambda d: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0).cast("bigint"), step(d)))
+
+
 def rotated_by(item: Column, texts: Column, salt: str) -> Column:
     """The texts begun at the md5 of `item|salt` modulo their number."""
-    n = F.size(texts)
-    digits = F.md5(F.concat_ws("|", item, F.lit(salt)).cast("binary"))
-    k = F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0).cast("bigint"), lambda a, i: (a * ((1 << 32) % n) + F.conv(F.substring(digits, 8 * i + 1, F.lit(8)), 16, 10).cast("bigint")) % n).cast("int")
-    return F.when(n > 0, rotated(texts, k)).otherwise(texts)
+    turned = lambda t: bound(_md5_mod(F.concat_ws("|", item, F.lit(salt)), F.size(t)).cast("int"), lambda k: rotated(t, k))
+    return bound(texts, lambda t: F.when(F.size(t) > 1, turned(t)).otherwise(t))
 
 
 def distractors(item: Column, answer: Column, own: Column, borrowed: Column, n: int = DISTRACTORS) -> Column:
-    """The first n different texts of the own ones in rotated order, then the borrowed ones, in rotated order by how near their number of words is to the answer's."""
-    inside = F.filter(rotated_by(item, F.filter(own, lambda t: t != answer), "in"), lambda t: t.isNotNull())
-    out = rotated_by(item, F.filter(borrowed, lambda t: t != answer), "out")
-    near = F.array_sort(F.transform(out, lambda t, i: F.struct(F.abs(n_words(t) - n_words(answer)).alias("d"), i.alias("i"), t.alias("t"))))
-    return F.slice(F.array_distinct(F.concat(inside, F.transform(near, lambda x: x["t"]))), 1, n)
+    """The first n different texts of the own ones in rotated order, then the borrowed ones, in rotated order by how near their number of words is to the answer's; these are looked at only where the own ones are too few."""
+
+    def with_borrowed(inside: Column) -> Column:
+        near = lambda size: F.array_sort(F.transform(rotated_by(item, F.filter(borrowed, lambda t: t != answer), "out"), lambda t, i: F.struct(F.abs(n_words(t) - size).alias("d"), i.alias("i"), t.alias("t"))))
+        more = bound(n_words(answer), lambda size: F.transform(near(size), lambda x: x["t"]))
+        return F.when(F.size(inside) >= n, F.slice(inside, 1, n)).otherwise(F.slice(F.array_distinct(F.concat(inside, more)), 1, n))
+
+    return bound(F.array_distinct(F.filter(rotated_by(item, F.filter(own, lambda t: t != answer), "in"), lambda t: t.isNotNull())), with_borrowed)
 
 
 def shuffled(item: Column, texts: Column) -> Column:
@@ -172,12 +179,10 @@ def other_blocks(segments: DataFrame) -> DataFrame:
     whole = segments.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start_frame", "end_frame", "event_id", "subtask"))).alias("_all"))
     rows = whole.select(*by, "_all", F.posexplode("_all").alias("_at", "_here"))
     tier = lambda far: F.filter("_all", lambda x, j: (x["subtask"] != F.col("_here.subtask")) & ((F.abs(j - F.col("_at")) >= 2) if far else (F.abs(j - F.col("_at")) == 1)))
-    digits = F.md5(F.col("_here.event_id").cast("string").cast("binary"))
 
     def walk(items: Column) -> Column:
-        n = F.size(items)
-        k = F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0).cast("bigint"), lambda a, i: (a * ((1 << 32) % n) + F.conv(F.substring(digits, 8 * i + 1, F.lit(8)), 16, 10).cast("bigint")) % n)
-        return F.when(n > 0, stride_walk(items, k)).otherwise(items)
+        begun = lambda t: bound(_md5_mod(F.col("_here.event_id").cast("string"), F.size(t)), lambda k: stride_walk(t, k))
+        return bound(items, lambda t: F.when(F.size(t) > 0, begun(t)).otherwise(t))
 
     blocks = F.transform(F.concat(walk(tier(True)), walk(tier(False))), lambda x: x["event_id"])
     return rows.select(F.col("_here.event_id").alias("event_id"), blocks.alias("blocks"))
