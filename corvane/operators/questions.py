@@ -59,7 +59,7 @@ def borrowable(vocabulary: DataFrame) -> DataFrame:
     return of_family.join(F.broadcast(whole)).select("family", F.array_sort(F.array_distinct(F.transform(free, lambda x: x["text"]))).alias("texts"))
 
 
-def _md5_mod(text: Column, n: Column) -> Column:
+def md5_mod_of(text: Column, n: Column) -> Column:
     """The md5 of a text modulo a positive column."""
     step = lambda d: lambda a, i: (a * (F.lit(1 << 32) % n) + F.conv(F.substring(d, 8 * i + 1, F.lit(8)), 16, 10).cast("bigint")) % n
     return bound(F.md5(text.cast("binary")), lambda d: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0).cast("bigint"), step(d)))
@@ -67,7 +67,7 @@ def _md5_mod(text: Column, n: Column) -> Column:
 
 def rotated_by(item: Column, texts: Column, salt: str) -> Column:
     """The texts begun at the md5 of `item|salt` modulo their number."""
-    turned = lambda t: bound(_md5_mod(F.concat_ws("|", item, F.lit(salt)), F.size(t)).cast("int"), lambda k: rotated(t, k))
+    turned = lambda t: bound(md5_mod_of(F.concat_ws("|", item, F.lit(salt)), F.size(t)).cast("int"), lambda k: rotated(t, k))
     return bound(texts, lambda t: F.when(F.size(t) > 1, turned(t)).otherwise(t))
 
 
@@ -181,7 +181,7 @@ def other_blocks(segments: DataFrame) -> DataFrame:
     tier = lambda far: F.filter("_all", lambda x, j: (x["subtask"] != F.col("_here.subtask")) & ((F.abs(j - F.col("_at")) >= 2) if far else (F.abs(j - F.col("_at")) == 1)))
 
     def walk(items: Column) -> Column:
-        begun = lambda t: bound(_md5_mod(F.col("_here.event_id").cast("string"), F.size(t)), lambda k: stride_walk(t, k))
+        begun = lambda t: bound(md5_mod_of(F.col("_here.event_id").cast("string"), F.size(t)), lambda k: stride_walk(t, k))
         return bound(items, lambda t: F.when(F.size(t) > 0, begun(t)).otherwise(t))
 
     blocks = F.transform(F.concat(walk(tier(True)), walk(tier(False))), lambda x: x["event_id"])

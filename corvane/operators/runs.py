@@ -19,12 +19,22 @@ def completed(log: DataFrame) -> DataFrame:
     return log.groupBy("id").agg(F.bool_or("ok").alias("done")).filter("done").select("id")
 
 
-def breaker(log: DataFrame, key: str, threshold: int) -> DataFrame:
-    """Per key the first seq at which that many failures in a row were reached."""
-    by = W.partitionBy(key).orderBy("seq")
-    islands = log.withColumn("island", F.sum(F.col("ok").cast("int")).over(by))
-    streak = islands.filter("not ok").withColumn("nth", F.row_number().over(W.partitionBy(key, "island").orderBy("seq")))
-    return streak.filter(F.col("nth") == threshold).groupBy(key).agg(F.min("seq").alias("broken_at"))
+def breaker(log: DataFrame, key: str, threshold: int, span: int = 100_000) -> DataFrame:
+    """Per key the first seq (a number) at which that many failures in a row were reached.
+
+    Streaks are counted within stretches of `span` numbers, so a key's log is many groups; only one row of each stretch,
+    with the failures at its end, meets the others of its key, and gives the next stretch what it begins with.
+    """
+    stretch = W.partitionBy(key, "_part")
+    rows = log.select(key, "seq", "ok", F.floor(F.col("seq") / span).alias("_part"))
+    rows = rows.withColumn("_island", F.coalesce(F.sum(F.col("ok").cast("int")).over(stretch.orderBy("seq")), F.lit(0))).withColumn("_last", F.max("_island").over(stretch))
+    rows = rows.withColumn("_nth", F.sum((~F.col("ok")).cast("int")).over(W.partitionBy(key, "_part", "_island").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
+    ends = rows.groupBy(key, "_part").agg((F.max("_last") > 0).cast("int").alias("_cut"), F.count_if(~F.col("ok") & (F.col("_island") == F.col("_last"))).alias("_tail"))
+    order = W.partitionBy(key).orderBy("_part")
+    ends = ends.withColumn("_run", F.sum("_cut").over(order)).withColumn("_sum", F.sum("_tail").over(W.partitionBy(key, "_run").orderBy("_part")))
+    before = ends.select(key, "_part", F.coalesce(F.lag("_sum").over(order), F.lit(0)).alias("_before"))
+    streak = F.col("_nth") + F.when(F.col("_island") == 0, F.col("_before")).otherwise(0)
+    return rows.filter("not ok").join(before, [key, "_part"]).filter(streak == threshold).groupBy(key).agg(F.min("seq").alias("broken_at"))
 
 
 def units_up_to(units: DataFrame, group: str, limit: int) -> DataFrame:
