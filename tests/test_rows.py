@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from corvane import functions as fn
 from corvane import sources
-from corvane.functions import answers, geometry, words
-from corvane.operators import labels, reports, runs
+from corvane.functions import answers, geometry, points, words
+from corvane.operators import labels, media, reports, runs
 
 SEGMENT = "family string, file long, episode long, event_id long, subtask string, start_frame long, end_frame long"
 
@@ -159,3 +159,36 @@ def test_summaries_of_nothing_are_zero(spark):
     assert runs.summary(none, "run").count() == 0
     got = runs.summary(none).first().asDict()
     assert got["total"] == 0 and got["accuracy"] == got["accuracy_answered"] == got["parse_failure_rate"] == 0.0
+
+
+@pytest.mark.parametrize("span", [1, 2, 3, 1000])
+def test_breaker_over_stretches(spark, span):
+    """Streaks that cross, fill and end with stretches of a log, against a plain count."""
+    ok = {"a": "0010000", "b": "000", "c": "1" * 9, "d": "0101000001", "e": "00", "f": "1000"}
+    log = [(k, i, x == "1") for k, xs in ok.items() for i, x in enumerate(xs)]
+    expected = {}
+    for k, xs in ok.items():
+        at = xs.find("000")
+        if at >= 0:
+            expected[k] = at + 2
+    got = runs.breaker(spark.createDataFrame(log, "k string, seq long, ok boolean"), "k", 3, span)
+    assert dict(rows(got)) == expected
+
+
+def test_paths_at_odd_places(spark):
+    """Items that are null, no JSON, deep, or name one file twice; a name of two files stays as it is."""
+    deep = "[" * 50 + '"x/a.mp4"' + "]" * 50
+    items = spark.createDataFrame([(1, None), (2, "{broken a.mp4"), (3, deep), (4, '{"p": ["a.mp4", "x/a.mp4"], "reason": "a.mp4"}'), (5, '"two.png"'), (6, "")], "id long, item string")
+    files = spark.createDataFrame([("d/a.mp4",), ("d/two.png",), ("e/two.png",)], "file string")
+    got = {r["id"]: r["item"] for r in media.relocated(items, files).collect()}
+    assert got == {1: None, 2: "{broken a.mp4", 3: deep.replace("x/", "d/"), 4: '{"p": ["d/a.mp4", "d/a.mp4"], "reason": "a.mp4"}', 5: '"two.png"', 6: ""}
+
+
+def test_points_in_long_prose(spark):
+    """Thousands of points, points of three numbers, null and empty texts."""
+    many = "[" + ", ".join(f"[{i}, {i + 1}]" for i in range(5000)) + "]"
+    brackets = ", ".join(f"({i}.5, 2, 3)" for i in range(3000))
+    two = spark.createDataFrame([(1, many), (2, None), (3, "")], "id long, t string").select("id", F.size(points.in_prose(F.col("t"), 2, F.lit(0))).alias("n"))
+    assert {r["id"]: r["n"] for r in two.collect() if r["n"] and r["n"] > 0} == {1: 5000}
+    three = spark.createDataFrame([("(0.5, 1, 2) (1, 2, 3)",), (brackets,)], "t string").select(F.size(points.in_prose(F.col("t"), 3, F.lit(0))).alias("n"))
+    assert [r["n"] if r["n"] and r["n"] > 0 else None for r in three.collect()] == [2, None]  # the second is not in metres
