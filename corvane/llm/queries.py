@@ -6,6 +6,7 @@ from .decontam import op1_decontam
 from .fingerprints import op7_fingerprints
 from .html_text import op6_html_text
 from .langid import op9_langid
+from .mixing import op13_mix
 from .neardup import op10_neardup
 from .ngram_lm import op4_lm_score
 from .packing import op2_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_langid": op9_langid,
     "op10_neardup": op10_neardup,
+    "op13_mix": op13_mix,
 }
 
 OP10_SQL = r"""
