@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP11_SQL, op11_collocations
 from .decontam import op1_decontam
 from .fingerprints import op7_fingerprints
 from .html_text import op6_html_text
@@ -11,6 +12,7 @@ from .neardup import op10_neardup
 from .ngram_lm import op4_lm_score
 from .packing import op2_packing
 from .pii import op3_pii
+from .ranked import OP12_SQL, op12_search
 from .token_store import op8_token_store
 from .warc import OP5_SQL, op5_warc
 
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_langid": op9_langid,
     "op10_neardup": op10_neardup,
+    "op11_collocations": op11_collocations,
+    "op12_search": op12_search,
     "op13_mix": op13_mix,
 }
 
@@ -48,4 +52,4 @@ SELECT d.doc_id, coalesce(k, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d LEFT JOIN n USING (doc_id) JOIN root USING (doc_id)
 """
 
-ORACLES = {"op5_warc": OP5_SQL, "op10_neardup": OP10_SQL}
+ORACLES = {"op5_warc": OP5_SQL, "op10_neardup": OP10_SQL, "op11_collocations": OP11_SQL, "op12_search": OP12_SQL}
