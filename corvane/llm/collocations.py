@@ -129,7 +129,8 @@ def asked_words(got: dict[str, bytes], segments: int) -> tuple[Asked, list[bytes
 
 def asked_phrases(got: dict[str, bytes], k: int, segments: int) -> Asked:
     """Level k: phrases of which both parts of k - 1 words are frequent."""
-    word, part = unpacked(got["word"], np.int64), unpacked(got["part"], np.int64)
+    word = unpacked(got["word"], np.int64)
+    part = unpacked(got["part"], np.int64) if k > 2 else word
     at = np.flatnonzero((part[:-1] >= 0) & (part[1:] >= 0)) if len(part) else np.zeros(0, np.int64)
     parts, of_part = np.unique(part[at], return_inverse=True)
     words, of_word = np.unique(word[at + k - 1], return_inverse=True)
@@ -138,7 +139,7 @@ def asked_phrases(got: dict[str, bytes], k: int, segments: int) -> Asked:
     return Asked(parts[left].astype(np.uint64), words[right].astype(np.uint64), seen, at, which, segments)
 
 
-REQUESTS = "block long, file string, segment long, hi binary, lo binary, seen binary, text binary, lengths binary"
+REQUESTS = "block long, file string, segment long, hi binary, lo binary, seen binary"
 
 
 def requests(held: DataFrame, folder: str, k: int, segments: int) -> DataFrame:
@@ -148,14 +149,11 @@ def requests(held: DataFrame, folder: str, k: int, segments: int) -> DataFrame:
         for batch in batches:
             for block, name in zip(batch["block"], batch["file"], strict=True):
                 got = stored(folder, name)
-                a, texts = asked_words(got, segments) if k == 1 else (asked_phrases(got, k, segments), None)
+                a = asked_words(got, segments)[0] if k == 1 else asked_phrases(got, k, segments)
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(a.segment)) + 1, [len(a.segment)]]) if len(a.segment) else [0]
                 for x, y in zip(cut[:-1], cut[1:], strict=True):
-                    own = texts[x:y] if texts else []
-                    yield pd.DataFrame({
-                        "block": [block], "file": [name], "segment": [int(a.segment[x])], "hi": [sorted_packed(a.hi[x:y])], "lo": [packed(a.lo[x:y].astype(np.uint64))], "seen": [packed(a.seen[x:y].astype(np.uint32))],
-                        "text": [packed(np.frombuffer(b"".join(own), np.uint8))], "lengths": [packed(np.array([len(w) for w in own], np.uint32))],
-                    })
+                    own = {"hi": [sorted_packed(a.hi[x:y])], "lo": [packed(a.lo[x:y])], "seen": [packed(a.seen[x:y].astype(np.uint32))]}
+                    yield pd.DataFrame({"block": [block], "file": [name], "segment": [int(a.segment[x])], **own})
 
     return held.select("block", "file").repartition(common.partitions(held.sparkSession)).mapInPandas(work, REQUESTS)
 
@@ -171,16 +169,9 @@ def models(asked: DataFrame, folder: str) -> DataFrame:
         hi, lo = (np.concatenate(x) for x in _keys(group))
         order = np.lexsort((lo, hi))
         first = order[np.flatnonzero(np.concatenate([[True], (np.diff(hi[order]) != 0) | (np.diff(lo[order]) != 0)]))]
-        model = PerfectHash(hi[first], lo[first])
-        texts = [t for text, lengths in zip(group["text"], group["lengths"], strict=True) for t in _texts({"text": text, "lengths": lengths})]
-        own = [b""] * len(model)
-        if texts:
-            for slot, i in zip(model.slots(hi[first], lo[first]).tolist(), first.tolist(), strict=True):
-                own[slot] = texts[i]
-        name = store(folder, **model.dump(), text=packed(np.frombuffer(b"".join(own), np.uint8)), lengths=packed(np.array([len(w) for w in own], np.uint32)))
-        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "model": [name]})
+        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "model": [store(folder, **PerfectHash(hi[first], lo[first]).dump())]})
 
-    return asked.groupBy("segment").applyInPandas(build, "segment long, model string")
+    return asked.select("segment", "hi", "lo").groupBy("segment").applyInPandas(build, "segment long, model string")
 
 
 def counted(asked: DataFrame, folder: str, shares: int, segments: int, least: int) -> DataFrame:
@@ -228,55 +219,59 @@ def replies(asked: DataFrame, folder: str) -> DataFrame:
     return asked.groupBy("segment", "share").applyInPandas(answer, REPLIES)
 
 
+TOLD = "block long, file string, n_keys long, numbers array<long>, texts array<binary>"
+
+
 def told(answers: DataFrame, folder: str, new: str, k: int, segments: int) -> DataFrame:
-    """block, file, n_keys: the blocks' next files, of what frequent phrases of k words cover; n_keys bounds the candidates to come."""
+    """TOLD: the blocks' next files, of what frequent phrases of k words cover; n_keys bounds the candidates to come; at level 1 the frequent words and their numbers."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        got = stored(folder, group["file"].iloc[0])
-        a = asked_words(got, segments)[0] if k == 1 else asked_phrases(got, k, segments)
-        number = np.concatenate([unpacked(b, np.int64) for b in group.sort_values("segment")["numbers"]])[a.which]
-        part = np.full(len(unpacked(got["tokens" if k == 1 else "word"], np.uint32 if k == 1 else np.int64)), -1)
-        part[a.at] = number
+        got, numbers, texts = stored(folder, group["file"].iloc[0]), [], []
+        told_ = np.concatenate([unpacked(b, np.int64) for b in group.sort_values("segment")["numbers"]])
+        if k == 1:
+            a, words = asked_words(got, segments)
+            own = np.flatnonzero(told_ >= 0)
+            numbers, texts = told_[own].tolist(), [words[i] for i in own]
+            n = len(unpacked(got["tokens"], np.uint32))
+        else:
+            a = asked_phrases(got, k, segments)
+            n = len(unpacked(got["word"], np.int64))
+        part = np.full(n, -1)
+        part[a.at] = told_[a.which]
         word = part if k == 1 else unpacked(got["word"], np.int64)
         begin = np.flatnonzero(part >= 0)
-        step = np.bincount(begin, minlength=len(part) + 1) - np.bincount(begin + k, minlength=len(part) + 1)
-        cover = np.cumsum(step)[: len(part)] > 0
+        step = np.bincount(begin, minlength=n + 1) - np.bincount(begin + k, minlength=n + 1)
+        cover = np.cumsum(step)[:n] > 0
         keep = cover | np.concatenate([[False], cover[:-1]])  # one place between two stretches
         word, part = np.where(cover, word, -1)[keep], part[keep]
-        n = int(np.count_nonzero((part[:-1] >= 0) & (part[1:] >= 0)))
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "file": [store(new, word=packed(word), part=packed(part))], "n_keys": [n]})
+        left = int(np.count_nonzero((part[:-1] >= 0) & (part[1:] >= 0)))
+        name = store(new, word=packed(word), part=packed(part if k > 1 else part[:0]))
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "file": [name], "n_keys": [left], "numbers": [numbers], "texts": [texts]})
 
-    return answers.repartition(common.partitions(answers.sparkSession), "block").groupBy("block").applyInPandas(work, "block long, file string, n_keys long")
+    return answers.repartition(common.partitions(answers.sparkSession), "block").groupBy("block").applyInPandas(work, TOLD)
 
 
-def frequent(found: DataFrame, folder: str, k: int) -> DataFrame:
-    """number, part, word, a of every frequent phrase of k words: the numbers of its first k - 1 words and of its last; of words number, lang, text, a."""
+def frequent(found: DataFrame, folder: str) -> DataFrame:
+    """number, part, word, a of every frequent phrase: the numbers of its first k - 1 words and of its last, or a word's hash in two parts."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, counts in zip(batch["model"], batch["counts"], strict=True):
-                got, c = stored(folder, name), stored(folder, counts)
+                model, c = PerfectHash.load(stored(folder, name)), stored(folder, counts)
                 number, n = unpacked(c["numbers"], np.int64), unpacked(c["counts"], np.int64)
                 own = np.flatnonzero(number >= 0)
-                if k == 1:
-                    texts = _texts(got)
-                    both = [texts[i].rpartition(b"\t") for i in own]
-                    yield pd.DataFrame({"number": number[own], "lang": [b[0].decode() for b in both], "text": [b[2].decode() for b in both], "a": n[own]})
-                else:
-                    model = PerfectHash.load(got)
-                    yield pd.DataFrame({"number": number[own], "part": model.hi[own].astype(np.int64), "word": model.lo[own].astype(np.int64), "a": n[own]})
+                yield pd.DataFrame({"number": number[own], "part": model.hi[own].astype(np.int64), "word": model.lo[own].astype(np.int64), "a": n[own]})
 
-    return found.mapInPandas(work, "number long, lang string, text string, a long" if k == 1 else "number long, part long, word long, a long")
+    return found.mapInPandas(work, "number long, part long, word long, a long")
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> tuple[list[DataFrame], DataFrame]:
-    """Frequent phrases of 1, 2, ... longest words, as frequent() has them, and lang, n: all words of each language."""
+    """Frequent phrases of 2, 3, ... longest words, as frequent() has them, after those of one (number, lang, text, a); and lang, n: all words of each language."""
     spark, out = docs.sparkSession, []
     top = common.new_folder(spark, "phrases")
     try:
         held = common.checkpointed(blocks(docs, f"{top}/0", lang_col, text_col))
-        n_blocks = held.count()
-        shares = max(1, -(-n_blocks // SHARE_BLOCKS))
+        shares = max(1, -(-held.count() // SHARE_BLOCKS))
         n = common.checkpointed(held.select(F.explode(F.arrays_zip("langs", "words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.words").alias("n")))
         for k in range(1, longest + 1):
             here, model_folder, new = f"{top}/{k - 1}", f"{top}/m{k}", f"{top}/{k}"
@@ -284,11 +279,19 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_co
             segments = max(common.partitions(spark), -(-keys // SEGMENT_KEYS))
             asked = common.checkpointed(requests(held, here, k, segments)).withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)))
             built = common.checkpointed(models(asked, model_folder))
-            bare = asked.drop("text", "lengths")
-            found = common.checkpointed(counted(bare.drop("file").join(built, "segment"), model_folder, shares, segments, least))
-            out.append(common.checkpointed(frequent(found, model_folder, k)))
+            common.free(spark)
+            found = common.checkpointed(counted(asked.drop("block", "file").join(built, "segment"), model_folder, shares, segments, least))
+            common.free(spark)
+            level = common.checkpointed(frequent(found, model_folder))
             if k < longest:
-                held = common.checkpointed(told(replies(bare.drop("seen").join(found, "segment"), model_folder), here, new, k, segments))
+                held = common.checkpointed(told(replies(asked.drop("seen").join(found, "segment"), model_folder), here, new, k, segments))
+            if k == 1:
+                word = F.col("x.texts").cast("string")
+                texts = held.select(F.explode(F.arrays_zip("numbers", "texts")).alias("x")).groupBy(F.col("x.numbers").alias("number")).agg(F.first(word).alias("t"))
+                level = common.checkpointed(level.join(texts, "number").select("number", F.substring_index("t", "\t", -1).alias("text"), F.expr("substring(t, 1, length(t) - length(substring_index(t, '\t', -1)) - 1)").alias("lang"), "a"))
+            out.append(level)
+            del asked, built, found
+            common.free(spark)
             common.remove(spark, here)
             common.remove(spark, model_folder)
     finally:

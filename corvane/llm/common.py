@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,13 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more. It does so when the driver collects
+    its garbage, which a driver with little to do puts off, while the executors' disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A name for a working column that none of the columns has, whatever its case."""
     taken, out = {c.lower() for c in columns}, f"_corvane_{name}"

@@ -31,18 +31,18 @@ def sorted_unpacked(b: bytes) -> np.ndarray:
 
 
 def store(folder: str, **arrays: bytes) -> str:
-    """Write named bytes to a new file of the folder; its path."""
+    """Write named bytes to a new file of the folder; its name."""
     system, root = common.byte_files(folder)
     system.create_dir(root, recursive=True)
-    name, out = f"{root}/{uuid.uuid4().hex}", io.BytesIO()
+    name, out = uuid.uuid4().hex, io.BytesIO()
     np.savez(out, **{k: np.frombuffer(v, np.uint8) for k, v in arrays.items()})
-    with system.open_output_stream(name, compression=None) as sink:
+    with system.open_output_stream(f"{root}/{name}", compression=None) as sink:
         sink.write(out.getbuffer())
     return name
 
 
 def stored(folder: str, name: str) -> dict[str, bytes]:
-    system, _ = common.byte_files(folder)
-    with system.open_input_file(name) as source:
+    system, root = common.byte_files(folder)
+    with system.open_input_file(f"{root}/{name}") as source:
         got = np.load(io.BytesIO(source.read()))
         return {k: got[k].tobytes() for k in got.files}

@@ -141,7 +141,7 @@ def test_pii(spark, docs, none):
     assert d.selectExpr(f"{pii.permuted_digits('m', 'k', 't')} p").distinct().count() == 1000
 
 
-def backoff_scores(rows, order, mu=2.0):
+def backoff_scores(rows, order, mu=2.0, least=1):
     """(score, base score, tokens) of each text, straight from the definition of the model."""
     words = [[*(r["text"] or "").encode().lower().split(), None] for r in rows]
     learn = [r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 10 != 0 for r in rows]
@@ -155,7 +155,7 @@ def backoff_scores(rows, order, mu=2.0):
         if not history:
             return (seen[word,] + 0.1) / (n + 0.1 * (v + 1))
         lower = p(word, history[1:])
-        if seen[history] < (1 if len(history) == 1 else ngram_lm.LEAST):
+        if seen[history] < (1 if len(history) == 1 else least):
             return lower
         return (seen[*history, word] + mu * lower) / (seen[history] + mu)
 
@@ -177,6 +177,20 @@ def test_scores_against_brute_force(spark, docs, none, order):
     assert ngram_lm.lm_scores(none, order=order).count() == 0
 
 
+@pytest.mark.parametrize(("least", "narrow"), [(1, 4), (2, 64), (2, 4)])
+def test_scores_with_keys_of_two_numbers_and_rarer_states(spark, least, narrow):
+    """narrow=4: no pair fits a key of one number."""
+    rng = np.random.default_rng(8)
+    frame = spark.createDataFrame([(i, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(0, 90)))), None, None, i) for i in range(80)], SCHEMA)
+    got = sorted((round(r["score"], 6), round(r["base_score"], 6), r["n_tokens"]) for r in ngram_lm.lm_scores(frame, order=3, least=least, narrow=narrow).collect())
+    assert got == backoff_scores(frame.collect(), 3, least=least)
+
+
+def test_held_out_score_of_the_corpus(spark):
+    rows = ngram_lm.op4_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").agg({"score": "sum", "n_tokens": "sum"}).first()
+    assert rows["sum(score)"] / rows["sum(n_tokens)"] > -3.04
+
+
 def test_scores_do_not_depend_on_blocks_and_buckets(docs, monkeypatch):
     whole = sorted(tuple(r) for r in ngram_lm.lm_scores(docs).select("n_tokens", "score", "n_known").collect())
     monkeypatch.setattr(ngram_lm, "BUCKET_KEYS", 3)
@@ -489,7 +503,7 @@ def test_queries_with_sql_equal_duckdb(spark):
     from corvane.llm import queries
 
     folder, duck = "/root/testdata/sf0.001", duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "benchmark"):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         theirs = duck.execute(sql).df()
