@@ -11,6 +11,16 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strict_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else, else null.
+
+    try_parse_json reads the first value and leaves what follows. As the one element of a list, and as the one field of
+    an object, the text is followed by a bracket and by a brace; what follows its first value can close only one of them.
+    """
+    both = F.struct(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>").alias("l"), F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).alias("o"))
+    return bound(both, lambda b: F.when((F.size(b["l"]) == 1) & b["o"].isNotNull(), F.get(b["l"], F.lit(0))))
+
+
 def md5_mod(text: Column, n: int) -> Column:
     """The 128-bit md5 modulo n (n below 2**31), folded in from chunks of eight hexadecimal digits."""
     h = F.md5(text.cast("binary"))
@@ -113,13 +123,19 @@ _NUMBER = r"(\d{1,2}:\d{2}:\d{2}(?:\.\d+)?|\d{1,2}:\d{2}(?:\.\d+)?|\d+(?:\.\d+)?
 INTERVAL = rf"(?i){_NUMBER}\s*(?:-|,|to)\s*{_NUMBER}"
 
 
+def times_apart(text: Column) -> Column:
+    """struct(start, end) in seconds of the first two times apart by a dash, comma or `to`; null fields if there are none."""
+    time = lambda g: seconds_of(F.nullif(F.regexp_extract(text, INTERVAL, g), F.lit("")))
+    return F.struct(time(1).alias("start"), time(2).alias("end"))
+
+
 def interval_of_text(text: Column) -> Column:
     """struct(start, end) in seconds of a JSON object's fields, or of the first two times apart by a dash, comma or `to`; null fields if there are none."""
     from .answers import as_object, without_fence
 
     get = lambda v, k: F.try_variant_get(v, f"$.{k}", "string")
     seconds = lambda a, b: F.struct(seconds_of(a).alias("start"), seconds_of(b).alias("end"))
-    said = lambda t: seconds(F.nullif(F.regexp_extract(t, INTERVAL, 1), F.lit("")), F.nullif(F.regexp_extract(t, INTERVAL, 2), F.lit("")))
+    said = times_apart
 
     def of_object(value: Column, bare: Column) -> Column:
         fields = F.struct(F.coalesce(get(value, "start"), get(value, "start_time")).alias("a"), F.coalesce(get(value, "end"), get(value, "end_time")).alias("b"), F.coalesce(get(value, "answer"), bare).alias("t"))

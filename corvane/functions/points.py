@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bound
+from . import bound, strict_json
 from .answers import as_object, json_objects, without_fence
 from .geometry import refusal
 
@@ -73,7 +73,7 @@ def with_hands(rows: DataFrame, text_col: str, dimension: int) -> DataFrame:
     """rows with left_gripper and right_gripper: the points in the first JSON object of an answer, each hand under the first of its names that counts."""
     bare = without_fence(F.col(text_col))
     found = rows.withColumn("_first", F.get(json_objects(bare), F.lit(0)))
-    value = F.when(F.try_parse_json(bare).isNotNull(), as_object(bare)).otherwise(F.try_parse_json("_first"))
+    value = bound(F.struct(bare.alias("bare"), strict_json(bare).isNotNull().alias("whole")), lambda s: F.when(s["whole"], as_object(s["bare"])).otherwise(F.try_parse_json("_first")))
     found = found.withColumn("_value", value)
     for side in ("left", "right"):
         named = F.array(*[F.try_variant_get("_value", f"$.{k.format(side)}", "variant") for k in HANDS])
@@ -84,7 +84,7 @@ def with_hands(rows: DataFrame, text_col: str, dimension: int) -> DataFrame:
 def harvested(fragment: Column, dimension: int) -> Column:
     """The rows of numbers of a list; where these are fewer than two, all numbers in turn, if they make two points."""
     numbers = lambda r: bound(_list(r), lambda v: F.when(F.forall(v, _is_number), F.transform(v, _number)))
-    rows = F.coalesce(F.array_compact(F.transform(_list(F.try_parse_json(fragment)), numbers)), _no_points())
+    rows = F.coalesce(F.array_compact(F.transform(_list(strict_json(fragment)), numbers)), _no_points())
     in_turn = F.transform(F.regexp_extract_all(fragment, F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double"))
     cut = lambda n: F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / dimension).cast("int") - 1), lambda i: F.slice(n, i * dimension + 1, dimension))
     return bound(F.struct(rows.alias("rows"), in_turn.alias("n")), lambda s: F.when((F.size(s["rows"]) < 2) & (F.size(s["n"]) >= 2 * dimension), cut(s["n"])).otherwise(s["rows"]))

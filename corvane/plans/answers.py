@@ -92,10 +92,15 @@ _FIXED = """regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '''
 _CAUGHT = "'It is ' || output || ' open the drawer. Remove the cup. '"
 
 
+def _sql_strict(j: str) -> str:
+    named = [f"upper({_STRIP.format(f'json_extract_string({j}, chr(36) || chr(46) || {k!r})')})" for k in an.STRICT_KEYS]
+    return "coalesce(" + ", ".join(f"CASE WHEN {n} IN ('A','B','C','D') THEN {n} END" for n in named) + ")"
+
+
 @query(
     "t14_t15_t16_strict",
     f"""WITH t AS ({_BASE}), f AS (SELECT *, {_FENCE.format('output')} AS bare FROM t), r AS (SELECT *, {_FIXED.format('bare')} AS fixed FROM f), j AS (SELECT *, coalesce({_sql_object('bare')}, {_sql_object('fixed')}) AS j FROM r),
-    s AS (SELECT *, coalesce({', '.join(f"CASE WHEN upper({_STRIP.format(f'json_extract_string(j, chr(36) || chr(46) || {k!r})')}) IN ('A','B','C','D') THEN upper({_STRIP.format(f'json_extract_string(j, chr(36) || chr(46) || {k!r})')}) END" for k in an.STRICT_KEYS)}) AS a, {_sql_longest('output')} AS b, {_sql_longest(_CAUGHT)} AS longest FROM j)
+    s AS (SELECT *, coalesce({_sql_strict('j')}, list_filter(list_transform(list_filter(regexp_extract_all(bare, '\\{{[^{{}}]*\\}}'), lambda x: json_valid(x)), lambda o: {_sql_strict('o')}), lambda x: x IS NOT NULL)[1]) AS a, {_sql_longest('output')} AS b, {_sql_longest(_CAUGHT)} AS longest FROM j)
     SELECT id, fixed, coalesce(a, b) AS choice, CASE WHEN a IS NOT NULL THEN 'strict' WHEN b IS NOT NULL THEN 'lenient' ELSE 'none' END AS layer, longest FROM s""",
 )
 def strict(spark, d):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import answers as an
 from ..functions import frame_time
+from ..functions import intervals as iv
 from ..operators import gates
 from ..sources import SEGMENTS, located, segments, table
 from .registry import query
@@ -95,7 +95,7 @@ _REPLY = """CASE o_orderkey % 6 WHEN 0 THEN '[{"id": "b", "start": 1, "end": "0:
     """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'a:2.0-4.5|b:1.0-9.0' WHEN 1 THEN 'a:3.0-5.0|b:7.0-8.0' WHEN 2 THEN 'a:1.0-2.0' WHEN 3 THEN 'a:3.0-4.0|b:5.0-6.5' END AS found FROM orders""",
 )
 def m8(spark, d):
-    rows = table(spark, d, "orders").selectExpr("o_orderkey as id", f"{_REPLY} as reply", "array('a', 'b') as ids").withColumn("got", an.several_intervals("reply", "ids"))
+    rows = table(spark, d, "orders").selectExpr("o_orderkey as id", f"{_REPLY} as reply", "array('a', 'b') as ids").withColumn("got", iv.several_intervals(F.col("reply"), F.col("ids")))
     text = F.array_join(F.transform("got", lambda x: F.concat(x["id"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), "|")
     return rows.select("id", text.alias("found"))
 

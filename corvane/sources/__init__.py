@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import strict_json
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, row (the text of a JSON object), broken. A line that does not parse is kept and marked, for the caller to judge."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("row")).filter(F.trim("row") != "")
-    return lines.withColumn("broken", F.try_parse_json("row").isNull())
-
-
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled frame intervals made of events: 20 frames a second of the day, 400 frames per unit of value."""
     micros = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000))
@@ -64,26 +60,36 @@ def categories(lines: DataFrame, name: str, *order: str) -> DataFrame:
 
 
 def items(spark: SparkSession, path: str) -> DataFrame:
-    """file, item (JSON text) of JSON documents that are a list of objects or have one under `items`; what is no object is left out."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    """file, item (JSON text) of JSON documents that are a list of objects or have one under `items`; what is no object is left out. A document that isn't JSON has no items."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), strict_json(F.col("value")).alias("v"))
     listed = docs.withColumn("l", F.coalesce(F.try_variant_get("v", "$.items", "array<variant>"), F.try_variant_get("v", "$", "array<variant>")))
     return listed.select("file", F.explode("l").alias("i")).filter(F.startswith(F.schema_of_variant("i"), F.lit("OBJECT"))).select("file", F.to_json("i").alias("item"))
 
 
-def results(spark: SparkSession, path: str) -> DataFrame:
-    """file, row of JSON lines, in which the last line of a file may be broken, as a run that was stopped leaves it; another broken line is an error.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, n (from 0), last, row: the lines of text files that aren't blank.
 
-    Lines are numbered within their file by where they stand in it, which Spark's row index gives for text only as an order of reading, so a file is read as one text here: result files are those of one run.
+    A file is read in splits by many tasks. Lines of one split have consecutive ids; how many lines the file's splits
+    before it have is summed over one row for each split.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("n", "row"))
-    marked = lines.withColumn("broken", F.try_parse_json("row").isNull()).withColumn("last", F.col("n") == F.max("n").over(W.partitionBy("file")))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("row")).filter(F.trim(F.regexp_replace("row", r"\s", " ")) != "")
+    lines = lines.withColumn("_id", F.monotonically_increasing_id())
+    splits, order = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")), W.partitionBy("file").orderBy("_block")
+    splits = splits.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).withColumn("_all", F.sum("_n").over(W.partitionBy("file"))).drop("_n")
+    out = lines.join(splits, ["file", "_block"]).withColumn("n", F.col("_before") + F.col("_id") - F.col("_first"))
+    return out.select("file", "n", (F.col("n") == F.col("_all") - 1).alias("last"), "row")
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """file, n, row of JSON lines, in which the last line of a file may be broken, as a run that was stopped leaves it; another broken line is an error."""
+    marked = numbered_lines(spark, path).withColumn("broken", strict_json(F.col("row")).isNull())
     failed = F.raise_error(F.concat(F.lit("broken line "), F.col("n").cast("string"), F.lit(" of "), F.col("file"))).cast("string")
     return marked.filter("not broken or not last").select("file", "n", F.when(F.col("broken"), failed).otherwise(F.col("row")).alias("row"))
 
 
 def last_by_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Of rows of a cache (a row text of JSON) the last of each key; rows that do not parse or have no key do not count."""
-    keyed = rows.withColumn(key, F.get_json_object("row", f"$.{key}")).filter(F.try_parse_json("row").isNotNull() & F.col(key).isNotNull())
+    keyed = rows.withColumn(key, F.try_variant_get(strict_json(F.col("row")), f"$.{key}", "string")).filter(F.col(key).isNotNull())
     return keyed.groupBy(key).agg(F.max_by("row", F.struct(*order)).alias("row"))
 
 
