@@ -55,11 +55,13 @@ _NO_TEXT = re.compile(r"<[!?/]")
 _NAME = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HINT = re.compile(r"hidden|display|visibility|span|start|value|open|type|class|id", re.I)
-#: Rules of style sheets that hide what one class, one id or one kind of element has.
-_RULE = re.compile(r"([^{}]{1,2000})\{([^{}]*)\}")
-_PLAIN_SELECTOR = re.compile(r"[.#]?[a-z_][\w-]*\Z")
-#: Cells longer than this do not widen their column for the others.
+_HINT = re.compile(r"hidden|reversed|display|visibility|span|start|value|open|type|class|id", re.I)
+#: One element's name, classes and ids, without anything before or after it.
+_SIMPLE = re.compile(r"(?:[a-z][\w-]*)?(?:[.#][a-z_-][\w-]*)*\Z")
+_NAMES = re.compile(r"[.#]?[a-z_-][\w-]*")
+#: Width, in pixels, of the screen that conditions of style sheets are held against.
+SCREEN = 1280
+#: Cells that have others to their right are broken at spaces into lines of this length, so that columns stay aligned.
 ALIGN = 64
 
 
@@ -216,22 +218,63 @@ class Page:
         return "".join(self.out)
 
 
-def hiding(root: Node) -> frozenset[str]:
-    """Selectors (.class, #id, element) that style sheets of the page hide by `display: none`; others are not read."""
-    found, nodes = set(), [root]
+Hidden = dict[str, list[frozenset[str]]]
+
+
+def _applies(prelude: str) -> bool:
+    """Whether the rules in a block of a style sheet hold on a screen: those of media that a screen of SCREEN is, of support tests and of layers."""
+    kind, _, condition = prelude.strip().partition(" ")
+    if kind in ("@supports", "@layer"):
+        return True
+    if kind != "@media":
+        return False
+
+    def holds(query: str) -> bool:
+        bounds = re.findall(r"\((min|max)-width:\s*(\d+)(?:px)?\)", query)
+        other = re.sub(r"\((?:min|max)-width:\s*\d+(?:px)?\)|\b(?:only|screen|all|and)\b", "", query).strip()
+        return not other and all(SCREEN >= int(n) if side == "min" else SCREEN <= int(n) for side, n in bounds)
+
+    return any(map(holds, condition.split(",")))
+
+
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold; braces are followed, whatever their depth."""
+    open_, at, skipped = [], 0, 0  # per open block whether its rules count; where the text since the last brace begins
+    for brace in re.finditer(r"[{}]", sheet):
+        between, at = sheet[at : brace.start()], brace.end()
+        if brace[0] == "{":
+            prelude = between.rpartition(";")[2].strip()
+            open_.append(prelude)
+            skipped += prelude.startswith("@") and not _applies(prelude)
+        elif open_:
+            prelude = open_.pop()
+            if prelude.startswith("@"):
+                skipped -= not _applies(prelude)
+            elif not skipped:
+                yield prelude, between
+
+
+def hiding(root: Node) -> Hidden:
+    """What style sheets of the page hide by `display: none`: by one of its names, each set of names (element, .class, #id)
+    that one element must have. Selectors of more than one element, of states and of attributes are not read."""
+    found: set[frozenset[str]] = set()
+    nodes = [root]
     while nodes:
         node = nodes.pop()
         if node.tag == "style":
             sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", "".join(c for c in node.children if isinstance(c, str)), flags=re.S).lower()
-            if "@media" not in sheet:
-                for selectors, body in _RULE.findall(sheet) if "none" in sheet else ():
-                    if re.search(r"(?:^|;)display:none", re.sub(r"\s+", "", body)):
-                        found.update(t for t in map(str.strip, selectors.split(",")) if _PLAIN_SELECTOR.match(t))
+            sheet = re.sub(r"\"[^\"\n]*\"|'[^'\n]*'", "''", sheet)
+            for selectors, body in _rules(sheet) if "none" in sheet else ():
+                if re.search(r"(?:^|;)display:none", re.sub(r"\s+", "", body)):
+                    found.update(frozenset(_NAMES.findall(s)) for s in map(str.strip, selectors.split(",")) if s and _SIMPLE.match(s))
         nodes += [c for c in node.children if not isinstance(c, str)]
-    return frozenset(found - {"html", "body"})
+    out: Hidden = defaultdict(list)
+    for names in found - {frozenset({"html"}), frozenset({"body"})}:
+        out[max(names)].append(names)
+    return dict(out)
 
 
-def _shown(node: Node, seen: bool, hidden: frozenset[str]) -> tuple[bool, bool]:
+def _shown(node: Node, seen: bool, hidden: Hidden) -> tuple[bool, bool]:
     """(whether the element makes a box, whether text in it is visible)."""
     a = node.attributes
     if node.tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in a:
@@ -240,8 +283,8 @@ def _shown(node: Node, seen: bool, hidden: frozenset[str]) -> tuple[bool, bool]:
     if re.search(r"(?:^|;)display:none", style):
         return False, False
     if hidden and "display:" not in style:
-        names = [node.tag, "#" + a.get("id", "").lower(), *("." + c for c in a.get("class", "").lower().split())]
-        if not hidden.isdisjoint(names):
+        names = {node.tag, "#" + a.get("id", "").lower(), *("." + c for c in a.get("class", "").lower().split())}
+        if any(own <= names for n in names if n in hidden for own in hidden[n]):
             return False, False
     if m := re.search(r"(?:^|;)visibility:(hidden|collapse|visible)", style):
         seen = m[1] == "visible"
@@ -265,6 +308,20 @@ def _run(step: Generator) -> None:
             got = end.value
 
 
+def _broken(line: str) -> list[str]:
+    """A line in parts of up to ALIGN, broken at spaces; a longer word is a part of its own."""
+    if len(line) <= ALIGN:
+        return [line]
+    parts, size = [[]], -1
+    for word in line.split(" "):
+        if size + 1 + len(word) > ALIGN and parts[-1]:
+            parts.append([])
+            size = -1
+        parts[-1].append(word)
+        size += 1 + len(word)
+    return [" ".join(p) for p in parts]
+
+
 class Grid:
     """Rows of a table as (column, lines of a cell); cells that span rows keep their columns."""
 
@@ -295,6 +352,8 @@ class Grid:
     def lines(self) -> Iterator[str]:
         """Cells side by side, each line of a row on a line, columns apart by two spaces; columns without text take no room."""
         width: defaultdict[int, int] = defaultdict(int)
+        for row in self.rows:
+            row[:-1] = [(column, [part for line in value for part in _broken(line)]) for column, value in row[:-1]]
         for column, value in (cell for row in self.rows for cell in row):
             width[column] = max(width[column], *(len(v) for v in value if len(v) <= ALIGN), 0)
         left, at = {}, 0
@@ -312,7 +371,7 @@ class Grid:
                 yield "".join(out)
 
 
-def _cells(node: Node, page: Page, seen: bool, hidden: frozenset[str], grid: Grid) -> Generator:
+def _cells(node: Node, page: Page, seen: bool, hidden: Hidden, grid: Grid) -> Generator:
     """Put the rows of a table into the grid; what stands in it outside of rows is laid out before it. A step of _run."""
     for child in node.children:
         if isinstance(child, str):
@@ -344,10 +403,13 @@ def _cells(node: Node, page: Page, seen: bool, hidden: frozenset[str], grid: Gri
             page.lines(1)
 
 
-def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int, hidden: frozenset[str]) -> Generator:
+def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int, hidden: Hidden) -> Generator:
     """Lay out what is in an element. A step of _run."""
     pre = pre or node.tag in ("pre", "xmp", "textarea")
-    count = _number(node.attributes.get("start"), 1) if node.tag == "ol" else 0
+    count, step = 0, 1
+    if node.tag == "ol":
+        step = -1 if "reversed" in node.attributes else 1
+        count = _number(node.attributes.get("start"), 1 if step > 0 else sum(not isinstance(c, str) and c.tag == "li" for c in node.children))
     closed = node.tag == "details" and "open" not in node.attributes
     for child in node.children:
         if isinstance(child, str):
@@ -377,7 +439,7 @@ def _lay(node: Node, page: Page, seen: bool, pre: bool, depth: int, hidden: froz
             if node.tag == "ol":
                 count = _number(child.attributes.get("value"), count)
             mark = f"{count}. " if node.tag == "ol" else "- "
-            count += 1
+            count += step
             page.first = len(page.indent), mark
             page.indent.append(" " * len(mark))
             yield _lay(child, page, visible, pre, depth + 1, hidden)
@@ -401,7 +463,7 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     page, root = Page(), tree(source)
-    hidden = hiding(root) if "<style" in source.lower() else frozenset()
+    hidden = hiding(root) if "<style" in source.lower() else {}
     box, seen = _shown(root, True, hidden)
     if box:
         _run(_lay(root, page, seen, False, 0, hidden))

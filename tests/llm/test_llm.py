@@ -231,7 +231,7 @@ def test_warc(spark):
         (None, ""), ("", ""), ("a &amp; b", "a & b"), ("<p>a<p>b", "a\n\nb"), ("<ul><li>a<li>b</ul>", "- a\n- b"), ("x<br>y", "x\ny"),
         ("<table><tr><td>aa<td>b<tr><td>c<td>d</table>", "aa  b\nc   d"), ("<div>a<div>b</div></div>", "a\nb"), ("<script>p('</p>')</script>k<span style='display: none'>n</span>", "k"),
         ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b></div>", "b"), ("<pre>a\n  b</pre>", "a\n  b"), ("a < b <", "a < b <"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td>a<p>second<td>b<tr><td colspan=2>c<td>d</table>", "a       b\nsecond\nc          d"),
-        ("<style>.x{display:none} #q , p.y{display : none}</style><p class=x>a<p id=q>b<p class='y'>c", "c"), ("<style>.x{display:none}</style><p class=x style='display:block'>a", "a"), ("a<!-- b", "a"), ("a<p title='>'>b", "a\n\nb"), ("a<p title='>b", "a\n\nb"),
+        ("<style>.x{display:none} #q , p.y{display : none}</style><p class=x>a<p id=q>b<p class='y'>c<p>d", "d"), ("<style>.x{display:none}</style><p class=x style='display:block'>a", "a"), ("a<!-- b", "a"), ("a<p title='>'>b", "a\n\nb"), ("a<p title='>b", "a\n\nb"),
     ],
 )
 def test_html(source, text):
