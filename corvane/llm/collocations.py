@@ -163,58 +163,70 @@ def _keys(group: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def models(asked: DataFrame, folder: str) -> DataFrame:
-    """segment, model: the perfect hash over all candidates of a segment, in a file."""
+    """segment: the perfect hash over all candidates of each is written to a file of its number."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         hi, lo = (np.concatenate(x) for x in _keys(group))
         order = np.lexsort((lo, hi))
         first = order[np.flatnonzero(np.concatenate([[True], (np.diff(hi[order]) != 0) | (np.diff(lo[order]) != 0)]))]
-        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "model": [store(folder, **PerfectHash(hi[first], lo[first]).dump())]})
+        segment = int(group["segment"].iloc[0])
+        store(folder, str(segment), **PerfectHash(hi[first], lo[first]).dump())
+        return pd.DataFrame({"segment": [segment]})
 
-    return asked.select("segment", "hi", "lo").groupBy("segment").applyInPandas(build, "segment long, model string")
+    return asked.select("segment", "hi", "lo").groupBy("segment").applyInPandas(build, "segment long")
+
+
+def _model(folder: str, group: pd.DataFrame) -> PerfectHash:
+    return PerfectHash.load(stored(folder, str(group["segment"].iloc[0])))
 
 
 def counted(asked: DataFrame, folder: str, shares: int, segments: int, least: int) -> DataFrame:
-    """segment, model, counts: files with the counts by slot, summed in a tree over the shares of blocks, and the numbers of frequent slots."""
-    schema = "segment long, share long, model string, counts binary"
+    """segment: the counts by slot, summed in a tree over the shares of blocks, and the numbers of frequent slots are written to a file for each."""
+    schema = "segment long, share long, counts binary"
+
+    def row(group: pd.DataFrame, n: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "share": [group["share"].iloc[0]], "counts": [packed(n.astype(np.uint64))]})
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        model = PerfectHash.load(stored(folder, group["model"].iloc[0]))
+        model = _model(folder, group)
         slots = model.slots(*(np.concatenate(x) for x in _keys(group)))
         if (slots < 0).any():
             raise ValueError("a candidate is not in its segment's hash")
-        total = np.bincount(slots, np.concatenate([unpacked(b, np.uint32) for b in group["seen"]]), len(model))
-        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "share": [group["share"].iloc[0]], "model": [group["model"].iloc[0]], "counts": [packed(total.astype(np.uint64))]})
+        return row(group, np.bincount(slots, np.concatenate([unpacked(b, np.uint32) for b in group["seen"]]), len(model)))
 
     def total(group: pd.DataFrame) -> np.ndarray:
         return np.sum([unpacked(b, np.uint64) for b in group["counts"]], axis=0, dtype=np.uint64)
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "share": [group["share"].iloc[0]], "model": [group["model"].iloc[0]], "counts": [packed(total(group))]})
-
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         n, segment = total(group).astype(np.int64), int(group["segment"].iloc[0])
         frequent = n >= least
         number = np.where(frequent, (np.cumsum(frequent) - 1) * segments + segment, -1)
-        return pd.DataFrame({"segment": [segment], "model": [group["model"].iloc[0]], "counts": [store(folder, counts=packed(n), numbers=packed(number))]})
+        store(folder, f"{segment}.counts", counts=packed(n), numbers=packed(number))
+        return pd.DataFrame({"segment": [segment]})
 
     out = asked.groupBy("segment", "share").applyInPandas(count, schema)
     while shares > FAN_IN:
-        out, shares = out.withColumn("share", F.expr(f"share div {FAN_IN}")).groupBy("segment", "share").applyInPandas(add, schema), -(-shares // FAN_IN)
-    return out.groupBy("segment").applyInPandas(finish, "segment long, model string, counts string")
+        out, shares = out.withColumn("share", F.expr(f"share div {FAN_IN}")).groupBy("segment", "share").applyInPandas(lambda group: row(group, total(group)), schema), -(-shares // FAN_IN)
+    return out.groupBy("segment").applyInPandas(finish, "segment long")
 
 
-REPLIES = "block long, file string, segment long, numbers binary"
+REPLIES = "block long, file string, segment long, numbers binary, tell binary"
 
 
 def replies(asked: DataFrame, folder: str) -> DataFrame:
-    """To every request the numbers of its candidates that are frequent phrases; -1 for others."""
+    """To every request the numbers of its candidates that are frequent phrases (-1 for others), and of which of these the block is the first of its share to ask."""
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        model, numbers = PerfectHash.load(stored(folder, group["model"].iloc[0])), unpacked(stored(folder, group["counts"].iloc[0])["numbers"], np.int64)
+        model, numbers = _model(folder, group), unpacked(stored(folder, f"{group['segment'].iloc[0]}.counts")["numbers"], np.int64)
         hi, lo = _keys(group)
-        own = [packed(numbers[model.slots(h, x)]) for h, x in zip(hi, lo, strict=True)]
-        return pd.DataFrame({"block": group["block"].array, "file": group["file"].array, "segment": group["segment"].array, "numbers": own})
+        ends = np.cumsum([len(h) for h in hi])[:-1]
+        told_ = numbers[model.slots(np.concatenate(hi), np.concatenate(lo))]
+        first = np.zeros(len(told_), bool)
+        first[np.unique(told_, return_index=True)[1]] = True
+        return pd.DataFrame({
+            "block": group["block"].array, "file": group["file"].array, "segment": group["segment"].array,
+            "numbers": [packed(n) for n in np.split(told_, ends)], "tell": [packed(f.astype(np.uint8)) for f in np.split(first, ends)],
+        })
 
     return asked.groupBy("segment", "share").applyInPandas(answer, REPLIES)
 
@@ -223,14 +235,14 @@ TOLD = "block long, file string, n_keys long, numbers array<long>, texts array<b
 
 
 def told(answers: DataFrame, folder: str, new: str, k: int, segments: int) -> DataFrame:
-    """TOLD: the blocks' next files, of what frequent phrases of k words cover; n_keys bounds the candidates to come; at level 1 the frequent words and their numbers."""
+    """TOLD: the blocks' next files, of what frequent phrases of k words cover; n_keys bounds the candidates to come; at level 1 the frequent words that the block is to tell, and their numbers."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        got, numbers, texts = stored(folder, group["file"].iloc[0]), [], []
-        told_ = np.concatenate([unpacked(b, np.int64) for b in group.sort_values("segment")["numbers"]])
+        got, numbers, texts, group = stored(folder, group["file"].iloc[0]), [], [], group.sort_values("segment")
+        told_ = np.concatenate([unpacked(b, np.int64) for b in group["numbers"]])
         if k == 1:
             a, words = asked_words(got, segments)
-            own = np.flatnonzero(told_ >= 0)
+            own = np.flatnonzero((told_ >= 0) & np.concatenate([unpacked(b, np.uint8) for b in group["tell"]]).astype(bool))
             numbers, texts = told_[own].tolist(), [words[i] for i in own]
             n = len(unpacked(got["tokens"], np.uint32))
         else:
@@ -256,8 +268,8 @@ def frequent(found: DataFrame, folder: str) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, counts in zip(batch["model"], batch["counts"], strict=True):
-                model, c = PerfectHash.load(stored(folder, name)), stored(folder, counts)
+            for segment in batch["segment"]:
+                model, c = PerfectHash.load(stored(folder, str(segment))), stored(folder, f"{segment}.counts")
                 number, n = unpacked(c["numbers"], np.int64), unpacked(c["counts"], np.int64)
                 own = np.flatnonzero(number >= 0)
                 yield pd.DataFrame({"number": number[own], "part": model.hi[own].astype(np.int64), "word": model.lo[own].astype(np.int64), "a": n[own]})
@@ -278,19 +290,19 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_co
             keys = held.agg(F.sum("n_keys")).first()[0] or 0
             segments = max(common.partitions(spark), -(-keys // SEGMENT_KEYS))
             asked = common.checkpointed(requests(held, here, k, segments)).withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)))
-            built = common.checkpointed(models(asked, model_folder))
+            models(asked, model_folder).count()
             common.free(spark)
-            found = common.checkpointed(counted(asked.drop("block", "file").join(built, "segment"), model_folder, shares, segments, least))
+            found = common.checkpointed(counted(asked.drop("block", "file"), model_folder, shares, segments, least))
             common.free(spark)
             level = common.checkpointed(frequent(found, model_folder))
             if k < longest:
-                held = common.checkpointed(told(replies(asked.drop("seen").join(found, "segment"), model_folder), here, new, k, segments))
+                held = common.checkpointed(told(replies(asked.drop("seen"), model_folder), here, new, k, segments))
             if k == 1:
                 word = F.col("x.texts").cast("string")
                 texts = held.select(F.explode(F.arrays_zip("numbers", "texts")).alias("x")).groupBy(F.col("x.numbers").alias("number")).agg(F.first(word).alias("t"))
                 level = common.checkpointed(level.join(texts, "number").select("number", F.substring_index("t", "\t", -1).alias("text"), F.expr("substring(t, 1, length(t) - length(substring_index(t, '\t', -1)) - 1)").alias("lang"), "a"))
             out.append(level)
-            del asked, built, found
+            del asked, found
             common.free(spark)
             common.remove(spark, here)
             common.remove(spark, model_folder)

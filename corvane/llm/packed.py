@@ -30,14 +30,26 @@ def sorted_unpacked(b: bytes) -> np.ndarray:
     return np.cumsum(unpacked(b, np.uint64), dtype=np.uint64)
 
 
-def store(folder: str, **arrays: bytes) -> str:
-    """Write named bytes to a new file of the folder; its name."""
+def store(folder: str, name: str | None = None, **arrays: bytes) -> str:
+    """Write named bytes to a file of the folder; its name, a new one unless given.
+
+    A file of a given name is written aside and then moved, so that it is whole for all who read it; who writes it once
+    more, such as a task that is run again, must write the same.
+    """
     system, root = common.byte_files(folder)
     system.create_dir(root, recursive=True)
-    name, out = uuid.uuid4().hex, io.BytesIO()
+    aside, out = uuid.uuid4().hex, io.BytesIO()
     np.savez(out, **{k: np.frombuffer(v, np.uint8) for k, v in arrays.items()})
-    with system.open_output_stream(f"{root}/{name}", compression=None) as sink:
+    with system.open_output_stream(f"{root}/{aside}", compression=None) as sink:
         sink.write(out.getbuffer())
+    if name is None:
+        return aside
+    try:
+        system.move(f"{root}/{aside}", f"{root}/{name}")
+    except OSError:  # some file systems move onto no file that is there
+        if not system.get_file_info(f"{root}/{name}").is_file:
+            raise
+        system.delete_file(f"{root}/{aside}")
     return name
 
 
