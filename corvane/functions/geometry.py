@@ -165,6 +165,28 @@ def rescaled(points: Column, factor: Column) -> Column:
     return F.transform(points, lambda p: F.zip_with(p, c, lambda x, y: y + (x - y) * factor))
 
 
+def rotated_onto(points: Column, target: Column, dimension: int) -> Column:
+    """The points turned about their middle towards the target, and moved to the target's middle; as they are if they are not as many.
+
+    The turn is the basis that Gram-Schmidt makes of the columns of the covariance of both; where a column has nothing
+    left, the unit vector of its place stands.
+    """
+    axes = F.sequence(F.lit(0), F.lit(dimension - 1))
+    less = lambda ps, c: F.transform(ps, lambda p: F.zip_with(p, c, lambda x, y: x - y))
+    dot = lambda a, b: _sum(F.zip_with(a, b, lambda x, y: x * y))
+    column = lambda s, j: F.transform(axes, lambda i: _sum(F.zip_with(s["p"], s["q"], lambda x, y: F.get(x, i) * F.get(y, j))))
+    apart = lambda basis, v: F.aggregate(basis, v, lambda left, b: bound(dot(left, b), lambda d: F.zip_with(left, b, lambda x, y: x - d * y)))
+    unit = lambda basis: F.transform(axes, lambda i: F.when(i == F.size(basis), 1.0).otherwise(0.0))
+    scaled = lambda basis, v: bound(F.sqrt(dot(v, v)), lambda n: F.when(n > 1e-9, F.transform(v, lambda x: x / n)).otherwise(unit(basis)))
+    grown = lambda basis, v: F.array_append(basis, bound(apart(basis, v), lambda left: scaled(basis, left)))
+    bases = lambda s: F.aggregate(F.transform(axes, lambda j: column(s, j)), F.array().cast("array<array<double>>"), grown)
+    turned = lambda s: bound(bases(s), lambda b: F.transform(s["p"], lambda x: F.transform(b, lambda v: dot(x, v))))
+    middle = centroid(target)
+    centred = F.struct(less(points, centroid(points)).alias("p"), less(target, middle).alias("q"))
+    moved = bound(centred, lambda s: F.transform(turned(s), lambda p: F.zip_with(p, middle, lambda x, y: x + y)))
+    return F.when(F.size(points) == F.size(target), moved).otherwise(points)
+
+
 def dual_score(truth: Column, predicted: Column, dimension: int) -> Column:
     """struct(position, displacement): scores of the points after the first, and of the steps between points, whose tolerance is half the median step; 0 for fewer than three true or two predicted points."""
     least = 10.0 if dimension == 2 else 0.02

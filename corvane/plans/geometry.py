@@ -137,6 +137,21 @@ def v22(spark, d):
     return curves(spark, d).select("vec_id", *[F.round(v, 6).alias(k) for k, v in named.items()])
 
 
+_H = "list_sum(list_transform(range(1, 6), lambda k: (pr[k][{0}] - cp[{0}]) * (el[k][{1}] - ce[{1}])))"
+
+
+@query(
+    "v22_rotation",
+    f"""WITH {_BASE}, k AS (SELECT *, {_MID.format('el')} AS ce, {_MID.format('pr')} AS cp FROM c), h AS (SELECT *, {_H.format(1, 1)} AS a, {_H.format(2, 1)} AS b, {_H.format(1, 2)} AS c_, {_H.format(2, 2)} AS d FROM k), u AS (SELECT *, CASE WHEN sqrt(a * a + b * b) > 1e-9 THEN a / sqrt(a * a + b * b) ELSE 1.0 END AS ux, CASE WHEN sqrt(a * a + b * b) > 1e-9 THEN b / sqrt(a * a + b * b) ELSE 0.0 END AS uy FROM h),
+    w AS (SELECT *, c_ - (c_ * ux + d * uy) * ux AS vx, d - (c_ * ux + d * uy) * uy AS vy FROM u), n AS (SELECT *, CASE WHEN sqrt(vx * vx + vy * vy) > 1e-9 THEN vx / sqrt(vx * vx + vy * vy) ELSE 0.0 END AS wx, CASE WHEN sqrt(vx * vx + vy * vy) > 1e-9 THEN vy / sqrt(vx * vx + vy * vy) ELSE 1.0 END AS wy FROM w)
+    SELECT vec_id, round((pr[1][1] - cp[1]) * ux + (pr[1][2] - cp[2]) * uy + ce[1], 6) AS x, round((pr[4][1] - cp[1]) * wx + (pr[4][2] - cp[2]) * wy + ce[2], 6) AS y FROM n""",
+)
+def v22_rotation(spark, d):
+    turned = g.rotated_onto(F.col("pr"), F.col("el"), 2)
+    rows = curves(spark, d).withColumn("t", turned)
+    return rows.select("vec_id", F.round(F.col("t")[0][0], 6).alias("x"), F.round(F.col("t")[3][1], 6).alias("y"))
+
+
 def _sql_curve_score(a: str, b: str, tol: str) -> str:
     return f"""(round(100 / (1 + (greatest(list_max({_mins(a, b)}), list_max({_mins(b, a)})) / {tol}) ** 2), 6) + round(100 / (1 + ((list_avg({_mins(a, b)}) + list_avg({_mins(b, a)})) / {tol}) ** 2), 6) + round(100 / (1 + (f{a}{b} / {tol}) ** 2), 6)) / 3"""
 
