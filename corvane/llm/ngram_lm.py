@@ -208,6 +208,18 @@ def _answers(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return answer
 
 
+def _states_packed(state: np.ndarray, bits: int) -> bytes:
+    """Numbers of states in the order of keys: by bucket, and within it by number, they only rise."""
+    own = state[state >= 0]
+    return sorted_packed(((own & ((1 << bits) - 1)) << 44) + (own >> bits))
+
+
+def _states_unpacked(b: bytes, is_state: np.ndarray, bits: int) -> np.ndarray:
+    own, out = sorted_unpacked(b).astype(np.int64), np.full(len(is_state), -1)
+    out[is_state] = ((own & ((1 << 44) - 1)) << bits) + (own >> 44)
+    return out
+
+
 def _read_answers(own: pd.DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts and numbers of states of a block's n-grams, in the order of their keys. A state's number is that in its bucket times the buckets, plus the bucket."""
     totals, states = [], []
@@ -340,7 +352,8 @@ def _scored(docs: DataFrame, folder: str, order: int, mu: float, least: int, fol
                 block.answered(*_read_answers(own, bits[k - 1], leasts[k - 1]))
             else:
                 got = stored(folder, names[j])
-                block.answered(unpacked(got["total"], np.int64), unpacked(got["state"], np.int64))
+                total = unpacked(got["total"], np.int64)
+                block.answered(total, _states_unpacked(got["state"], total >= leasts[j - 1], bits[j - 1]))
         return block, names
 
     def asker(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -349,7 +362,7 @@ def _scored(docs: DataFrame, folder: str, order: int, mu: float, least: int, fol
         def ask(own: pd.DataFrame) -> pd.DataFrame:
             block, names = opened(own, k - 1)
             level = block.levels[-1]
-            names.append(store(folder, total=packed(level.total), state=packed(level.state)))
+            names.append(store(folder, total=packed(level.total), state=_states_packed(level.state, bits[k - 2])))
             return _requests(int(own["block"].iloc[0]), "|".join(names), block.extend(base, widths[k - 1], narrow), widths[k - 1], bits[k - 1])
 
         return ask
