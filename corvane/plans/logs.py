@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import shared, sinks, streaming
 from ..functions import intervals as iv
 from ..operators import runs
-from ..sources import LOG, episode_bounds, items, last_by_key, log, results, table
+from ..sources import LOG, episode_bounds, items, last_by_key, loading, log, results, table
 from . import core  # noqa: F401  its SQL is used here
 from .registry import ORACLES as _CORE
 from .registry import query
@@ -78,16 +78,16 @@ def k9(spark, d):
         return shared.checkpointed(spark.read.schema(_LOG_SCHEMA).json(f"{top}/log").select("id", "ok", "seq", "user_id", "choice", "value"))
 
 
-@query("s1_items", "SELECT p_brand AS family, p_partkey AS id, p_name AS text FROM part")
+@query("s1_items", "SELECT p_partkey // 1000 AS family, p_partkey AS id, p_name AS text FROM part")
 def s1(spark, d):
-    """A JSON document for each brand: lists of objects, bare or under `items`, with rows among them that are no objects."""
+    """A JSON document for each thousand parts: lists of objects, bare or under `items`, with rows among them that are no objects."""
     item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    docs = table(spark, d, "part").groupBy("p_brand").agg(F.concat_ws(",", F.collect_list(F.to_json(item))).alias("rows"))
-    text = F.when(F.hash("p_brand") % 2 == 0, F.concat(F.lit('{"items": [7, null, '), "rows", F.lit("]}"))).otherwise(F.concat(F.lit("["), "rows", F.lit(', "x", []]')))
+    docs = table(spark, d, "part").groupBy(F.expr("p_partkey div 1000").alias("family")).agg(F.concat_ws(",", F.collect_list(F.to_json(item))).alias("rows"))
+    text = F.when(F.col("family") % 2 == 0, F.concat(F.lit('{"items": [7, null, '), "rows", F.lit("]}"))).otherwise(F.concat(F.lit("["), "rows", F.lit(', "x", []]')))
     with shared.work_folder(spark, "s1") as top:
-        docs.select("p_brand", text.alias("value")).repartition("p_brand").write.partitionBy("p_brand").text(top)
-        got = items(spark, f"{top}/*/*.txt").select(F.url_decode(F.regexp_extract("file", "p_brand=([^/]*)/", 1)).alias("family"), F.from_json("item", "id long, text string").alias("i"))
-        return shared.checkpointed(got.select(F.url_decode("family").alias("family"), "i.id", "i.text"))
+        docs.select("family", text.alias("value")).repartition("family").write.partitionBy("family").text(top)
+        got = items(spark, f"{top}/*/*.txt").select(F.regexp_extract("file", "family=([^/]*)/", 1).cast("long").alias("family"), F.from_json("item", "id long, text string").alias("i"))
+        return shared.checkpointed(got.select("family", "i.id", "i.text"))
 
 
 @query("s2_results", f"WITH {LOG} SELECT id, seq FROM log UNION ALL SELECT 'x', -1")
@@ -134,3 +134,24 @@ def m9(spark, d):
     replies = turns.groupBy("conv_id").agg(F.collect_list(line).alias("lines"), F.collect_list(row).alias("answers"), F.collect_list("id").alias("ids"))
     replies = replies.select("conv_id", F.concat(F.concat_ws("\n", "lines"), F.lit("\nSo: "), F.to_json(F.struct("answers")), F.lit(" done")).alias("reply"), "ids")
     return iv.one_row_each(replies, "reply", "ids").select("conv_id", "question", "start", "end", "layer")
+
+
+@query(
+    "s10_s11_loaded",
+    "SELECT 'fam' || (p_partkey // 1000) AS family, CAST(p_partkey AS VARCHAR) AS id, '/media/fam' || (p_partkey // 1000) || '/clips/' || p_partkey || '.mp4' AS path, p_name AS text, true AS same FROM part",
+)
+def s10(spark, d):
+    """Items of families of a thousand, a document each, loaded raw and normalised."""
+    part = table(spark, d, "part").withColumn("family", F.expr("concat('fam', p_partkey div 1000)"))
+    item = F.struct(F.col("p_partkey").alias("id"), F.concat(F.lit("clips/"), F.col("p_partkey").cast("string"), F.lit(".mp4")).alias("clip_path"), F.col("p_name").alias("question"))
+    docs = part.groupBy("family").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list(F.to_json(item))), F.lit("]")).alias("value"))
+    media = part.select(F.concat(F.lit("/media/"), "family", F.lit("/clips/"), F.col("p_partkey").cast("string"), F.lit(".mp4")).alias("file"))
+    with shared.work_folder(spark, "s10") as top:
+        docs.repartition("family").write.partitionBy("family").text(f"{top}/new")
+        for name in shared.children(spark, f"{top}/new"):
+            if name.startswith("family="):
+                shared.move_into(spark, f"{top}/new/{name}", ".txt", f"{top}/raw/{name.removeprefix('family=')}", "understanding.json")
+        loading.build(spark, f"{top}/raw", f"{top}/out", "builder 1", media)
+        raw, built = (loading.load(spark, f"{top}/raw", f"{top}/out", "builder 1", source, media=media) for source in ("raw", "normalised"))
+        both = raw.join(built.withColumnRenamed("item", "other"), ["family", "task", "id"], "full")
+        return shared.checkpointed(both.select("family", "id", F.get_json_object("item", "$.clip_path").alias("path"), F.get_json_object("item", "$.question").alias("text"), F.col("item").eqNullSafe(F.col("other")).alias("same")))

@@ -66,6 +66,16 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot rename {old} to {new}")
 
 
+def move_into(spark: SparkSession, old: str, suffix: str, folder: str, name: str) -> None:
+    """The one file of a folder that ends so becomes a file of this name in another folder."""
+    files = [n for n in children(spark, old) if n.endswith(suffix) and not n.startswith((".", "_"))]
+    if len(files) != 1:
+        raise FileNotFoundError(f"{len(files)} files in {old}")
+    fs, p = _path(spark, folder)
+    fs.mkdirs(p)
+    rename(spark, f"{old}/{files[0]}", f"{folder}/{name}")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, whole or not at all for those who read it: written aside, then renamed. One that is there already is an error."""
     if exists(spark, path):

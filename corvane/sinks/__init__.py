@@ -40,10 +40,11 @@ def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_items(items: DataFrame, path: str, builder: str, source_version: str = "", whole: bool = True) -> dict:
+def write_items(items: DataFrame, path: str, builder: str, source_version: str = "", whole: bool = True, notes: dict[str, dict] | None = None) -> dict:
     """Items (family, task, id and any more columns) in a folder for each family and task; returns the manifest, which is written last.
 
-    It has the rows of each family and task and a fingerprint over all columns of each family, in the order of ids.
+    It has the rows of each family and task and a fingerprint over all columns of each family, in the order of ids, and
+    what notes has of a family.
     A partial build (whole=False) replaces the families that it has and keeps the others; a manifest of another builder
     isn't merged: then the build must be whole. Folders of a family are new ones each time, so what readers of the older
     manifest read stays until `vacuum`.
@@ -60,7 +61,7 @@ def write_items(items: DataFrame, path: str, builder: str, source_version: str =
     families: dict[str, dict] = {} if whole or not old else dict(old["families"])
     fresh: dict[str, dict] = {}
     for r in counts.join(prints, "family").collect():  # a row for each family and task
-        fresh.setdefault(r["family"], {"build": build, "fingerprint": r["print"], "tasks": {}})["tasks"][r["task"]] = r["n"]
+        fresh.setdefault(r["family"], {**(notes or {}).get(r["family"], {}), "build": build, "fingerprint": r["print"], "tasks": {}})["tasks"][r["task"]] = r["n"]
     families |= fresh
     return _commit(spark, path, (old["version"] if old else 0) + 1, {"builder": builder, "source_version": source_version or (old or {}).get("source_version", ""), "families": families, "items": sum(sum(f["tasks"].values()) for f in families.values())})
 
