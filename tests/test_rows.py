@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from corvane import functions as fn
 from corvane import sources
-from corvane.functions import answers, geometry, points, words
-from corvane.operators import labels, media, reports, runs
+from corvane.functions import answers, geometry, intervals, points, words
+from corvane.operators import labels, media, pictures, reports, runs
 
 SEGMENT = "family string, file long, episode long, event_id long, subtask string, start_frame long, end_frame long"
 
@@ -192,3 +192,67 @@ def test_points_in_long_prose(spark):
     assert {r["id"]: r["n"] for r in two.collect() if r["n"] and r["n"] > 0} == {1: 5000}
     three = spark.createDataFrame([("(0.5, 1, 2) (1, 2, 3)",), (brackets,)], "t string").select(F.size(points.in_prose(F.col("t"), 3, F.lit(0))).alias("n"))
     assert [r["n"] if r["n"] and r["n"] > 0 else None for r in three.collect()] == [2, None]  # the second is not in metres
+
+
+@pytest.mark.parametrize(
+    ("text", "good"),
+    [('{"a":1} garbage', False), ('{"a":1}}', False), (' {"a":1}\n', True), ("[1]", True), ("1,2", False), ('{"a":1}] , [1', False), ('1},"x":{1', False), ('{"a":1},"b":2', False), ("", False), (None, False), ('{"id":2} cut{"id"', False)],
+)
+def test_json_and_nothing_else(spark, text, good):
+    assert spark.createDataFrame([(text,)], "t string").select(fn.strict_json(F.col("t")).isNotNull()).first()[0] == good
+
+
+def test_choices_in_odd_answers(spark):
+    options = F.expr("array(struct('A' as id, 'one' as text), struct('B' as id, 'two' as text), struct('C' as id, 'three' as text))")
+    cases = {  # baseline, choice; strict choice, layer, rejected
+        '{"choice": "zzz", "meta": {"letter": "A"}}': (None, None, None, "none", 2), 'So: {"choice": "B"} done': ("B", "B", "B", "strict", 0), '{"choice": null} The answer is C': ("C", "C", None, "none", 0),
+        'x {"choice":"q"} {"label":"two"}': ("B", "B", "B", "strict", 1), "{'choice': B, 'reason': x,}": ("B", "B", "B", "strict", 0), "<think>one</think>{\"k\": 1} {\"answer\": \"C\"}": ("C", "C", "C", "strict", 0), "I say three": ("C", "C", "C", "lenient", 0),
+    }
+    frame = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("o", options)
+    got = answers.with_choices(frame, "t", "o").withColumn("s", answers.strict_choice(F.col("t"), F.col("o"))).collect()
+    assert {r["t"]: (r["baseline"], r["choice"], r["s"]["choice"], r["s"]["layer"], len(r["s"]["rejected"])) for r in got} == cases | {"<think>one</think>{\"k\": 1} {\"answer\": \"C\"}": ("A", "A", "C", "strict", 0)}
+
+
+def test_several_intervals_by_id_hint_and_place(spark):
+    cases = {  # text: all at once (None: an error), each for itself
+        '[{"id": "b", "start": 1, "end": "0:09"}, {"index": 1, "answer": "2 to 4.5"}]': ([("a", 2.0, 4.5), ("b", 1.0, 9.0)],) * 2,
+        '{"answers": [{"start_time": 3, "end_time": 5}, {"id": "2", "interval": "7, 8"}]}': ([("a", 3.0, 5.0), ("b", 7.0, 8.0)], [("a", 3.0, 5.0)]),
+        '[{"id": "a", "start": "soon", "end": 2}, {"id": "b", "start": 3, "end": 4}]': (None, [("b", 3.0, 4.0)]),
+        '{"a": {"from": "1s", "to": "2.5s"}, "b": {"start": "10", "end": null}} b: 7 ~ 9': (None, [("a", 1.0, 2.5), ("b", 7.0, 9.0)]),
+        '[{"id":"a","start":1,"end":2},{"id":"a","start":3,"end":4}]': ([("a", 3.0, 4.0)], [("a", 1.0, 2.0)]),
+        "a: from 3 – 4\nb is 5 to 6.5": ([("a", 3.0, 4.0), ("b", 5.0, 6.5)], [("a", 5.0, 6.5)]),
+        '{"b": "00:00:05 - 7"}': ([("b", 5.0, 7.0)], [("b", 5.0, 7.0)]), "[1, 2]": (None, []), "none": (None, []), "": (None, []), "5": (None, []),
+    }
+    frame = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("ids", F.array(F.lit("a"), F.lit("b")))
+    got = frame.select("t", intervals.several_intervals(F.col("t"), F.col("ids")).alias("all"), intervals.lenient_intervals(F.col("t"), F.col("ids"))["found"].alias("each")).collect()
+    assert {r["t"]: (r["all"] and [tuple(x) for x in r["all"]], [tuple(x) for x in r["each"]]) for r in got} == cases
+
+
+def test_a_turned_curve_comes_back(spark):
+    square = [[1.0, 1.0], [3.0, 1.0], [3.0, 3.0], [1.0, 3.0]]
+    c, s = math.cos(0.7), math.sin(0.7)
+    turned = [[7 + c * x - s * y, -2 + s * x + c * y] for x, y in square]
+    frame = spark.createDataFrame([(turned, square), (turned[:3], square), ([[2.0, 2.0]] * 4, square)], "p array<array<double>>, q array<array<double>>")
+    got = [r[0] for r in frame.select(geometry.rotated_onto(F.col("p"), F.col("q"), 2)).collect()]
+    assert all(math.isclose(x, y, abs_tol=1e-9) for a, b in zip(got[0], square, strict=True) for x, y in zip(a, b, strict=True))
+    assert got[1] == turned[:3] and got[2] == [[2.0, 2.0]] * 4
+
+
+def test_pictures_of_one_block_and_anchors_outside_of_the_clip(spark):
+    def asked(subtasks, far, end=100):
+        """What image_in_video makes of the first segment of an episode; far: the blocks whose pictures are far from all others."""
+        segs = [("f", 1, 0, i, t, 1000 * i, 1000 * i + (end if i == 0 else 100)) for i, t in enumerate(subtasks)]
+        s = spark.createDataFrame(segs, "family string, file long, episode long, event_id long, subtask string, start_frame long, end_frame long")
+        frames = [(i, 1000 * i + round((end if i == 0 else 100) * p)) for i in range(len(subtasks)) for p in (0.1, 0.3, 0.5, 0.7, 0.9)]
+        looks = [("f", 1, 0, "main", f, [float(n + 1 if i in far or i == 0 else 0), float(f % 7)]) for n, (i, f) in enumerate(frames)]
+        rows = pictures.episodes(s, spark.createDataFrame(looks, "family string, file long, episode long, view string, frame long, vector array<double>"))
+        floors = spark.createDataFrame([("f", "main", 0.3)], "family string, view string, floor double")
+        got, skipped = pictures.image_in_video(rows, floors, "tail", 20.0)
+        return [r["blocks"] for r in got.filter("item like 'f/1-0/0@%'").collect()], {r["reason"] for r in skipped.collect()}
+
+    blocks, reasons = asked(["x", "y", "x"], far={1})
+    assert blocks == [] and "all three of one block" in reasons
+    blocks, reasons = asked(["x", "y", "z"], far={1, 2})
+    assert len(blocks) == 1 and set(blocks[0]) == {1, 2}
+    blocks, reasons = asked(["x", "y", "z"], far={1, 2}, end=400)
+    assert blocks == [] and "anchor outside of the clip" in reasons
