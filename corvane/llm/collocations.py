@@ -4,9 +4,9 @@ Texts are gathered into blocks of a bounded number of words, each kept as a file
 block's candidates are its phrases of k words whose first k - 1 and last k - 1 words are frequent phrases themselves
 (Apriori: no other phrase can be frequent). A candidate's key is exact: the number of the frequent phrase that its first
 k - 1 words are, and the number of its last word. Keys are dealt by hash to segments, so many that each has a bounded
-number of requests. A segment builds a minimal perfect hash over its distinct candidates, which keeps the keys. Mappers,
-each with a share of the blocks, look keys up, compare them with those stored, and bincount what their blocks have seen
-into an array by slot; the arrays of a segment are summed in a tree. A slot that reaches the least count is a frequent
+number of requests; they are shuffled once. A segment's mapper builds a minimal perfect hash over its distinct candidates,
+which keeps the keys; looks the blocks' keys up, compares them with those stored, and bincounts what each share of the
+blocks has seen into an array by slot; and sums the arrays in a tree. A slot that reaches the least count is a frequent
 phrase and gets a number, which the blocks that asked are told; what no frequent phrase covers any more is dropped from
 their files, so files shrink from level to level. The counts of the parts at each cut are read by these numbers.
 
@@ -33,8 +33,8 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 BLOCK_WORDS = 2_000_000
-#: Requests that a segment has on average at most; blocks whose requests one mapper counts; arrays summed at once.
-SEGMENT_KEYS, SHARE_BLOCKS, FAN_IN = 1_000_000, 32, 4
+#: Requests that a segment has on average at most; and blocks whose requests are counted into one array.
+SEGMENT_KEYS, SHARE_BLOCKS = 1_000_000, 32
 _ROUTE = 1 << 20  # a level of hashes that no perfect hash comes to
 #: Lower-cases A-Z, makes ends of pieces line ends and tabs spaces.
 _PIECES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -143,7 +143,7 @@ REQUESTS = "block long, file string, segment long, hi binary, lo binary, seen bi
 
 
 def requests(held: DataFrame, folder: str, k: int, segments: int) -> DataFrame:
-    """A row for each block and segment that it has candidates in."""
+    """A row for each block and segment that it has candidates in; a segment's rows are in one partition, one after the other."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,80 +155,84 @@ def requests(held: DataFrame, folder: str, k: int, segments: int) -> DataFrame:
                     own = {"hi": [sorted_packed(a.hi[x:y])], "lo": [packed(a.lo[x:y])], "seen": [packed(a.seen[x:y].astype(np.uint32))]}
                     yield pd.DataFrame({"block": [block], "file": [name], "segment": [int(a.segment[x])], **own})
 
-    return held.select("block", "file").repartition(common.partitions(held.sparkSession)).mapInPandas(work, REQUESTS)
+    asked = held.select("block", "file").repartition(common.partitions(held.sparkSession)).mapInPandas(work, REQUESTS)
+    parts = max(common.partitions(held.sparkSession), -(-segments // 16))  # a task takes its segments one by one
+    return asked.repartition(parts, "segment").sortWithinPartitions("segment", "block")
 
 
-def _keys(group: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return [sorted_unpacked(b) for b in group["hi"]], [unpacked(b, np.uint64) for b in group["lo"]]
-
-
-def models(asked: DataFrame, folder: str) -> DataFrame:
-    """segment: the perfect hash over all candidates of each is written to a file of its number."""
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        hi, lo = (np.concatenate(x) for x in _keys(group))
-        order = np.lexsort((lo, hi))
-        first = order[np.flatnonzero(np.concatenate([[True], (np.diff(hi[order]) != 0) | (np.diff(lo[order]) != 0)]))]
-        segment = int(group["segment"].iloc[0])
-        store(folder, str(segment), **PerfectHash(hi[first], lo[first]).dump())
-        return pd.DataFrame({"segment": [segment]})
-
-    return asked.select("segment", "hi", "lo").groupBy("segment").applyInPandas(build, "segment long")
-
+def _by_segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each segment; they stand one after the other."""
+    parts: list[pd.DataFrame] = []
+    for batch in batches:
+        for segment, rows in batch.groupby("segment", sort=False):
+            if parts and parts[0]["segment"].iloc[0] != segment:
+                yield pd.concat(parts)
+                parts = []
+            parts.append(rows)
+    if parts:
+        yield pd.concat(parts)
 
-def _model(folder: str, group: pd.DataFrame) -> PerfectHash:
-    return PerfectHash.load(stored(folder, str(group["segment"].iloc[0])))
 
+def _keys(group: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [sorted_unpacked(b) for b in group["hi"]], [unpacked(b, np.uint64) for b in group["lo"]]
 
-def counted(asked: DataFrame, folder: str, shares: int, segments: int, least: int) -> DataFrame:
-    """segment: the counts by slot, summed in a tree over the shares of blocks, and the numbers of frequent slots are written to a file for each."""
-    schema = "segment long, share long, counts binary"
-
-    def row(group: pd.DataFrame, n: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "share": [group["share"].iloc[0]], "counts": [packed(n.astype(np.uint64))]})
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        model = _model(folder, group)
-        slots = model.slots(*(np.concatenate(x) for x in _keys(group)))
-        if (slots < 0).any():
-            raise ValueError("a candidate is not in its segment's hash")
-        return row(group, np.bincount(slots, np.concatenate([unpacked(b, np.uint32) for b in group["seen"]]), len(model)))
 
-    def total(group: pd.DataFrame) -> np.ndarray:
-        return np.sum([unpacked(b, np.uint64) for b in group["counts"]], axis=0, dtype=np.uint64)
+def counted(asked: DataFrame, folder: str, segments: int, least: int) -> DataFrame:
+    """segment: its perfect hash over all candidates, their counts by slot and the numbers of the frequent ones are written to files of its number."""
 
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        n, segment = total(group).astype(np.int64), int(group["segment"].iloc[0])
-        frequent = n >= least
-        number = np.where(frequent, (np.cumsum(frequent) - 1) * segments + segment, -1)
-        store(folder, f"{segment}.counts", counts=packed(n), numbers=packed(number))
-        return pd.DataFrame({"segment": [segment]})
+    def total(arrays: list[np.ndarray]) -> np.ndarray:
+        while len(arrays) > 1:
+            arrays = [a + b for a, b in zip(arrays[::2], arrays[1::2], strict=False)] + arrays[len(arrays) & ~1 :]
+        return arrays[0]
 
-    out = asked.groupBy("segment", "share").applyInPandas(count, schema)
-    while shares > FAN_IN:
-        out, shares = out.withColumn("share", F.expr(f"share div {FAN_IN}")).groupBy("segment", "share").applyInPandas(lambda group: row(group, total(group)), schema), -(-shares // FAN_IN)
-    return out.groupBy("segment").applyInPandas(finish, "segment long")
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _by_segment(batches):
+            segment = int(group["segment"].iloc[0])
+            hi, lo = _keys(group)
+            model = _built(np.concatenate(hi), np.concatenate(lo))
+            arrays = []
+            for at in range(0, len(group), SHARE_BLOCKS):
+                share = slice(at, at + SHARE_BLOCKS)
+                slots = model.slots(np.concatenate(hi[share]), np.concatenate(lo[share]))
+                if (slots < 0).any():
+                    raise ValueError("a candidate is not in its segment's hash")
+                arrays.append(np.bincount(slots, np.concatenate([unpacked(b, np.uint32) for b in group["seen"].iloc[share]]), len(model)).astype(np.int64))
+            n = total(arrays)
+            frequent = n >= least
+            number = np.where(frequent, (np.cumsum(frequent) - 1) * segments + segment, -1)
+            store(folder, str(segment), **model.dump(), counts=packed(n), numbers=packed(number))
+            yield pd.DataFrame({"segment": [segment]})
+
+    return asked.select("segment", "hi", "lo", "seen").mapInPandas(work, "segment long")
+
+
+def _built(hi: np.ndarray, lo: np.ndarray) -> PerfectHash:
+    """The hash over the distinct keys."""
+    order = np.lexsort((lo, hi))
+    first = order[np.flatnonzero(np.concatenate([[True], (np.diff(hi[order]) != 0) | (np.diff(lo[order]) != 0)]))]
+    return PerfectHash(hi[first], lo[first])
 
 
 REPLIES = "block long, file string, segment long, numbers binary, tell binary"
 
 
 def replies(asked: DataFrame, folder: str) -> DataFrame:
-    """To every request the numbers of its candidates that are frequent phrases (-1 for others), and of which of these the block is the first of its share to ask."""
+    """To every request the numbers of its candidates that are frequent phrases (-1 for others), and of which of these the block is the first to ask."""
 
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        model, numbers = _model(folder, group), unpacked(stored(folder, f"{group['segment'].iloc[0]}.counts")["numbers"], np.int64)
-        hi, lo = _keys(group)
-        ends = np.cumsum([len(h) for h in hi])[:-1]
-        told_ = numbers[model.slots(np.concatenate(hi), np.concatenate(lo))]
-        first = np.zeros(len(told_), bool)
-        first[np.unique(told_, return_index=True)[1]] = True
-        return pd.DataFrame({
-            "block": group["block"].array, "file": group["file"].array, "segment": group["segment"].array,
-            "numbers": [packed(n) for n in np.split(told_, ends)], "tell": [packed(f.astype(np.uint8)) for f in np.split(first, ends)],
-        })
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _by_segment(batches):
+            got = stored(folder, str(group["segment"].iloc[0]))
+            hi, lo = _keys(group)
+            ends = np.cumsum([len(h) for h in hi])[:-1]
+            told_ = unpacked(got["numbers"], np.int64)[PerfectHash.load(got).slots(np.concatenate(hi), np.concatenate(lo))]
+            first = np.zeros(len(told_), bool)
+            first[np.unique(told_, return_index=True)[1]] = True
+            yield pd.DataFrame({
+                "block": group["block"].array, "file": group["file"].array, "segment": group["segment"].array,
+                "numbers": [packed(n) for n in np.split(told_, ends)], "tell": [packed(f.astype(np.uint8)) for f in np.split(first, ends)],
+            })
 
-    return asked.groupBy("segment", "share").applyInPandas(answer, REPLIES)
+    return asked.select("block", "file", "segment", "hi", "lo").mapInPandas(work, REPLIES)
 
 
 TOLD = "block long, file string, n_keys long, numbers array<long>, texts array<binary>"
@@ -269,8 +273,8 @@ def frequent(found: DataFrame, folder: str) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for segment in batch["segment"]:
-                model, c = PerfectHash.load(stored(folder, str(segment))), stored(folder, f"{segment}.counts")
-                number, n = unpacked(c["numbers"], np.int64), unpacked(c["counts"], np.int64)
+                got = stored(folder, str(segment))
+                model, number, n = PerfectHash.load(got), unpacked(got["numbers"], np.int64), unpacked(got["counts"], np.int64)
                 own = np.flatnonzero(number >= 0)
                 yield pd.DataFrame({"number": number[own], "part": model.hi[own].astype(np.int64), "word": model.lo[own].astype(np.int64), "a": n[own]})
 
@@ -283,20 +287,17 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_co
     top = common.new_folder(spark, "phrases")
     try:
         held = common.checkpointed(blocks(docs, f"{top}/0", lang_col, text_col))
-        shares = max(1, -(-held.count() // SHARE_BLOCKS))
         n = common.checkpointed(held.select(F.explode(F.arrays_zip("langs", "words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.words").alias("n")))
         for k in range(1, longest + 1):
             here, model_folder, new = f"{top}/{k - 1}", f"{top}/m{k}", f"{top}/{k}"
             keys = held.agg(F.sum("n_keys")).first()[0] or 0
             segments = max(common.partitions(spark), -(-keys // SEGMENT_KEYS))
-            asked = common.checkpointed(requests(held, here, k, segments)).withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)))
-            models(asked, model_folder).count()
-            common.free(spark)
-            found = common.checkpointed(counted(asked.drop("block", "file"), model_folder, shares, segments, least))
+            asked = common.checkpointed(requests(held, here, k, segments))
             common.free(spark)
+            found = common.checkpointed(counted(asked, model_folder, segments, least))
             level = common.checkpointed(frequent(found, model_folder))
             if k < longest:
-                held = common.checkpointed(told(replies(asked.drop("seen"), model_folder), here, new, k, segments))
+                held = common.checkpointed(told(replies(asked, model_folder), here, new, k, segments))
             if k == 1:
                 word = F.col("x.texts").cast("string")
                 texts = held.select(F.explode(F.arrays_zip("numbers", "texts")).alias("x")).groupBy(F.col("x.numbers").alias("number")).agg(F.first(word).alias("t"))
