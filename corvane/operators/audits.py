@@ -61,7 +61,7 @@ def sides(items: DataFrame, question: str) -> DataFrame:
 def borrowed(items: DataFrame, own: DataFrame) -> DataFrame:
     """items (family, answer, distractors) against the texts of their family (own: family, text; a vocabulary): how many distractors, borrowed ones, ones equal to the answer, and borrowed ones that equal another own text by case only."""
     texts = own.groupBy("family").agg(F.collect_set("text").alias("_own"))
-    rows = items.join(F.broadcast(texts), "family", "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
+    rows = items.join(texts, "family", "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
     lower = F.transform("_own", F.lower)
     out = lambda t: ~F.array_contains("_own", t)
     count = lambda rule: F.sum(F.size(F.filter("distractors", rule))).cast("bigint")

@@ -48,7 +48,7 @@ def same_starts(segments: DataFrame) -> DataFrame:
 
 
 def holding(segments: DataFrame, texts: DataFrame) -> DataFrame:
-    """Takes of what is held, puts and uses of what is not; texts: subtask, text of the vocabulary, which is broadcast.
+    """Takes of what is held, puts and uses of what is not; texts: subtask, text of the vocabulary.
 
     Only objects that the vocabulary can take are followed. An object's state is that of the last take or put before.
     Per use all objects that are missing are named, in the order of their names.
@@ -63,7 +63,7 @@ def holding(segments: DataFrame, texts: DataFrame) -> DataFrame:
     acts = words.select("subtask", kind.alias("kind"), F.explode(F.array_distinct(needs)).alias("object"))
     takeable = words.filter(verb.isin(*TAKE)).select(object_.alias("object")).distinct()
     acts = acts.join(takeable, "object", "left_semi")
-    rows = segments.join(F.broadcast(acts), "subtask")
+    rows = segments.join(acts, "subtask")
     by = W.partitionBy(*EPISODE, "object").orderBy("start_frame", "end_frame", "event_id").rowsBetween(W.unboundedPreceding, -1)
     state = F.when(F.col("kind") == "take", 1).when(F.col("kind") == "put", 0)
     held = F.coalesce(F.last(state, ignorenulls=True).over(by), F.lit(0))
@@ -99,16 +99,22 @@ def episode_of(segments: DataFrame, bounds: DataFrame, slack: int) -> DataFrame:
 
 
 def unlabelled(segments: DataFrame, bounds: DataFrame, slack: int) -> DataFrame:
-    """Bounds (file, bound, lo, hi) of files with several that hold no whole segment; a file's segments are one array."""
-    spans = segments.groupBy("file").agg(F.collect_list(F.struct("start_frame", "end_frame")).alias("_spans"))
+    """Bounds (file, bound, lo, hi) of files with several that hold no whole segment.
+
+    Segments and bounds of a file are walked once from its end: what a bound needs is the least end of all segments that
+    begin at its own beginning or later.
+    """
     several = bounds.withColumn("_n", F.count("*").over(W.partitionBy("file"))).filter("_n > 1")
-    inside = lambda s: (F.col("lo") - slack <= s["start_frame"]) & (s["end_frame"] <= F.col("hi") + slack)
-    return several.join(spans, "file", "left").filter(~F.coalesce(F.exists("_spans", inside), F.lit(False))).select("file", "bound")
+    own = segments.select("file", F.col("start_frame").cast("double").alias("at"), F.lit(1).alias("kind"), F.col("end_frame").alias("end"), F.lit(None).cast("long").alias("bound"), F.lit(None).cast("double").alias("hi"))
+    asked = several.select("file", (F.col("lo") - slack).cast("double").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("end"), "bound", (F.col("hi") + slack).cast("double").alias("hi"))
+    back = W.partitionBy("file").orderBy(F.col("at").desc(), F.col("kind").desc()).rowsBetween(W.unboundedPreceding, 0)
+    rows = own.unionByName(asked).withColumn("_least", F.min("end").over(back))
+    return rows.filter("kind = 0 and (_least is null or _least > hi)").select("file", "bound")
 
 
 def undefined(segments: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Segments whose subtask is not in the vocabulary (subtask), or is null."""
-    return segments.join(F.broadcast(vocabulary.select("subtask").distinct()), "subtask", "left_anti")
+    return segments.join(vocabulary.select("subtask").distinct(), "subtask", "left_anti")
 
 
 def underived(segments: DataFrame, fps: float) -> DataFrame:
@@ -175,13 +181,13 @@ def reviewed(findings: DataFrame, documents: DataFrame) -> DataFrame:
 def addable(candidates: DataFrame, segments: DataFrame) -> DataFrame:
     """Candidates (file, episode, id, start_frame, end_frame) with ok: no true overlap with any segment of the episode; a shared boundary is none.
 
-    The segments of an episode are one array, so nothing is multiplied.
+    Both are walked once in order: of the segments that begin before a candidate's end, the greatest end tells.
     """
-    own = segments.groupBy(*EPISODE).agg(F.collect_list(F.struct(F.col("start_frame").alias("s"), F.col("end_frame").alias("e"))).alias("_own"))
-    a, b = F.col("start_frame"), F.col("end_frame")
-    clash = lambda x: (a != x["e"]) & (b != x["s"]) & (a <= x["e"]) & (x["s"] <= b)
-    ok = (b >= a) & ~F.coalesce(F.exists("_own", clash), F.lit(False))
-    return candidates.join(own, EPISODE, "left").select("id", ok.alias("ok"))
+    own = segments.select(*EPISODE, F.col("start_frame").alias("at"), F.lit(1).alias("kind"), F.col("end_frame").alias("end"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("start"))
+    asked = candidates.select(*EPISODE, F.col("end_frame").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("end"), F.col("id").cast("long").alias("id"), F.col("start_frame").alias("start"))
+    before = W.partitionBy(*EPISODE).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    rows = own.unionByName(asked).withColumn("_most", F.max("end").over(before)).filter("kind = 0")
+    return rows.select("id", ((F.col("at") >= F.col("start")) & ~F.coalesce(F.col("_most") > F.col("start"), F.lit(False))).alias("ok"))
 
 
 def report(findings: DataFrame, kinds: list[str]) -> DataFrame:

@@ -123,7 +123,7 @@ def text_questions(segments: DataFrame, texts: DataFrame, fps: float, cap: int |
     tasks = F.explode(F.array(F.lit("understanding"), F.lit("planning"), F.lit("planning_2"))).alias("task")
     asked = rows.select("*", tasks).withColumn("answer_subtask", F.when(F.col("task") == "understanding", F.col("subtask")).otherwise(F.col("next_subtask")))
     asked = asked.withColumn("item", F.concat_ws("@", F.concat_ws("/", "family", "file", "event_id"), "task"))
-    asked = asked.join(F.broadcast(vocabulary), "family", "left").join(F.broadcast(others), ["family", "answer_subtask"], "left").join(F.broadcast(borrowable(texts)), "family", "left")
+    asked = asked.join(vocabulary, "family", "left").join(others, ["family", "answer_subtask"], "left").join(borrowable(texts), "family", "left")
     own = F.transform(F.coalesce("others", F.array().cast("array<string>")), lambda s: F.col("_text")[s])
     asked = asked.withColumn("answer_text", F.col("_text")[F.col("answer_subtask")]).withColumn("distractors", distractors(F.col("item"), F.col("answer_text"), own, F.coalesce("texts", F.array().cast("array<string>"))))
     reason = F.when(F.col("_short"), "short").when((F.col("task") != "understanding") & F.col("next_subtask").isNull(), "no next").when(F.size("distractors") < DISTRACTORS, "few distractors")
@@ -170,10 +170,11 @@ def order_questions(chosen: DataFrame) -> DataFrame:
     return out.withColumn("shown", F.transform("_shown", lambda i: F.get(F.col("frames"), i))).withColumn("distractors", picks).drop("_shown", "_wrong")
 
 
-def other_blocks(segments: DataFrame) -> DataFrame:
+def other_blocks(segments: DataFrame, most: int | None = None) -> DataFrame:
     """event_id and blocks (place, event_id of the block): segments of other subtasks of the episode, those two or more places away before neighbours, each tier walked at a stride from the md5 of the id.
 
-    An episode's segments are one array that its segments share, so they are not multiplied into pairs of rows.
+    An episode's segments are one array that its segments share, so they are not multiplied into pairs of rows. What
+    comes out still grows with the square of an episode; a user of the first few blocks only says how many (most).
     """
     by = ["file", "episode"]
     whole = segments.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start_frame", "end_frame", "event_id", "subtask"))).alias("_all"))
@@ -185,7 +186,7 @@ def other_blocks(segments: DataFrame) -> DataFrame:
         return bound(items, lambda t: F.when(F.size(t) > 0, begun(t)).otherwise(t))
 
     blocks = F.transform(F.concat(walk(tier(True)), walk(tier(False))), lambda x: x["event_id"])
-    return rows.select(F.col("_here.event_id").alias("event_id"), blocks.alias("blocks"))
+    return rows.select(F.col("_here.event_id").alias("event_id"), (blocks if most is None else F.slice(blocks, 1, most)).alias("blocks"))
 
 
 def fingerprint(rows: DataFrame, text: str, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -211,10 +212,10 @@ def recombined(vocabulary: DataFrame, all_verbs: list[str]) -> DataFrame:
     """Candidates of a family (vocabulary: family, subtask, text): each text with another of the family's objects, else of its verbs, else of all verbs; only those that are no label of it, that keep to its objects, and whose object is not in the modifier. The first tier of a text wins."""
     rows = vocabulary.withColumn("w", parsed(F.col("text"))).withColumn("key", key(F.col("text")))
     of_family = rows.groupBy("family").agg(F.array_sort(F.collect_set("w.object")).alias("_objects"), F.array_sort(F.collect_set("w.verb")).alias("_verbs"), F.collect_set("key").alias("_real"))
-    rows = rows.join(F.broadcast(of_family), "family")
+    rows = rows.join(of_family, "family")
     globals_ = F.array_except(F.array(*map(F.lit, all_verbs)), "_verbs")
     made = lambda texts, old, tier: F.transform(texts, lambda x: F.struct(F.lit(tier).alias("tier"), swapped(F.col("text"), F.col(old), x).alias("made")))
     out = rows.select("family", F.explode(F.concat(made(F.col("_objects"), "w.object", 0), made(F.col("_verbs"), "w.verb", 1), made(globals_, "w.verb", 2))).alias("c")).select("family", "c.*").filter("made is not null")
-    out = out.withColumn("key", key(F.col("made"))).withColumn("w", parsed(F.col("made"))).join(F.broadcast(of_family), "family")
+    out = out.withColumn("key", key(F.col("made"))).withColumn("w", parsed(F.col("made"))).join(of_family, "family")
     out = out.filter(~F.array_contains("_real", F.col("key")) & F.array_contains("_objects", F.col("w.object")) & ~F.array_contains(F.split("w.modifier", " "), F.col("w.object")))
     return out.groupBy("family", "key").agg(F.min("tier").alias("tier"))

@@ -101,14 +101,9 @@ def is_provenance(path: Column) -> Column:
     return F.contains(F.translate(path, "\\", "/"), F.lit("observation.images"))
 
 
-def _ending_in(hits: Column, end: Column, depth: int) -> Column:
-    return F.filter(hits, lambda h: (F.size(h["parts"]) >= depth) & (F.slice(h["parts"], F.greatest(F.size(h["parts"]) - depth + 1, F.lit(1)), F.lit(depth)) == end))
-
-
-def _narrowed(rows: DataFrame, some: Column) -> DataFrame:
-    """The hits that are left by a rule, where there are several and any is left."""
-    rows = rows.withColumn("_some", F.when(F.size("_hits") > 1, some))
-    return rows.withColumn("_hits", F.when(F.size("_some") > 0, F.col("_some")).otherwise(F.col("_hits"))).drop("_some")
+def _endings(parts: Column) -> Column:
+    """The last 1 to 6 parts of a path, as texts; as many as it has parts."""
+    return F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(parts))), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
 
 
 def resolved(paths: DataFrame, files: DataFrame, group: str = "") -> DataFrame:
@@ -117,28 +112,28 @@ def resolved(paths: DataFrame, files: DataFrame, group: str = "") -> DataFrame:
     A path is a file itself (exact), or the one file of its name. Of several the longest common endings, from two to six
     parts, then the words of stages in the path, the last first, and at last the group narrow the choice; what then has
     several stays ambiguous, without any it is unresolved. Paths of raw recordings are provenance, others than media are
-    none. The files of a name meet its paths as one array, and are narrowed there.
+    none. Files meet paths by their endings, reduced to one row for each ending and set of words, however many share a name.
     """
+    there = files.select("file").distinct().withColumn("_f", F.split("file", "/"))
+    words = F.filter(F.array(*map(F.lit, STAGE_WORDS)), lambda w: F.array_contains(F.col("_f"), w))
+    grouped = F.contains("file", F.lit(f"/{group}/")) if group else F.lit(False)
+    kinds = there.select(F.posexplode(_endings(F.col("_f"))).alias("_depth", "_end"), words.alias("_w"), grouped.alias("_in"), "file").groupBy("_depth", "_end", "_w", "_in").agg(F.count("*").alias("n"), F.min("file").alias("file"))
+    of_end = kinds.groupBy("_depth", "_end").agg(F.collect_list(F.struct(F.col("_w").alias("words"), F.col("_in").alias("inside"), "n", "file")).alias("_hits"))  # at most two for each set of words
     wanted = paths.select("path").distinct().withColumn("_parts", F.split(F.translate("path", "\\", "/"), "/"))
-    wanted = wanted.withColumn("name", F.element_at("_parts", -1))
-    of_name = files.select("file").distinct().withColumn("_f", F.split("file", "/")).groupBy(F.element_at("_f", -1).alias("name")).agg(F.sort_array(F.collect_list(F.struct("file", F.col("_f").alias("parts")))).alias("_hits"))
-    rows = wanted.join(of_name, "name", "left").withColumn("_exact", F.coalesce(F.exists("_hits", lambda h: h["file"] == F.col("path")), F.lit(False))).withColumn("_hits", F.coalesce("_hits", F.array().cast("array<struct<file:string,parts:array<string>>>")))
-
-    for depth in range(2, 7):
-        end = F.slice("_parts", F.greatest(F.size("_parts") - depth + 1, F.lit(1)), F.lit(depth))
-        some = _ending_in(F.col("_hits"), end, depth)
-        rows = _narrowed(rows, F.when(F.size("_parts") >= depth, some))
-    # Words of stages before the name, the last first: at each step that one which is as many places from the end.
-    words = F.reverse(F.filter(F.slice("_parts", F.lit(1), F.size("_parts") - 1), lambda p: p.isin(*STAGE_WORDS)))
-    rows = rows.withColumn("_words", words)
-    step = lambda hits, w: bound(F.filter(hits, lambda h: F.array_contains(h["parts"], w)), lambda some: F.when((F.size(hits) > 1) & (F.size(some) > 0), some).otherwise(hits))
-    rows = rows.withColumn("_hits", F.aggregate("_words", F.col("_hits"), step)).drop("_words")
+    met = wanted.select("path", F.posexplode(_endings(F.col("_parts"))).alias("_depth", "_end")).join(of_end, ["_depth", "_end"]).groupBy("path").agg(F.max_by("_hits", "_depth").alias("_hits"))
+    exact = wanted.select("path").join(there.select(F.col("file").alias("path")), "path", "left_semi").withColumn("_exact", F.lit(True))
+    rows = wanted.join(met, "path", "left").join(exact, "path", "left").withColumn("_exact", F.coalesce("_exact", F.lit(False)))
+    rows = rows.withColumn("_hits", F.coalesce("_hits", F.array().cast("array<struct<words:array<string>,inside:boolean,n:bigint,file:string>>")))
+    many = lambda hits: F.aggregate(hits, F.lit(0).cast("bigint"), lambda t, h: t + h["n"])
+    # Words of stages before the name, the last first: at each step those files that have it.
+    said = F.reverse(F.filter(F.slice("_parts", F.lit(1), F.size("_parts") - 1), lambda p: p.isin(*STAGE_WORDS)))
+    step = lambda hits, w: bound(F.filter(hits, lambda h: F.array_contains(h["words"], w)), lambda some: F.when((many(hits) > 1) & (F.size(some) > 0), some).otherwise(hits))
+    rows = rows.withColumn("_said", said).withColumn("_hits", F.aggregate("_said", F.col("_hits"), step)).drop("_said")
     if group:
-        same = F.filter("_hits", lambda h: F.contains(h["file"], F.lit(f"/{group}/")))
-        rows = rows.withColumn("_same", F.when(F.size("_hits") > 1, same)).withColumn("_hits", F.when(F.size("_same") == 1, F.col("_same")).otherwise(F.col("_hits"))).drop("_same")
-    status = (
-        F.when(~F.col("path").rlike(MEDIA), "no media").when(is_provenance(F.col("path")), "provenance").when(F.col("_exact"), "exact").when(F.size("_hits") == 1, "resolved").when(F.size("_hits") > 1, "ambiguous").otherwise("unresolved")
-    )
+        same = F.filter("_hits", lambda h: h["inside"])
+        rows = rows.withColumn("_same", same).withColumn("_hits", F.when((many(F.col("_hits")) > 1) & (many(F.col("_same")) == 1), F.col("_same")).otherwise(F.col("_hits"))).drop("_same")
+    n = many(F.col("_hits"))
+    status = F.when(~F.col("path").rlike(MEDIA), "no media").when(is_provenance(F.col("path")), "provenance").when(F.col("_exact"), "exact").when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved")
     rows = rows.withColumn("status", status)
     found = F.when(F.col("status") == "exact", F.col("path")).when(F.col("status") == "resolved", F.get("_hits", F.lit(0))["file"])
     return rows.select("path", "status", found.alias("found"))
