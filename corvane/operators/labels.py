@@ -195,10 +195,11 @@ def report(findings: DataFrame, kinds: list[str]) -> DataFrame:
     return findings.groupBy("family").agg(*[F.count_if(F.col("kind") == k).alias(k.replace(" ", "_")) for k in kinds])
 
 
-def examples(findings: DataFrame, most: int = 4) -> DataFrame:
-    """The first findings (family, kind, detail) of each kind that differ in family or in the first 40 characters; one row per such difference is kept before the ranking."""
+def examples(findings: DataFrame, most: int = 4, caps: dict[str, int] | None = None) -> DataFrame:
+    """The first findings (family, kind, detail) of each kind that differ in family or in the first 40 characters, as many as caps has for the kind, else `most`; one row per such difference is kept before the ranking."""
     distinct = findings.groupBy("kind", "family", F.substring("detail", 1, 40).alias("head")).agg(F.min("detail").alias("detail"))
-    return distinct.withColumn("n", F.row_number().over(W.partitionBy("kind").orderBy("family", "detail"))).filter(F.col("n") <= most).select("kind", "n", "family", "detail")
+    cap = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in (caps or {}).items()], F.lit(most))
+    return distinct.withColumn("n", F.row_number().over(W.partitionBy("kind").orderBy("family", "detail"))).filter(F.col("n") <= cap).select("kind", "n", "family", "detail")
 
 
 def successors(segments: DataFrame) -> DataFrame:

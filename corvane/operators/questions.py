@@ -170,6 +170,17 @@ def order_questions(chosen: DataFrame) -> DataFrame:
     return out.withColumn("shown", F.transform("_shown", lambda i: F.get(F.col("frames"), i))).withColumn("distractors", picks).drop("_shown", "_wrong")
 
 
+# Fixed value: the option that no other is right.
+NONE_TEXT = "All other options are wrong."
+
+
+def with_none_option(questions: DataFrame, policy: str) -> DataFrame:
+    """questions with none_option: nothing (off), or the option that is there and never right (fixed). That it be right at times (answerable) is a policy that is only spoken of, and an error here."""
+    if policy not in ("off", "fixed"):
+        raise ValueError(f"the policy is off or fixed, not {policy!r}")
+    return questions.withColumn("none_option", F.lit(NONE_TEXT if policy == "fixed" else None).cast("string"))
+
+
 def other_blocks(segments: DataFrame, most: int | None = None) -> DataFrame:
     """event_id and blocks (place, event_id of the block): segments of other subtasks of the episode, those two or more places away before neighbours, each tier walked at a stride from the md5 of the id.
 

@@ -106,10 +106,31 @@ def _endings(parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(parts))), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
 
 
-def resolved(paths: DataFrame, files: DataFrame, group: str = "") -> DataFrame:
+def under(base: Column, path: Column) -> Column:
+    """A path below a folder, without `.` and with `..` worked out; an absolute one stays as it is."""
+    step = lambda kept, p: F.when(p.isin("", "."), kept).when(p == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, p))
+    parts = F.aggregate(F.split(F.concat_ws("/", base, F.translate(path, "\\", "/")), "/"), F.array().cast("array<string>"), step)
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(F.startswith(base, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/")))
+
+
+def rewritten(paths: DataFrame, files: DataFrame, base: str, prefixes: list[str]) -> DataFrame:
+    """paths (path) with status and found, for question files in the folder `base`: a relative path, or one with a legacy
+    prefix, means the file below that folder (rewritten, or already_ok if it read so; else unresolved); another absolute
+    path is already_ok if it is a file, else provenance."""
+    slashed = F.translate("path", "\\", "/")
+    absolute = F.startswith(slashed, F.lit("/")) | (F.substring(slashed, 2, 1) == ":")
+    legacy = F.coalesce(*[F.when(F.startswith(slashed, F.lit(f"{p}/")), F.substring(slashed, F.lit(len(p) + 2), F.length(slashed))) for p in prefixes], F.lit(None).cast("string"))
+    rows = paths.select("path").distinct().withColumn("_legacy", legacy).withColumn("_own", absolute & F.col("_legacy").isNull())
+    rows = rows.withColumn("file", F.when(F.col("_own"), slashed).otherwise(under(F.lit(base), F.coalesce("_legacy", slashed))))
+    rows = rows.join(files.select("file").distinct().withColumn("_there", F.lit(True)), "file", "left")
+    status = F.when(F.col("_there"), F.when(F.col("file") == F.col("path"), "already_ok").when(F.col("_own"), "already_ok").otherwise("rewritten")).when(F.col("_own"), "provenance").otherwise("unresolved")
+    return rows.select("path", status.alias("status"), F.when(F.col("_there"), F.col("file")).otherwise(F.col("path")).alias("found"))
+
+
+def resolved(paths: DataFrame, files: DataFrame, group: str = "", base: str = "") -> DataFrame:
     """paths (path) with status and found: files (file) that the paths mean.
 
-    A path is a file itself (exact), or the one file of its name. Of several the longest common endings, from two to six
+    A path is a file itself (exact), or below the folder `base`, if there is one (relative), or the one file of its name. Of several the longest common endings, from two to six
     parts, then the words of stages in the path, the last first, and at last the group narrow the choice; what then has
     several stays ambiguous, without any it is unresolved. Paths of raw recordings are provenance, others than media are
     none. Files meet paths by their endings, reduced to one row for each ending and set of words, however many share a name.
@@ -123,6 +144,8 @@ def resolved(paths: DataFrame, files: DataFrame, group: str = "") -> DataFrame:
     met = wanted.select("path", F.posexplode(_endings(F.col("_parts"))).alias("_depth", "_end")).join(of_end, ["_depth", "_end"]).groupBy("path").agg(F.max_by("_hits", "_depth").alias("_hits"))
     exact = wanted.select("path").join(there.select(F.col("file").alias("path")), "path", "left_semi").withColumn("_exact", F.lit(True))
     rows = wanted.join(met, "path", "left").join(exact, "path", "left").withColumn("_exact", F.coalesce("_exact", F.lit(False)))
+    near = wanted.select("path", under(F.lit(base), F.col("path")).alias("_near")).join(there.select(F.col("file").alias("_near")), "_near") if base else wanted.select("path", F.lit(None).cast("string").alias("_near")).limit(0)
+    rows = rows.join(near, "path", "left")
     rows = rows.withColumn("_hits", F.coalesce("_hits", F.array().cast("array<struct<words:array<string>,inside:boolean,n:bigint,file:string>>")))
     many = lambda hits: F.aggregate(hits, F.lit(0).cast("bigint"), lambda t, h: t + h["n"])
     # Words of stages before the name, the last first: at each step those files that have it.
@@ -133,7 +156,7 @@ def resolved(paths: DataFrame, files: DataFrame, group: str = "") -> DataFrame:
         same = F.filter("_hits", lambda h: h["inside"])
         rows = rows.withColumn("_same", same).withColumn("_hits", F.when((many(F.col("_hits")) > 1) & (many(F.col("_same")) == 1), F.col("_same")).otherwise(F.col("_hits"))).drop("_same")
     n = many(F.col("_hits"))
-    status = F.when(~F.col("path").rlike(MEDIA), "no media").when(is_provenance(F.col("path")), "provenance").when(F.col("_exact"), "exact").when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved")
+    status = F.when(~F.col("path").rlike(MEDIA), "no media").when(is_provenance(F.col("path")), "provenance").when(F.col("_exact"), "exact").when(F.col("_near").isNotNull(), "relative").when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved")
     rows = rows.withColumn("status", status)
-    found = F.when(F.col("status") == "exact", F.col("path")).when(F.col("status") == "resolved", F.get("_hits", F.lit(0))["file"])
+    found = F.when(F.col("status") == "exact", F.col("path")).when(F.col("status") == "relative", F.col("_near")).when(F.col("status") == "resolved", F.get("_hits", F.lit(0))["file"])
     return rows.select("path", "status", found.alias("found"))

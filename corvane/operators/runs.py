@@ -37,10 +37,16 @@ def breaker(log: DataFrame, key: str, threshold: int, span: int = 100_000) -> Da
     return rows.filter("not ok").join(before, [key, "_part"]).filter(streak == threshold).groupBy(key).agg(F.min("seq").alias("broken_at"))
 
 
-def units_up_to(units: DataFrame, group: str, limit: int) -> DataFrame:
-    """Whole units (group, unit, n) of each group in order until their rows reach the limit."""
-    before = F.coalesce(F.sum("n").over(W.partitionBy(group).orderBy("unit").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return units.withColumn("before", before).filter(F.col("before") < limit).select(group, "unit", "n")
+def units_up_to(units: DataFrame, group: str, limit: int | None = None, first: int | None = None) -> DataFrame:
+    """Whole units (group, unit, n) of each group in order: at most the first so many, and of these until their rows reach the limit."""
+    order = W.partitionBy(group).orderBy("unit")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = units.withColumn("_before", before).withColumn("_nth", F.row_number().over(order))
+    if first is not None:
+        kept = kept.filter(F.col("_nth") <= first)
+    if limit is not None:
+        kept = kept.filter(F.col("_before") < limit)
+    return kept.select(group, "unit", "n")
 
 
 def shard(rows: DataFrame, key: str, shards: int, i: int) -> DataFrame:
@@ -74,13 +80,16 @@ def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
     return one.groupBy("kind", "value").agg(F.count("*").alias("total"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"))
 
 
-def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Ids (id, answer, correct) of two versions: where they are, and whether answer and verdict agree (nulls are equal)."""
+def sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Ids (id, answer, correct) of two versions: in which they are (side: both, only_a, only_b), and whether answer and verdict agree (nulls are equal)."""
     both = a.select("id", F.struct("answer", "correct").alias("a")).join(b.select("id", F.struct("answer", "correct").alias("b")), "id", "full")
     side = F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").otherwise("both")
-    return both.select(side.alias("side"), F.col("a.answer").eqNullSafe(F.col("b.answer")).alias("same_answer"), F.col("a.correct").eqNullSafe(F.col("b.correct")).alias("same_verdict")).groupBy("side").agg(
-        F.count("*").alias("n"), F.count_if("same_answer").alias("same_answer"), F.count_if("same_verdict").alias("same_verdict")
-    )
+    return both.select("id", side.alias("side"), F.col("a.answer").eqNullSafe(F.col("b.answer")).alias("same_answer"), F.col("a.correct").eqNullSafe(F.col("b.correct")).alias("same_verdict"))
+
+
+def compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How many ids are on each of the sides, and of how many answer and verdict agree."""
+    return sides(a, b).groupBy("side").agg(F.count("*").alias("n"), F.count_if("same_answer").alias("same_answer"), F.count_if("same_verdict").alias("same_verdict"))
 
 
 def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

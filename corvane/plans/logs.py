@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import shared, sinks, streaming
 from ..functions import intervals as iv
-from ..operators import runs
-from ..sources import LOG, episode_bounds, items, last_by_key, loading, log, results, table
+from ..operators import labels, questions, reports, runs
+from ..sources import LOG, cache_keys, episode_bounds, items, last_by_key, loading, log, results, table
 from . import core  # noqa: F401  its SQL is used here
 from .registry import ORACLES as _CORE
 from .registry import query
@@ -155,3 +155,89 @@ def s10(spark, d):
         raw, built = (loading.load(spark, f"{top}/raw", f"{top}/out", "builder 1", source, media=media) for source in ("raw", "normalised"))
         both = raw.join(built.withColumnRenamed("item", "other"), ["family", "task", "id"], "full")
         return shared.checkpointed(both.select("family", "id", F.get_json_object("item", "$.clip_path").alias("path"), F.get_json_object("item", "$.question").alias("text"), F.col("item").eqNullSafe(F.col("other")).alias("same")))
+
+
+@query(
+    "u4_u5_sides",
+    """WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS answer, o_orderkey % 2 = 0 AS correct FROM orders), b AS (SELECT l_orderkey + 1 AS id, CASE WHEN count(*) > 2 THEN max(l_linestatus) END AS answer, l_orderkey % 4 = 0 AS correct FROM lineitem GROUP BY l_orderkey)
+    SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'only_a' WHEN a.id IS NULL THEN 'only_b' ELSE 'both' END AS side, a.answer IS NOT DISTINCT FROM b.answer AS same_answer, a.correct IS NOT DISTINCT FROM b.correct AS same_verdict FROM a FULL JOIN b ON a.id = b.id""",
+)
+def u4(spark, d):
+    a = table(spark, d, "orders").selectExpr("o_orderkey as id", "o_orderstatus as answer", "o_orderkey % 2 = 0 as correct")
+    b = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.expr("if(count(*) > 2, max(l_linestatus), null)").alias("answer"))
+    return runs.sides(a, b.selectExpr("l_orderkey + 1 as id", "answer", "l_orderkey % 4 = 0 as correct"))
+
+
+@query(
+    "p19_o7_first_units",
+    """WITH u AS (SELECT user_id, CAST(day(ts) AS BIGINT) AS unit, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY unit) AS nth, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u) SELECT user_id, unit, n FROM b WHERE nth <= 5 AND before < 8""",
+)
+def p19(spark, d):
+    units = table(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").cast("bigint").alias("unit")).agg(F.count("*").alias("n"))
+    return runs.units_up_to(units, "user_id", 8, first=5)
+
+
+@query(
+    "x8_relative",
+    """SELECT '../clips/' || p_partkey || '.mp4' AS path, CASE WHEN p_partkey % 3 = 0 THEN 'relative' WHEN p_partkey % 3 = 1 THEN 'resolved' ELSE 'unresolved' END AS status,
+    CASE WHEN p_partkey % 3 = 0 THEN '/data/qa/clips/' || p_partkey || '.mp4' WHEN p_partkey % 3 = 1 THEN '/data/else/' || p_partkey || '.mp4' END AS found FROM part""",
+)
+def x8(spark, d):
+    part = table(spark, d, "part")
+    files = part.selectExpr("explode(case p_partkey % 3 when 0 then array(concat('/data/qa/clips/', p_partkey, '.mp4'), concat('/data/other/clips/', p_partkey, '.mp4')) when 1 then array(concat('/data/else/', p_partkey, '.mp4')) else array(concat('/data/none/', p_partkey, '.txt')) end) as file")
+    return reports.resolved(part.selectExpr("concat('../clips/', p_partkey, '.mp4') as path"), files, base="/data/qa/fam/./")
+
+
+@query(
+    "t24_rewritten",
+    """WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'clips/' || p_partkey || '.mp4' WHEN 1 THEN '/old/place/clips/' || p_partkey || '.mp4' WHEN 2 THEN '/qa/fam/clips/' || p_partkey || '.mp4' WHEN 3 THEN '/raw/' || p_partkey || '.mp4' ELSE 'gone/' || p_partkey || '.mp4' END AS path FROM part)
+    SELECT path, CASE k % 5 WHEN 0 THEN 'rewritten' WHEN 1 THEN 'rewritten' WHEN 2 THEN 'already_ok' WHEN 3 THEN 'provenance' ELSE 'unresolved' END AS status, CASE WHEN k % 5 < 3 THEN '/qa/fam/clips/' || k || '.mp4' ELSE path END AS found FROM p""",
+)
+def t24(spark, d):
+    part = table(spark, d, "part")
+    path = "case p_partkey % 5 when 0 then concat('clips/', p_partkey, '.mp4') when 1 then concat('/old/place/clips/', p_partkey, '.mp4') when 2 then concat('/qa/fam/clips/', p_partkey, '.mp4') when 3 then concat('/raw/', p_partkey, '.mp4') else concat('gone/', p_partkey, '.mp4') end as path"
+    return reports.rewritten(part.selectExpr(path), part.selectExpr("concat('/qa/fam/clips/', p_partkey, '.mp4') as file"), "/qa/fam", ["/old/place", "/older"])
+
+
+@query("s13_cache_keys", "SELECT DISTINCT 'c' || (p_partkey // 1000) AS cache, 'pick ' || lower(p_name) AS key FROM part")
+def s13(spark, d):
+    """Caches of a thousand labels each, a document for each cache."""
+    part = table(spark, d, "part").withColumn("cache", F.expr("concat('c', p_partkey div 1000)"))
+    label = F.concat(F.lit("Pick the "), "p_name", F.lit("."))
+    docs = part.groupBy("cache").agg(F.to_json(F.create_map(F.lit("distractors"), F.map_from_entries(F.collect_set(F.struct(label.alias("k"), F.lit(1).alias("v")))))).alias("value"))
+    with shared.work_folder(spark, "s13") as top:
+        docs.repartition("cache").write.partitionBy("cache").text(f"{top}/new")
+        for name in shared.children(spark, f"{top}/new"):
+            if name.startswith("cache="):
+                shared.move_into(spark, f"{top}/new/{name}", ".txt", f"{top}/caches", f"{name.removeprefix('cache=')}.json")
+        return shared.checkpointed(cache_keys(spark, f"{top}/caches/*.json", "distractors"))
+
+
+@query(
+    "k3_k4_k5_written",
+    """WITH b AS (SELECT p_brand AS model, count(*) AS n, round(avg(p_size), 3) AS value FROM part GROUP BY 1), m AS (SELECT row_number() OVER (ORDER BY model) + 1 AS n, '| ' || model || ' | ' || n || ' | ' || value || ' |' AS line FROM b)
+    SELECT 'markdown' AS file, CAST(n AS BIGINT) AS n, line FROM m UNION ALL VALUES ('markdown', 0, '| model | n | value |'), ('markdown', 1, '| --- | --- | --- |') UNION ALL SELECT 'csv', n, model || '=' || value FROM b UNION ALL SELECT 'export', n, model FROM b""",
+)
+def k3(spark, d):
+    board = table(spark, d, "part").groupBy(F.col("p_brand").alias("model")).agg(F.count("*").alias("n"), F.round(F.avg("p_size"), 3).alias("value"))
+    with shared.work_folder(spark, "k3") as top:
+        sinks.write_csv(board, f"{top}/csv", ["value", "model", "n"])
+        sinks.export(board, board.agg(F.sum("n").alias("total")), {"run": "all"}, f"{top}/export")
+        written = spark.read.option("header", True).csv(f"{top}/csv").select(F.lit("csv").alias("file"), F.col("n").cast("long").alias("n"), F.concat_ws("=", "model", "value").alias("line"))
+        exported = spark.read.json(f"{top}/export/results").select(F.lit("export").alias("file"), "n", F.col("model").alias("line"))
+        return shared.checkpointed(sinks.markdown(board, ["model"]).select(F.lit("markdown").alias("file"), "n", "line").unionByName(written).unionByName(exported))
+
+
+@query(
+    "o6_capped_examples",
+    "WITH f AS (SELECT o_orderstatus AS kind, o_orderpriority AS family, min('order ' || o_custkey) AS detail FROM orders GROUP BY 1, 2, substr('order ' || o_custkey, 1, 40)), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY family, detail) AS n FROM f) SELECT kind, CAST(n AS INT) AS n, family, detail FROM r WHERE n <= CASE kind WHEN 'F' THEN 8 WHEN 'O' THEN 12 ELSE 5 END",
+)
+def o6(spark, d):
+    findings = table(spark, d, "orders").select(F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("family"), F.concat(F.lit("order "), F.col("o_custkey").cast("string")).alias("detail"))
+    return labels.examples(findings, 5, {"F": 8, "O": 12})
+
+
+@query("g8_none_option", "SELECT p_partkey AS item, CAST(NULL AS VARCHAR) AS none_option FROM part UNION ALL SELECT p_partkey, 'All other options are wrong.' FROM part")
+def g8(spark, d):
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("item"))
+    return questions.with_none_option(items, "off").unionByName(questions.with_none_option(items, "fixed"))

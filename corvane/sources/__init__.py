@@ -93,6 +93,15 @@ def last_by_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return keyed.groupBy(key).agg(F.max_by("row", F.struct(*order)).alias("row"))
 
 
+def cache_keys(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """cache (a file's name without its ending), key: the keys, as labels are compared, of what each JSON document has under the field."""
+    from ..functions.words import key
+
+    docs = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*?)\.json$", 1).alias("cache"), strict_json(F.col("value")).alias("v"))
+    own = F.map_keys(F.try_variant_get("v", f"$.{field}", "map<string,variant>"))
+    return docs.select("cache", F.explode(own).alias("k")).select("cache", key(F.col("k")).alias("key")).distinct()
+
+
 def episode_bounds(spark: SparkSession, path: str, views: list[str]) -> DataFrame:
     """file, bound (from 0), lo, hi: the stretches of a family's videos, from all Parquet files below the folder, and the columns of the first of the views that they have.
 
