@@ -226,7 +226,11 @@ def _contained(runs: np.ndarray, words: list[bytes], whole: np.ndarray, known: W
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", items_at_once: int = 20_000) -> Iterator[Index]:
-    """Indexes of all items, each of a bounded number of them. Items without words match nothing."""
+    """Indexes of all items, each of a bounded number of them.
+
+    Items without words, or with a null text, match nothing; a null id is an id; repeated items are items of their own;
+    an empty benchmark has no index; a very long item is many segments; other columns are not read.
+    """
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
     shards = -(-items.count() // items_at_once)
     for s in range(shards):
@@ -237,7 +241,8 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", items_at_once: int = 20_000) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified pair.
 
-    Null and empty texts have none; every row of a repeated document or item counts; empty tables give no rows.
+    Null and empty texts have none; every row of a repeated document or item counts; empty tables give no rows; texts of
+    any length are read whole, passage by passage; scores that equal the threshold count; other columns are not read.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -256,7 +261,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", items_at_once: int = 20_000) -> DataFrame:
-    """The rows of docs, with all their columns, in which no item is verified."""
+    """The rows of docs, with all their columns, in which no item is verified.
+
+    Rows with a null or empty text stay; repeated rows stay or go alike; with an empty benchmark all stay, of an empty
+    table none; columns of any name stay as they are; texts of any length are read whole.
+    """
     at = docs.columns.index(text_col)
     for index in indexes(benchmark, items_at_once=items_at_once):
 

@@ -163,7 +163,12 @@ def score(texts: list[str | None], model: Model | None) -> list[tuple[str, float
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang: str = "lang_pred", probability: str = "score") -> DataFrame:
-    """docs with two more columns. Every row stays, repeated ones too; columns of these names are replaced."""
+    """docs with two more columns: a language and its probability.
+
+    A null text, or one without letters, is `und` with probability 0; every row stays, repeated ones too; of equally
+    probable languages the first in the model's order counts; a text of any length is read whole, window by window; an
+    empty table stays empty; columns of these names are replaced, all others stay.
+    """
     kept = docs.drop(lang, probability)
     schema = T.StructType([*kept.schema.fields, T.StructField(lang, T.StringType()), T.StructField(probability, T.DoubleType())])
     text = kept.columns.index(text_col)

@@ -234,6 +234,12 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:
+    """The pieces of all texts with their places in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null text is empty and has its end id only; a null id stays null; a text of any length is encoded whole and cut to
+    pieces; repeated rows are packed each; which of several pieces of one length gets which place is not fixed; an empty
+    table gives no rows; other columns are not read.
+    """
     return pack(pieces(docs, tokenizer, capacity), capacity)
 
 

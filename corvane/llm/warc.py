@@ -166,7 +166,7 @@ def ranges(rows: Iterator[tuple[str, int, int]], gap: int, most: int) -> Iterato
 
 
 def read(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20, keep_payload: bool = True) -> DataFrame:
-    """The records that the index selects. Ranges are dealt out by file and stretch of `most` bytes, so that no task has a whole large file."""
+    """The records that the index selects; of an empty index none. A record that is selected twice comes twice, but repeats of one place are read once. Ranges are dealt out by file and stretch of `most` bytes, so that no task has a whole large file."""
 
     def to_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, _ = common.byte_files(folder)
