@@ -230,3 +230,8 @@ def recombined(vocabulary: DataFrame, all_verbs: list[str]) -> DataFrame:
     out = out.withColumn("key", key(F.col("made"))).withColumn("w", parsed(F.col("made"))).join(of_family, "family")
     out = out.filter(~F.array_contains("_real", F.col("key")) & F.array_contains("_objects", F.col("w.object")) & ~F.array_contains(F.split("w.modifier", " "), F.col("w.object")))
     return out.groupBy("family", "key").agg(F.min("tier").alias("tier"))
+
+
+def ranked(candidates: DataFrame) -> DataFrame:
+    """Candidates of recombined() with nth: their place in their family, by tier and key."""
+    return candidates.withColumn("nth", F.row_number().over(W.partitionBy("family").orderBy("tier", "key")))
