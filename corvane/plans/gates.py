@@ -77,13 +77,13 @@ def j19(spark, d):
 
 @query(
     "j18_chained",
-    """WITH r AS (SELECT l_orderkey AS unit, l_linenumber - 1 AS place, CASE WHEN l_linenumber % 3 = 0 THEN 'q' || (l_linenumber - 1) ELSE 'other' END AS own, CASE WHEN l_linenumber % 3 = 1 THEN 2 END AS hint FROM lineitem), q AS (SELECT DISTINCT l_orderkey AS unit, l_linenumber AS position, 'q' || l_linenumber AS question FROM lineitem WHERE l_linenumber < 6)
+    """WITH r AS (SELECT l_orderkey AS unit, l_linenumber - 1 AS place, CASE WHEN l_linenumber % 3 = 0 THEN 'q' || (l_linenumber - 1) ELSE 'other' END AS own, CASE WHEN l_linenumber % 3 = 1 THEN 2 END AS hint FROM lineitem), q AS (SELECT DISTINCT l_orderkey AS unit, l_linenumber AS position, CASE WHEN l_linenumber < 6 THEN 'q' ELSE 'z' END || l_linenumber AS question FROM lineitem)
     SELECT r.unit, place, coalesce(a.question, b.question) AS question FROM r LEFT JOIN q a ON a.unit = r.unit AND a.question = own LEFT JOIN q b ON b.unit = r.unit AND b.position = coalesce(hint, place + 1)""",
 )
 def j18(spark, d):
     line = table(spark, d, "lineitem")
     rows = line.selectExpr("l_orderkey as unit", "l_linenumber - 1 as at", "if(l_linenumber % 3 = 0, concat('q', l_linenumber - 1), 'other') as own", "if(l_linenumber % 3 = 1, 2, null) as hint")
-    return gates.chained(rows, line.filter("l_linenumber < 6").selectExpr("l_orderkey as unit", "l_linenumber as position", "concat('q', l_linenumber) as question")).selectExpr("unit", "at as place", "question")
+    return gates.chained(rows, line.selectExpr("l_orderkey as unit", "l_linenumber as position", "concat(if(l_linenumber < 6, 'q', 'z'), l_linenumber) as question")).selectExpr("unit", "at as place", "question")
 
 
 _REPLY = """CASE o_orderkey % 6 WHEN 0 THEN '[{"id": "b", "start": 1, "end": "0:09"}, {"index": 1, "answer": "2 to 4.5"}]' WHEN 1 THEN '{"answers": [{"start_time": 3, "end_time": 5}, {"id": "2", "interval": "7, 8"}]}' WHEN 2 THEN '```json' || chr(10) || '{"a": "0:01 - 0:02", "x": 5}' || chr(10) || '```'

@@ -62,13 +62,13 @@ def p11(spark, d):
 
 @query(
     "s7_s8_episodes",
-    """SELECT n_name AS family, s_suppkey AS number FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 5 NOT IN (0, 1) AND n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 0) AND (n_regionkey = 0 OR s_suppkey < n_regionkey * 20)""",
+    """SELECT n_name AS family, s_suppkey AS number FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 5 NOT IN (0, 1) AND n_nationkey IN (SELECT (c_nationkey * 2) % 25 FROM customer) AND (n_regionkey = 0 OR s_suppkey < n_regionkey * 20)""",
 )
 def s7(spark, d):
     registry = table(spark, d, "nation").selectExpr("n_nationkey as key", "n_name as family", "case n_nationkey % 5 when 0 then 'excluded' when 1 then 'parked' when 2 then null else 'active' end as status", "if(n_regionkey = 0, null, n_regionkey * 20) as cap")
-    sources = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_nationkey").alias("key")).distinct().join(F.broadcast(registry.select("key", "family")), "key")
+    sources = table(spark, d, "customer").selectExpr("(c_nationkey * 2) % 25 as key").distinct().join(registry.select("key", "family"), "key")
     kept = families.active(registry, sources)
-    episodes = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("number")).join(F.broadcast(kept.select("key", "family")), "key")
+    episodes = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("number")).join(kept.select("key", "family"), "key")
     return families.below_cap(episodes, kept).select("family", "number")
 
 
