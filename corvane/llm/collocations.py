@@ -7,8 +7,9 @@ k - 1 words are, and the number of its last word. Keys are dealt by hash to segm
 number of requests; they are shuffled once. A segment's mapper builds a minimal perfect hash over its distinct candidates,
 which keeps the keys; looks the blocks' keys up, compares them with those stored, and bincounts what each share of the
 blocks has seen into an array by slot; and sums the arrays in a tree. A slot that reaches the least count is a frequent
-phrase and gets a number, which the blocks that asked are told; what no frequent phrase covers any more is dropped from
-their files, so files shrink from level to level. The counts of the parts at each cut are read by these numbers.
+phrase; a second perfect hash over these gives numbers, which the blocks that asked are told. What no frequent phrase
+covers any more is dropped from their files, so files shrink from level to level. The counts of the parts at each cut
+are read by these numbers.
 
 Nothing is anywhere whole: not the phrases, not their counts, not the vocabulary. Words are told apart by 128 bits of
 hash; all counts are integers.
@@ -35,6 +36,8 @@ UNKNOWN = "und"
 BLOCK_WORDS = 2_000_000
 #: Requests that a segment has on average at most; and blocks whose requests are counted into one array.
 SEGMENT_KEYS, SHARE_BLOCKS = 1_000_000, 32
+#: Languages whose word counts are broadcast; more are joined by a shuffle.
+BROADCAST_LANGS = 10_000
 _ROUTE = 1 << 20  # a level of hashes that no perfect hash comes to
 #: Lower-cases A-Z, makes ends of pieces line ends and tabs spaces.
 _PIECES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -177,8 +180,9 @@ def _keys(group: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return [sorted_unpacked(b) for b in group["hi"]], [unpacked(b, np.uint64) for b in group["lo"]]
 
 
-def counted(asked: DataFrame, folder: str, segments: int, least: int) -> DataFrame:
-    """segment: its perfect hash over all candidates, their counts by slot and the numbers of the frequent ones are written to files of its number."""
+def counted(asked: DataFrame, folder: str, least: int) -> DataFrame:
+    """segment: of its candidates, counted by the slots of a perfect hash over all of them, the frequent ones are written to
+    a file of its number: a perfect hash over these, whose slots are their numbers, and their counts."""
 
     def total(arrays: list[np.ndarray]) -> np.ndarray:
         while len(arrays) > 1:
@@ -198,9 +202,11 @@ def counted(asked: DataFrame, folder: str, segments: int, least: int) -> DataFra
                     raise ValueError("a candidate is not in its segment's hash")
                 arrays.append(np.bincount(slots, np.concatenate([unpacked(b, np.uint32) for b in group["seen"].iloc[share]]), len(model)).astype(np.int64))
             n = total(arrays)
-            frequent = n >= least
-            number = np.where(frequent, (np.cumsum(frequent) - 1) * segments + segment, -1)
-            store(folder, str(segment), **model.dump(), counts=packed(n), numbers=packed(number))
+            own = np.flatnonzero(n >= least)
+            kept = PerfectHash(model.hi[own], model.lo[own])
+            counts = np.zeros(len(own), np.int64)
+            counts[kept.slots(model.hi[own], model.lo[own])] = n[own]
+            store(folder, str(segment), **kept.dump(), counts=packed(counts))
             yield pd.DataFrame({"segment": [segment]})
 
     return asked.select("segment", "hi", "lo", "seen").mapInPandas(work, "segment long")
@@ -216,15 +222,16 @@ def _built(hi: np.ndarray, lo: np.ndarray) -> PerfectHash:
 REPLIES = "block long, file string, segment long, numbers binary, tell binary"
 
 
-def replies(asked: DataFrame, folder: str) -> DataFrame:
+def replies(asked: DataFrame, folder: str, segments: int) -> DataFrame:
     """To every request the numbers of its candidates that are frequent phrases (-1 for others), and of which of these the block is the first to ask."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _by_segment(batches):
-            got = stored(folder, str(group["segment"].iloc[0]))
+            segment = int(group["segment"].iloc[0])
             hi, lo = _keys(group)
             ends = np.cumsum([len(h) for h in hi])[:-1]
-            told_ = unpacked(got["numbers"], np.int64)[PerfectHash.load(got).slots(np.concatenate(hi), np.concatenate(lo))]
+            slots = PerfectHash.load(stored(folder, str(segment))).slots(np.concatenate(hi), np.concatenate(lo))
+            told_ = np.where(slots >= 0, slots * segments + segment, -1)
             first = np.zeros(len(told_), bool)
             first[np.unique(told_, return_index=True)[1]] = True
             yield pd.DataFrame({
@@ -267,16 +274,15 @@ def told(answers: DataFrame, folder: str, new: str, k: int, segments: int) -> Da
     return answers.repartition(common.partitions(answers.sparkSession), "block").groupBy("block").applyInPandas(work, TOLD)
 
 
-def frequent(found: DataFrame, folder: str) -> DataFrame:
+def frequent(found: DataFrame, folder: str, segments: int) -> DataFrame:
     """number, part, word, a of every frequent phrase: the numbers of its first k - 1 words and of its last, or a word's hash in two parts."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for segment in batch["segment"]:
                 got = stored(folder, str(segment))
-                model, number, n = PerfectHash.load(got), unpacked(got["numbers"], np.int64), unpacked(got["counts"], np.int64)
-                own = np.flatnonzero(number >= 0)
-                yield pd.DataFrame({"number": number[own], "part": model.hi[own].astype(np.int64), "word": model.lo[own].astype(np.int64), "a": n[own]})
+                model, n = PerfectHash.load(got), unpacked(got["counts"], np.int64)
+                yield pd.DataFrame({"number": np.arange(len(n)) * segments + segment, "part": model.hi.astype(np.int64), "word": model.lo.astype(np.int64), "a": n})
 
     return found.mapInPandas(work, "number long, part long, word long, a long")
 
@@ -294,10 +300,10 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_co
             segments = max(common.partitions(spark), -(-keys // SEGMENT_KEYS))
             asked = common.checkpointed(requests(held, here, k, segments))
             common.free(spark)
-            found = common.checkpointed(counted(asked, model_folder, segments, least))
-            level = common.checkpointed(frequent(found, model_folder))
+            found = common.checkpointed(counted(asked, model_folder, least))
+            level = common.checkpointed(frequent(found, model_folder, segments))
             if k < longest:
-                held = common.checkpointed(told(replies(asked, model_folder), here, new, k, segments))
+                held = common.checkpointed(told(replies(asked, model_folder, segments), here, new, k, segments))
             if k == 1:
                 word = F.col("x.texts").cast("string")
                 texts = held.select(F.explode(F.arrays_zip("numbers", "texts")).alias("x")).groupBy(F.col("x.numbers").alias("number")).agg(F.first(word).alias("t"))
@@ -348,7 +354,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     for own in kept[1:]:
         every = every.unionByName(own)
     cut = "transform(sequence(1, size(lefts)), i -> named_struct('score', (cast(1000 * a as decimal(19, 0)) * cast(n as decimal(19, 0))) div (cast(lefts[i - 1] as decimal(19, 0)) * cast(rights[i - 1] as decimal(19, 0))), 'k', i, 'l', lefts[i - 1], 'r', rights[i - 1]))"
-    scored = every.join(n, "lang").withColumn("cut", F.expr(f"array_min({cut})")).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score", F.pmod("number", F.lit(common.partitions(docs.sparkSession))).alias("deal"))
+    few = F.broadcast(n) if n.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS else n
+    scored = every.join(few, "lang").withColumn("cut", F.expr(f"array_min({cut})")).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score", F.pmod("number", F.lit(common.partitions(docs.sparkSession))).alias("deal"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     first = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "deal").orderBy(*order))).filter(F.col("rank") <= top)
     best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
