@@ -11,7 +11,7 @@ phrase; a second perfect hash over these gives numbers, which the blocks that as
 covers any more is dropped from their files, so files shrink from level to level. The counts of the parts at each cut
 are read by these numbers.
 
-Nothing is anywhere whole: not the phrases, not their counts, not the vocabulary. Words are told apart by 128 bits of
+Nothing is anywhere whole: not the phrases, not their counts, not the vocabulary. Words are told apart by 104 bits of
 hash; all counts are integers.
 """
 
@@ -73,8 +73,13 @@ def blocks(docs: DataFrame, folder: str, lang_col: str, text_col: str) -> DataFr
         known, numbers, counts, tokens, size = [], {}, {}, [], 0
 
         def row() -> pd.DataFrame:
-            text = b"".join(known)
-            name = store(folder, tokens=packed(np.concatenate(tokens).astype(np.uint32)), text=packed(np.frombuffer(text, np.uint8)), lengths=packed(np.array([len(w) for w in known], np.uint32)))
+            numbered = np.concatenate(tokens)
+            often = np.bincount(numbered, minlength=len(known) + 1)[1:]
+            order = np.argsort(-often, kind="stable")
+            rank = np.zeros(len(known) + 1, np.uint32)  # frequent words get small numbers, which need little room
+            rank[order + 1] = np.arange(1, len(known) + 1)
+            words = [known[i] for i in order.tolist()]
+            name = store(folder, tokens=packed(rank[numbered]), text=packed(np.frombuffer(b"".join(words), np.uint8)), lengths=packed(np.array([len(w) for w in words], np.uint32)))
             return pd.DataFrame({"block": [(part << 32) + no], "file": [name], "langs": [list(counts)], "words": [list(counts.values())], "n_keys": [len(known)]})
 
         for batch in batches:
@@ -123,16 +128,21 @@ class Asked:
 def asked_words(got: dict[str, bytes], segments: int) -> tuple[Asked, list[bytes]]:
     """Level 1: every word, its key the hash of language and word."""
     texts = _texts(got)
-    keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.uint64).reshape(-1, 2)
+    keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.uint64).reshape(-1, 2) & np.array([(1 << 64) - 1, (1 << 40) - 1], np.uint64)
     tokens = unpacked(got["tokens"], np.uint32).astype(np.int64)
     at = np.flatnonzero(tokens)
     out = Asked(keys[:, 0], keys[:, 1], np.bincount(tokens[at] - 1, minlength=len(texts)), at, tokens[at] - 1, segments)
     return out, [texts[i] for i in out.order]
 
 
+def _words(got: dict[str, bytes]) -> np.ndarray:
+    """The numbers of the words at each place, -1 between stretches; after level 1 they stand as the block's own numbers and a table."""
+    return unpacked(got["table"], np.int64)[unpacked(got["word"], np.uint32)] if "table" in got else unpacked(got["word"], np.int64)
+
+
 def asked_phrases(got: dict[str, bytes], k: int, segments: int) -> Asked:
     """Level k: phrases of which both parts of k - 1 words are frequent."""
-    word = unpacked(got["word"], np.int64)
+    word = _words(got)
     part = unpacked(got["part"], np.int64) if k > 2 else word
     at = np.flatnonzero((part[:-1] >= 0) & (part[1:] >= 0)) if len(part) else np.zeros(0, np.int64)
     parts, of_part = np.unique(part[at], return_inverse=True)
@@ -255,20 +265,26 @@ def told(answers: DataFrame, folder: str, new: str, k: int, segments: int) -> Da
             a, words = asked_words(got, segments)
             own = np.flatnonzero((told_ >= 0) & np.concatenate([unpacked(b, np.uint8) for b in group["tell"]]).astype(bool))
             numbers, texts = told_[own].tolist(), [words[i] for i in own]
-            n = len(unpacked(got["tokens"], np.uint32))
+            tokens = unpacked(got["tokens"], np.uint32)
+            n = len(tokens)
         else:
             a = asked_phrases(got, k, segments)
-            n = len(unpacked(got["word"], np.int64))
+            word = _words(got)
+            n = len(word)
         part = np.full(n, -1)
         part[a.at] = told_[a.which]
-        word = part if k == 1 else unpacked(got["word"], np.int64)
         begin = np.flatnonzero(part >= 0)
         step = np.bincount(begin, minlength=n + 1) - np.bincount(begin + k, minlength=n + 1)
         cover = np.cumsum(step)[:n] > 0
         keep = cover | np.concatenate([[False], cover[:-1]])  # one place between two stretches
-        word, part = np.where(cover, word, -1)[keep], part[keep]
+        part = part[keep]
         left = int(np.count_nonzero((part[:-1] >= 0) & (part[1:] >= 0)))
-        name = store(new, word=packed(word), part=packed(part if k > 1 else part[:0]))
+        if k == 1:
+            table = np.full(int(tokens.max(initial=0)) + 1, -1)
+            table[tokens[a.at]] = told_[a.which]
+            name = store(new, word=packed(np.where(cover, tokens, 0)[keep].astype(np.uint32)), table=packed(table))
+        else:
+            name = store(new, word=packed(np.where(cover, word, -1)[keep]), part=packed(part))
         return pd.DataFrame({"block": [group["block"].iloc[0]], "file": [name], "n_keys": [left], "numbers": [numbers], "texts": [texts]})
 
     return answers.repartition(common.partitions(answers.sparkSession), "block").groupBy("block").applyInPandas(work, TOLD)
