@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import bound
+
 # Fixed values of the label vocabulary.
 ARTICLES = ("the", "a", "an")
 PARTICLES = ("up", "down", "off", "out", "in", "on", "over", "back", "away")
@@ -23,7 +25,7 @@ def key(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.when(key(text) == "", 0).otherwise(F.size(F.split(key(text), " ")))
+    return bound(key(text), lambda k: F.when(k == "", 0).otherwise(F.size(F.split(k, " "))))
 
 
 def parsed(text: Column) -> Column:
