@@ -13,9 +13,14 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
-CHUNK = 128
+#: Characters of texts that are encoded at once, but for longer texts; of those, every distinct part is looked up once.
+CHUNK = 2 << 20
+#: Words that are encoded in one text.
+GROUP = 256
 #: About what an entry of a dictionary and its objects take besides their text.
 ENTRY = 190
 #: What keeps a text from being cut everywhere: white space side by side, at an end or of other kinds, and stops after anything but a letter or digit.
@@ -26,6 +31,13 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[str, Encoder] = {}
 
 
+def _marked(text: str) -> str | None:
+    """The text with a zero at each cut; none if it can't be cut everywhere."""
+    if any(b in text for b in _BESIDE + _OTHER) or text[0] in " \n" or text[-1] in " \n" or _STOP.search(text):
+        return None
+    return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0")
+
+
 class Encoder:
     """keep: bytes of parts whose ids are remembered, in two generations, so that frequent parts stay."""
 
@@ -43,54 +55,87 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
         self.after_space[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.line_end = vocabulary["Ċ"]
 
     def parts(self, text: str) -> list[str]:
         """The text in parts that are encoded each by itself; added tokens, such as the end of a text, are parts of their own."""
         if any(t in text for t in self.added):
             pieces = self.at_added.split(text)
             return [p for i, piece in enumerate(pieces) if piece for p in ([piece] if i % 2 else self._cut(piece))]
-        return self._cut(text)
-
-    def _cut(self, text: str) -> list[str]:
-        if any(b in text for b in _BESIDE + _OTHER) or text[0] in " \n" or text[-1] in " \n" or _STOP.search(text):
-            return _CUT.split(text)
-        return text.replace(" ", "\x00 ").replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00").split("\x00")
+        return self._cut(text) if text else []
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        return marked.split("\0") if (marked := _marked(text)) else _CUT.split(text)
+
+    def _split(self, texts: list[str]) -> tuple[pa.ListArray, np.ndarray]:
+        """The parts of all texts, and at which place each text's are."""
+        plain, other, place = [], [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            if t and not any(a in t for a in self.added) and (m := _marked(t)):
+                place[i] = len(plain)
+                plain.append(m)
+            else:
+                place[i] = ~len(other)
+                other.append(self.parts(t))
+        place[place < 0] = len(plain) + ~place[place < 0]
+        return pa.concat_arrays([pc.split_pattern(pa.array(plain, pa.large_string()), "\0"), pa.array(other, pa.list_(pa.large_string()))]), place
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of new parts. Words with a space before them are encoded many in one text: each begins at a token with a space."""
-        plain = [p for p in new if p[:1] == " " and p[1:].isalpha()]
-        other = [p for p in new if not (p[:1] == " " and p[1:].isalpha())]
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            at = np.flatnonzero(self.after_space[ids]) * 4
-            if len(at) != len(group):
-                other += group
-                continue
-            whole, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
-            for p, a, b in zip(group, at.tolist(), ends, strict=True):
-                self.known[p] = whole[a:b]
-                self.size += ENTRY + len(p) + b - a
+        """Ids of new parts. Words are encoded many in one text: each begins at a token with a space, or ends at a line end."""
+        spaced, bare, other = [], [], []
+        for p in new:
+            word = p[1:] if p[:1] == " " else p
+            (other if not word.isalpha() and word.split() != [word] or word in self.added else bare if word is p else spaced).append(p)
+        for words, between in ((spaced, ""), (bare, "\n")):
+            groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+            texts = [between.join(g) for g in groups]
+            for group, text, e in zip(groups, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == self.line_end if between else self.after_space[ids])
+                begins, ends = (np.append(0, cuts + 1), np.append(cuts, len(ids))) if between else (cuts, np.append(cuts[1:], len(ids)))
+                if len(begins) != len(group):
+                    other += group
+                    continue
+                whole = ids.tobytes()
+                self.known.update(zip(group, [whole[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+                self.size += ENTRY * len(group) + len(text) + len(whole)
         for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.known[p] = array("I", e.ids).tobytes()
             self.size += ENTRY + 4 * len(p) + 4 * len(e.ids)
 
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts."""
+        if self.size > self.keep // 2:
+            self.known, self.older, self.size = {}, self.known, 0
+        found = list(map(self.known.get, parts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            p = parts[i]
+            if (ids := self.older.get(p)) is None:
+                new.append(p)
+            else:
+                self.known[p] = ids
+                self.size += ENTRY + len(p) + len(ids)
+        self._learn(new)
+        for i in missing:
+            found[i] = self.known[parts[i]]
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        out = []
-        for i in range(0, len(texts), CHUNK):
-            cut = [self.parts(t) if t else [] for t in texts[i : i + CHUNK]]
-            if self.size > self.keep // 2:
-                self.known, self.older, self.size = {}, self.known, 0
-            new = set().union(*cut).difference(self.known)
-            if self.older:
-                again = {p for p in new if p in self.older}
-                self.known.update((p, self.older[p]) for p in again)
-                self.size += sum(ENTRY + len(p) + len(self.older[p]) for p in again)
-                new -= again
-            if new:
-                self._learn(list(new))
-            out += [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        out, at = [], 0
+        while at < len(texts):
+            chunk, size = [], 0
+            while at < len(texts) and size < CHUNK:
+                chunk.append(texts[at] or "")
+                at, size = at + 1, size + len(chunk[-1])
+            parts, place = self._split(chunk)
+            coded = parts.values.dictionary_encode()
+            ids = pa.array(self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+            whole = pc.binary_join(pa.ListArray.from_arrays(parts.offsets, ids), pa.scalar(b"", pa.large_binary()))
+            out += whole.take(pa.array(place)).to_pylist()
         return out
 
 

@@ -489,6 +489,27 @@ def test_tokens_equal_those_of_an_untouched_tokenizer():
         assert np.frombuffer(b, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain, asked = Tokenizer.from_file(tokens.default_path()), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokens, "CHUNK", 2000)
+    e, rng = tokens.Encoder(tokens.default_path(), keep=1 << 17), np.random.default_rng(5)
+    e.tokenizer = Counting()
+    words = [w for i in range(600) for w in (f"W{i}", f"it's{i}", f"x{i}&&&", f"é{i}-b", f"\u200b{i}", f"\u180e{i}", f"<|{i}")]
+    odd = ["two  spaces", "tab\there", "a\xa0b", "<|endoftext|>", "", " ", "\n", "at the end ", "e.g. , so", "zero\0byte", "\x85"]
+    texts = [None, *[" ".join(rng.choice(words, 9)) + rng.choice([".\nNext", ", or"]) + rng.choice(["", *odd], p=[0.9, *[0.1 / len(odd)] * len(odd)]) for _ in range(3000)], *odd]
+    for t, b in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(b, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids
+    assert e.older and len(asked) < 3000  # 6,931 when only plain words with a space before them were joined
+
+
 def test_decontamination_query_finds_all_whole_items(spark):
     folder = "/root/testdata/sf0.01"
     plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").casefold())) + " "
