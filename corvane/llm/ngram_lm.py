@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ LEAST = 1
 NARROW = 64
 #: Tokens that are walked in one lane; longer texts are cut, the words before a cut leading to its state.
 LANE = 1024
+#: Words that are hashed at once, but for longer texts; every distinct one of them is looked up once.
+STRETCH = 1 << 18
 _END = np.uint64(0x5851F42D4C957F2D)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -71,6 +74,18 @@ def distinct(keys: list[np.ndarray]) -> tuple[int, np.ndarray]:
     return int(new.sum()) + (len(order) > 0), where
 
 
+def hashed(tokens: list[bytes | None], known: Words) -> np.ndarray:
+    """Hashes of words; None is an end."""
+    coded = pa.array(tokens, pa.large_binary()).dictionary_encode()
+    own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return np.fromiter([*map(known.__getitem__, own), _END], np.uint64, len(own) + 1)[coded.indices.fill_null(len(own)).to_numpy(zero_copy_only=False)]
+
+
+def n_distinct(numbers: np.ndarray) -> int:
+    numbers = np.sort(numbers)
+    return int(np.count_nonzero(numbers[1:] != numbers[:-1])) + (len(numbers) > 0)
+
+
 BLOCKS = "block long, files string, n_train_docs long, n_train long, n_tokens long, n_words long, n_pairs long"
 
 
@@ -84,10 +99,11 @@ def blocks(docs: DataFrame, folder: str, id_col: str, text_col: str, fold: int)
         from pyspark import TaskContext
 
         known, part, no = Words(), TaskContext.get().partitionId(), 0
-        ids, train, lengths, hashes, size = [], [], [], [], 0
+        ids, train, lengths, hashes, held, size = [], [], [], [], [], 0
 
         def row() -> pd.DataFrame:
-            nonlocal ids, train, lengths, hashes, size, no
+            nonlocal ids, train, lengths, hashes, held, size, no
+            hashes.append(hashed(held, known))
             vocabulary, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
             n, t = np.array(lengths, np.uint32), np.array(train, bool)
             rank = np.empty(len(vocabulary), np.uint32)
@@ -96,9 +112,9 @@ def blocks(docs: DataFrame, folder: str, id_col: str, text_col: str, fold: int)
                 folder, vocabulary=sorted_packed(vocabulary), often=packed(often.astype(np.uint32)), tokens=packed(rank[tokens]), lengths=packed(n), train=t.tobytes(),
                 ids=np.array([[i is not None, i or 0] for i in ids], np.int64).tobytes(),
             )
-            pairs = len(np.unique(tokens[:-1] * len(vocabulary) + tokens[1:])) + len(n)
+            pairs = n_distinct(tokens[:-1] * len(vocabulary) + tokens[1:]) + len(n)
             frame = pd.DataFrame([((part << 32) + no, name, int(t.sum()), int(n[t].sum()), len(tokens), len(vocabulary), pairs)], columns=[c.split()[0] for c in BLOCKS.split(", ")])
-            ids, train, lengths, hashes, size, no = [], [], [], [], 0, no + 1
+            ids, train, lengths, hashes, held, size, no = [], [], [], [], [], 0, no + 1
             return frame
 
         for batch in batches:
@@ -107,7 +123,11 @@ def blocks(docs: DataFrame, folder: str, id_col: str, text_col: str, fold: int)
                 ids.append(i)
                 train.append(i is None or zlib.crc32(str(i).encode()) % 10 != fold)
                 lengths.append(len(w) + 1)
-                hashes += [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), _END[None]]
+                held += w
+                held.append(None)
+                if len(held) >= STRETCH:
+                    hashes.append(hashed(held, known))
+                    held = []
                 size += len(w) + 1
                 if size >= BLOCK_TOKENS:
                     yield row()

@@ -510,6 +510,25 @@ def test_new_words_are_encoded_together(monkeypatch):
     assert e.older and len(asked) < 3000  # 6,931 when only plain words with a space before them were joined
 
 
+def test_words_of_a_block_are_looked_up_once():
+    from corvane.llm import ngram_lm, shingles
+
+    class Counting(shingles.Words):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    known, plain = Counting(), shingles.Words()
+    tokens = [b"a", None, b"\xc3\xa9", b"b" * 70, None, None, b"\x00", *[b"w%d" % (i % 50) for i in range(1000)], None]
+    assert ngram_lm.hashed(tokens, known).tolist() == [int(ngram_lm._END) if t is None else plain[t] for t in tokens]
+    assert known.asked == 54
+    assert ngram_lm.hashed([None], known).tolist() == [int(ngram_lm._END)] and len(ngram_lm.hashed([], known)) == 0
+    numbers = np.random.default_rng(3).integers(-5, 400, 1000)
+    assert [ngram_lm.n_distinct(numbers[:n]) for n in (0, 1, 1000)] == [0, 1, len(set(numbers.tolist()))]
+
+
 def test_decontamination_query_finds_all_whole_items(spark):
     folder = "/root/testdata/sf0.01"
     plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").casefold())) + " "
