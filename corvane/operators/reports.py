@@ -127,6 +127,11 @@ def rewritten(paths: DataFrame, files: DataFrame, base: str, prefixes: list[str]
     return rows.select("path", status.alias("status"), F.when(F.col("_there"), F.col("file")).otherwise(F.col("path")).alias("found"))
 
 
+def by_shuffle(rows: DataFrame) -> DataFrame:
+    """The side of a join that is not to be broadcast: texts made of a few packed columns are far more than the plan takes them for."""
+    return rows.hint("merge")
+
+
 def resolved(paths: DataFrame, files: DataFrame, group: str = "", base: str = "") -> DataFrame:
     """paths (path) with status and found: files (file) that the paths mean.
 
@@ -141,11 +146,11 @@ def resolved(paths: DataFrame, files: DataFrame, group: str = "", base: str = ""
     kinds = there.select(F.posexplode(_endings(F.col("_f"))).alias("_depth", "_end"), words.alias("_w"), grouped.alias("_in"), "file").groupBy("_depth", "_end", "_w", "_in").agg(F.count("*").alias("n"), F.min("file").alias("file"))
     of_end = kinds.groupBy("_depth", "_end").agg(F.collect_list(F.struct(F.col("_w").alias("words"), F.col("_in").alias("inside"), "n", "file")).alias("_hits"))  # at most two for each set of words
     wanted = paths.select("path").distinct().withColumn("_parts", F.split(F.translate("path", "\\", "/"), "/"))
-    met = wanted.select("path", F.posexplode(_endings(F.col("_parts"))).alias("_depth", "_end")).join(of_end, ["_depth", "_end"]).groupBy("path").agg(F.max_by("_hits", "_depth").alias("_hits"))
-    exact = wanted.select("path").join(there.select(F.col("file").alias("path")), "path", "left_semi").withColumn("_exact", F.lit(True))
-    rows = wanted.join(met, "path", "left").join(exact, "path", "left").withColumn("_exact", F.coalesce("_exact", F.lit(False)))
-    near = wanted.select("path", under(F.lit(base), F.col("path")).alias("_near")).join(there.select(F.col("file").alias("_near")), "_near") if base else wanted.select("path", F.lit(None).cast("string").alias("_near")).limit(0)
-    rows = rows.join(near, "path", "left")
+    met = wanted.select("path", F.posexplode(_endings(F.col("_parts"))).alias("_depth", "_end")).join(by_shuffle(of_end), ["_depth", "_end"]).groupBy("path").agg(F.max_by("_hits", "_depth").alias("_hits"))
+    exact = wanted.select("path").join(by_shuffle(there.select(F.col("file").alias("path"))), "path", "left_semi").withColumn("_exact", F.lit(True))
+    rows = wanted.join(by_shuffle(met), "path", "left").join(by_shuffle(exact), "path", "left").withColumn("_exact", F.coalesce("_exact", F.lit(False)))
+    near = wanted.select("path", under(F.lit(base), F.col("path")).alias("_near")).join(by_shuffle(there.select(F.col("file").alias("_near"))), "_near") if base else wanted.select("path", F.lit(None).cast("string").alias("_near")).limit(0)
+    rows = rows.join(by_shuffle(near), "path", "left")
     rows = rows.withColumn("_hits", F.coalesce("_hits", F.array().cast("array<struct<words:array<string>,inside:boolean,n:bigint,file:string>>")))
     many = lambda hits: F.aggregate(hits, F.lit(0).cast("bigint"), lambda t, h: t + h["n"])
     # Words of stages before the name, the last first: at each step those files that have it.
