@@ -1,5 +1,8 @@
 """What larger tables need of a plan: rules that small tables do not show."""
 
+import random
+
+from corvane.llm import common, neardup
 from corvane.operators import reports
 
 
@@ -13,3 +16,44 @@ def test_paths_and_files_are_not_broadcast(spark):
     files = spark.range(4).selectExpr("concat('/data/qa/clips/', id, '.mp4') as file")
     found = reports.resolved(paths, files, base="/data/qa/fam")
     assert "Broadcast" not in plan(found) and {r["status"] for r in found.collect()} == {"relative"}
+
+
+def shuffles(spark) -> dict[str, int]:
+    """Bytes of the shuffles that are on disk."""
+    out: dict[str, int] = {}
+    for line in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"):
+        name = line.rsplit("/", 1)[-1]
+        if name.startswith("shuffle_") and name.endswith(".data"):
+            out[name.split("_")[1]] = out.get(name.split("_")[1], 0) + spark._jvm.java.io.File(line).length()
+    return out
+
+
+def documents(spark, n: int, copies: int):
+    """n documents of random words, of which so many are near copies of the first."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(n)]
+    for i in range(1, copies + 1):
+        texts[i] = texts[0].rsplit(" ", i)[0]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+
+
+def test_shuffles_of_near_duplicates_go_step_by_step(spark, monkeypatch):
+    """The disk of a step was that of all steps before it."""
+    docs, true, alive = documents(spark, 300, 20), common.checkpointed, []
+    common.free(spark)
+    before = set(shuffles(spark))
+
+    def watched(df):
+        out = true(df)
+        alive.append(len(set(shuffles(spark)) - before))
+        return out
+
+    monkeypatch.setattr(common, "checkpointed", watched)
+    assert neardup.near_duplicates(docs).filter("kept").count() == 280
+    assert len(alive) > 10 and max(alive[:8]) <= 12, alive
+
+
+def test_ids_that_may_be_there(spark):
+    ids, all_ = spark.range(0, 10_000, 10), spark.range(10_000).selectExpr("if(id = 5, null, id) as id")
+    got = {r["id"] for r in all_.filter(common.maybe_in(ids, "id")(all_["id"])).collect()}
+    assert None not in got and {r["id"] for r in ids.collect()} <= got and len(got) < 1100
