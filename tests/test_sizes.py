@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from corvane.llm import common, neardup
 from corvane.operators import reports
 
@@ -57,3 +58,12 @@ def test_ids_that_may_be_there(spark):
     ids, all_ = spark.range(0, 10_000, 10), spark.range(10_000).selectExpr("if(id = 5, null, id) as id")
     got = {r["id"] for r in all_.filter(common.maybe_in(ids, "id")(all_["id"])).collect()}
     assert None not in got and {r["id"] for r in ids.collect()} <= got and len(got) < 1100
+
+
+def test_documents_that_are_alone_are_not_shuffled(spark):
+    docs = documents(spark, 400, 4).selectExpr("if(doc_id = 399, null, doc_id) as doc_id", "text")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    before = set(shuffles(spark))
+    rows = kept.collect()
+    assert len(rows) == 396 and sum(r["doc_id"] is None for r in rows) == 1
+    assert sum(n for k, n in shuffles(spark).items() if k not in before) < 40_000  # all texts are 600 KB
