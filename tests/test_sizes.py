@@ -1,10 +1,14 @@
 """What larger tables need of a plan: rules that small tables do not show."""
 
+import glob
+import hashlib
 import random
 
 import corpus_pipeline
+from corvane import sinks, streaming
 from corvane.llm import common, neardup
-from corvane.operators import reports
+from corvane.operators import media, questions, reports
+from corvane.plans import pictures as plans_pictures
 
 
 def plan(frame) -> str:
@@ -67,3 +71,9 @@ def test_documents_that_are_alone_are_not_shuffled(spark):
     rows = kept.collect()
     assert len(rows) == 396 and sum(r["doc_id"] is None for r in rows) == 1
     assert sum(n for k, n in shuffles(spark).items() if k not in before) < 40_000  # all texts are 600 KB
+
+
+def test_pictures_are_shuffled_once_for_each_bucket(spark):
+    before = set(shuffles(spark))
+    assert plans_pictures.episodes(spark, "/root/testdata/sf0.001").collect()
+    assert sum(n for k, n in shuffles(spark).items() if k not in before) < 400_000  # 15 vectors of 64 bytes for each of 1,000 events are 960 KB
