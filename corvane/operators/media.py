@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .reports import MEDIA, resolved
+from .reports import MEDIA, by_shuffle, resolved
 
 # Keys of texts, which may name files without being paths; keys of raw recordings, which are never sent.
 TEXT_KEYS = ("Q", "question", "A", "answer_text", "reason", "prompt")
@@ -66,8 +66,8 @@ def relocated(items: DataFrame, files: DataFrame, group: str = "") -> DataFrame:
     uses = items.select("id", F.explode(media_paths("item")).alias("path"))
     found = resolved(uses, files, group).select("path", "found")
     known = F.when(F.col("found").isNotNull(), F.struct("path", "found"))  # no filter: it would be pushed into the long expressions of the search
-    of_item = uses.join(found, "path").groupBy("id").agg(F.map_from_entries(F.collect_set(known)).alias("_found"))
-    return items.join(of_item, "id", "left").withColumn("item", with_paths("item", "_found")).drop("_found")
+    of_item = uses.join(by_shuffle(found), "path").groupBy("id").agg(F.map_from_entries(F.collect_set(known)).alias("_found"))
+    return items.join(by_shuffle(of_item), "id", "left").withColumn("item", with_paths("item", "_found")).drop("_found")
 
 
 def _part(kind: str, value: Column) -> Column:

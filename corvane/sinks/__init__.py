@@ -54,7 +54,7 @@ def write_items(items: DataFrame, path: str, builder: str, source_version: str =
         raise Stale(f"{path} was built by {old['builder']}, so {builder} must build it as a whole")
     build = uuid.uuid4().hex
     items = shared.checkpointed(items)
-    items.write.partitionBy("family", "task").parquet(f"{path}/{build}")
+    items.repartitionByRange("family", "task", "id").write.partitionBy("family", "task").parquet(f"{path}/{build}")  # a task's rows are of few families, so files are about as many as families and tasks together
     content = F.to_json(F.struct(*sorted(items.columns)), {"ignoreNullFields": "false"})
     prints = fingerprint(items.select("family", "id", content.alias("content")), "content", "id", by=("family",)).withColumnRenamed("fingerprint", "print")
     counts = items.groupBy("family", "task").agg(F.count("*").alias("n"))

@@ -23,6 +23,13 @@ def test_paths_and_files_are_not_broadcast(spark):
     assert "Broadcast" not in plan(found) and {r["status"] for r in found.collect()} == {"relative"}
 
 
+def test_items_and_their_paths_are_not_broadcast(spark):
+    items = spark.range(4).selectExpr("id", """concat('{"clip_path": "clips/', id, '.mp4"}') as item""")
+    files = spark.range(4).selectExpr("concat('/media/clips/', id, '.mp4') as file")
+    found = media.relocated(items, files)
+    assert "Broadcast" not in plan(found) and all("/media/clips/" in r["item"] for r in found.collect())
+
+
 def shuffles(spark) -> dict[str, int]:
     """Bytes of the shuffles that are on disk."""
     out: dict[str, int] = {}
@@ -91,3 +98,9 @@ def test_a_fingerprint_is_that_of_its_sql_however_many_rows(spark):
     assert questions.fingerprint(few, "t", "id").first()[0] == expected(["1\x1fa", "1\x1fa", "2\x1fb"])
     n = 1024 * 4096 + 1
     assert questions.fingerprint(spark.range(n).selectExpr("id", "'x' as t"), "t", "id").first()[0] == expected(f"{i}\x1fx" for i in range(n))
+
+
+def test_items_are_written_to_few_files(spark, tmp_path):
+    items = spark.range(4000).selectExpr("concat('f', id % 40) as family", "'t' as task", "id", "'x' as text").repartition(8)
+    sinks.write_items(items, str(tmp_path / "i"), "b")
+    assert len(glob.glob(f"{tmp_path}/i/*/family=*/task=*/*.parquet")) <= 48 and sinks.read_items(spark, str(tmp_path / "i")).count() == 4000
