@@ -7,14 +7,13 @@ comes again changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import sinks
+from ..functions import bound
 from ..operators.runs import final_rows
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,48 +29,42 @@ def latest_rows(log: DataFrame, path: str, checkpoint: str, buckets: int = 64):
     return _into(final_rows(log), path, checkpoint, "id", buckets)
 
 
-class _Streaks(StatefulProcessor):
-    """Of one stretch of a key's log: all rows so far by number, and after each batch what the stretch means to the whole.
+def _streaks(seen: Column, threshold: int) -> Column:
+    """Of all rows (seq, ok) so far of a stretch of a key's log: what they mean to the whole."""
+    rows = F.array_sort(seen)
+    # A number that came with both outcomes is a success.
+    once = lambda a: F.filter(a, lambda x, i: x["ok"] | F.coalesce(F.get(a, i + 1)["seq"] != x["seq"], F.lit(True)))
+    none = F.struct(F.lit(False).alias("cut"), F.lit(0).cast("long").alias("run"), F.lit(None).cast("long").alias("broken"))
 
-    State of numbers and outcomes is a map on disk; a stretch has at most `span` of them, each once.
-    """
-
-    def __init__(self, threshold: int):
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "seq long", "ok boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for seq, ok in zip(part["seq"].tolist(), part["ok"].tolist(), strict=True):
-                self.seen.updateValue((seq,), (bool(ok),))
-        lead, run, broken, cut = [], 0, None, False
-        for seq, ok in sorted((k[0], v[0]) for k, v in self.seen.iterator()):
-            run = 0 if ok else run + 1
-            cut |= ok
-            if not ok and not cut and len(lead) < self.threshold:
-                lead.append(seq)
-            if cut and run == self.threshold and broken is None:
-                broken = seq
-        yield pd.DataFrame({"key": [key[0]], "stretch": [key[1]], "cut": [cut], "tail": [run], "lead": [lead], "broken": pd.array([broken], "Int64")})
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x["ok"], F.lit(0).cast("long")).otherwise(s["run"] + 1)
+        first = F.when(s["cut"] & ~x["ok"] & (s["run"] + 1 == threshold), x["seq"])
+        return F.struct((s["cut"] | x["ok"]).alias("cut"), run.alias("run"), F.coalesce(s["broken"], first).alias("broken"))
 
-    def close(self) -> None:
-        pass
+    def said(a: Column) -> Column:
+        begun = F.array_position(F.transform(a, lambda x: x["ok"]), True)
+        lead = F.transform(F.slice(a, F.lit(1), F.least(F.lit(threshold), F.when(begun > 0, begun - 1).otherwise(F.size(a))).cast("int")), lambda x: x["seq"])
+        return bound(F.aggregate(a, none, step), lambda s: F.struct(s["cut"].alias("cut"), s["run"].alias("tail"), lead.alias("lead"), s["broken"].alias("broken")))
 
-
-STREAKS = "key string, stretch long, cut boolean, tail long, lead array<long>, broken long"
+    return bound(bound(rows, once), said)
 
 
 def streaks(log: DataFrame, key: str, threshold: int, span: int = 100_000) -> DataFrame:
-    """STREAKS of every stretch (key, seq div span) that a batch has rows of; the newest row of a stretch counts."""
+    """key, stretch, cut (whether it has a success), tail (failures at its end), lead (the numbers of the first failures before
+    a success), broken (the first break after one) of every stretch (key, seq div span) that a batch has rows of; the newest row
+    of a stretch counts.
+
+    The state is the set of numbers and outcomes of each stretch, at most `span` of them, in a store on disk. A row
+    without an outcome is neither success nor failure.
+    """
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = log.select(F.col(key).cast("string").alias("key"), F.floor(F.col("seq") / span).cast("long").alias("stretch"), F.col("seq").cast("long").alias("seq"), "ok")
-    return rows.groupBy("key", "stretch").transformWithStateInPandas(_Streaks(threshold), STREAKS, "Update", "None")
+    rows = log.filter("ok is not null").select(F.col(key).cast("string").alias("key"), F.floor(F.col("seq") / span).cast("long").alias("stretch"), F.col("seq").cast("long").alias("seq"), "ok")
+    seen = rows.groupBy("key", "stretch").agg(F.collect_set(F.struct("seq", "ok")).alias("_seen"))
+    return seen.select("key", "stretch", _streaks(F.col("_seen"), threshold).alias("s")).select("key", "stretch", "s.*")
 
 
 def broken_at(found: DataFrame, threshold: int) -> DataFrame:
-    """key, broken_at: the first number at which that many failures in a row were reached, from the newest STREAKS of each stretch.
+    """key, broken_at: the first number at which that many failures in a row were reached, from the newest row of streaks of each stretch.
 
     A streak goes on into the next stretch: what a stretch ends with is added up over those without a success.
     """

@@ -104,3 +104,14 @@ def test_items_are_written_to_few_files(spark, tmp_path):
     items = spark.range(4000).selectExpr("concat('f', id % 40) as family", "'t' as task", "id", "'x' as text").repartition(8)
     sinks.write_items(items, str(tmp_path / "i"), "b")
     assert len(glob.glob(f"{tmp_path}/i/*/family=*/task=*/*.parquet")) <= 48 and sinks.read_items(spark, str(tmp_path / "i")).count() == 4000
+
+
+def test_streaks_need_no_python_and_no_outcome_is_no_failure(spark, tmp_path):
+    lines = ['{"seq": 1, "ok": false, "k": "a"}', '{"seq": 2, "k": "a"}', '{"seq": 3, "ok": false, "k": "a"}', '{"seq": 1, "ok": false, "k": "b"}', '{"seq": 2, "ok": false, "k": "b"}']
+    (tmp_path / "in").mkdir()
+    for n, line in enumerate(reversed(lines)):
+        (tmp_path / "in" / f"{n}.json").write_text(line + "\n")
+    log = streaming.lines(spark, str(tmp_path / "in"), "seq long, ok boolean, k string", 2)
+    assert "InPandas" not in streaming.streaks(log, "k", 2)._jdf.queryExecution().analyzed().toString()
+    streaming.watch(log, "k", 2, str(tmp_path / "out"), str(tmp_path / "c"), span=2, buckets=2).awaitTermination()
+    assert sorted(map(tuple, streaming.broken_at(sinks.table(spark, str(tmp_path / "out")), 2).collect())) == [("a", 3), ("b", 2)]
