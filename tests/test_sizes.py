@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 from corvane import sinks, streaming
 from corvane.llm import common, neardup
-from corvane.operators import media, questions, reports
+from corvane.operators import media, questions, reports, vectors
 from corvane.plans import pictures as plans_pictures
 
 
@@ -115,3 +115,14 @@ def test_streaks_need_no_python_and_no_outcome_is_no_failure(spark, tmp_path):
     assert "InPandas" not in streaming.streaks(log, "k", 2)._jdf.queryExecution().analyzed().toString()
     streaming.watch(log, "k", 2, str(tmp_path / "out"), str(tmp_path / "c"), span=2, buckets=2).awaitTermination()
     assert sorted(map(tuple, streaming.broken_at(sinks.table(spark, str(tmp_path / "out")), 2).collect())) == [("a", 3), ("b", 2)]
+
+
+def test_blocks_of_pictures_are_not_shuffled_for_each_pair(spark):
+    frames = spark.range(4000).selectExpr("'f' as family", "'v' as view", "id as key", "cast(id % 3 as string) as subtask", "transform(sequence(1, 64), i -> cast(xxhash64(id, i) as double)) as vector")
+    before = set(shuffles(spark))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert vectors.floors(frames).count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(n for k, n in shuffles(spark).items() if k not in before) < 8_000_000  # all vectors are 2 MB, all pairs of their 16 blocks 35 MB
